@@ -7,12 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.bpe import decode, encode
 from quarry.llm.common import sha256_hex, table, text_of
 from quarry.llm.line_dedup import dedup_lines
 from quarry.llm.quality_rules import STOP_WORDS, judge
+from quarry.llm.sharding import shuffle_into_shards
 from quarry.llm.url_filter import judge_urls, url_sql
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in eight shuffled shards; row counts differ by one at most."""
+    out = shuffle_into_shards(table(spark, sf_dir, "documents"), shards=8)
+    text = text_of("text")
+    return out.select(
+        "doc_id",
+        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -68,8 +85,15 @@ FROM keyed GROUP BY doc_id
 """
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: number of tokens, digests of ids and of decoded bytes."""
+    name = "byte_bpe_multi_50k.tiktoken"
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), name).drop("text"), name)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), sha256_hex(F.col("ids")).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filters, op6_quality_rules, op8_line_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op3_url_filters, op6_quality_rules, op8_line_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
