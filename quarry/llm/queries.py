@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quarry.llm.bpe import decode, encode
 from quarry.llm.common import sha256_hex, table, text_of
 from quarry.llm.line_dedup import dedup_lines
+from quarry.llm.packing import cut, pack
 from quarry.llm.quality_rules import STOP_WORDS, judge
 from quarry.llm.sharding import shuffle_into_shards
+from quarry.llm.topk_search import top_k
 from quarry.llm.url_filter import judge_urls, url_sql
 
 
@@ -35,6 +37,21 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base measures and the verdict for every document."""
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -85,6 +102,11 @@ FROM keyed GROUP BY doc_id
 """
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 2048 tokens."""
+    return pack(cut(table(spark, sf_dir, "documents"), capacity=2048), capacity=2048)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: number of tokens, digests of ids and of decoded bytes."""
     name = "byte_bpe_multi_50k.tiktoken"
@@ -93,8 +115,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_url_filters, op6_quality_rules, op8_line_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op3_url_filters, op4_topk_search, op6_quality_rules, op8_line_dedup, op9_best_fit_packing, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_sql(), "op6_quality_rules": OP6_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op3_url_filters": url_sql(), "op4_topk_search": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_line_dedup": OP8_SQL}
