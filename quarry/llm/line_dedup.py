@@ -35,7 +35,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     lines = base.select(ROW, F.posexplode(F.split(text, "\n", -1)).alias(POS, KEY)).withColumn(KEY, line_key(F.col(KEY))).where(F.length(KEY) >= min_chars).withColumn(KEY, F.unhex(F.md5(KEY)))
     shared = settle(lines.groupBy(KEY).agg(F.count_distinct(ROW).alias("n")).where(F.col("n") >= min_docs).select(KEY))
     gone = settle(lines.join(shared, KEY).groupBy(ROW).agg(F.collect_list(POS).alias(GONE)))
-    out = base.join(gone, ROW, "left").withColumn(LINES, F.split(text, "\n", -1))
+    # merged at every size: a broadcast would only hold while few lines go
+    out = base.join(gone.hint("merge"), ROW, "left").withColumn(LINES, F.split(text, "\n", -1))
     every = F.sequence(F.lit(0), F.size(LINES) - 1)
     # size(LINES) stands beside the lambda so that the split isn't inlined into it
     out = out.withColumn(KEPT, F.when(F.col(GONE).isNotNull(), F.array_except(every, GONE)))
