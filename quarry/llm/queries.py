@@ -13,6 +13,7 @@ from quarry.llm.line_dedup import dedup_lines
 from quarry.llm.packing import cut, pack
 from quarry.llm.quality_rules import STOP_WORDS, judge
 from quarry.llm.sharding import shuffle_into_shards
+from quarry.llm.simhash import near_duplicates
 from quarry.llm.topk_search import top_k
 from quarry.llm.url_filter import judge_urls, url_sql
 
@@ -52,6 +53,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash over four-word shingles and the least doc_id that links of 4 bits reach."""
+    out = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base measures and the verdict for every document."""
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -115,7 +122,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_url_filters, op4_topk_search, op6_quality_rules, op8_line_dedup, op9_best_fit_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op3_url_filters, op4_topk_search, op5_simhash_near_dedup, op6_quality_rules, op8_line_dedup, op9_best_fit_packing, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
