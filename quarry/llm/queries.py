@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import quality_crf
 from quarry.llm.bpe import decode, encode
 from quarry.llm.common import sha256_hex, table, text_of
 from quarry.llm.line_dedup import dedup_lines
@@ -33,6 +34,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by the line model, learnt outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
+    out = quality_crf.score(docs, model)
+    return out.select("doc_id", quality_crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -122,7 +131,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_url_filters, op4_topk_search, op5_simhash_near_dedup, op6_quality_rules, op8_line_dedup, op9_best_fit_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_url_filters, op4_topk_search, op5_simhash_near_dedup, op6_quality_rules, op8_line_dedup, op9_best_fit_packing, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, n_words: i
     return prints.join(named, "node").select("id", "text_hash", *names, "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, n_words: int = 4, chain: int = 3, within: int = 38, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, n_words: int = 4, chain: int = 3, within: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near duplicates, the one of the smallest id.
 
     The defaults mean five-word shingles and a similarity of 0.8 or more: at a Jaccard similarity
