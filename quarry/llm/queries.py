@@ -15,6 +15,7 @@ from quarry.llm.packing import cut, pack
 from quarry.llm.quality_rules import STOP_WORDS, judge
 from quarry.llm.sharding import shuffle_into_shards
 from quarry.llm.simhash import near_duplicates
+from quarry.llm.substring_dedup import remove_repeats
 from quarry.llm.topk_search import top_k
 from quarry.llm.url_filter import judge_urls, url_sql
 
@@ -96,6 +97,12 @@ FROM b
 """
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes in 100-byte strings that stand earlier: counts and the digest of what stays."""
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=100, digest_col="kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup at ten documents: counts of lines and the digest of what stays."""
     out = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, counts=("n_lines", "n_dropped"))
@@ -131,7 +138,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_url_filters, op4_topk_search, op5_simhash_near_dedup, op6_quality_rules, op8_line_dedup, op9_best_fit_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_url_filters, op4_topk_search, op5_simhash_near_dedup, op6_quality_rules, op7_suffix_array_dedup, op8_line_dedup, op9_best_fit_packing, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
