@@ -318,7 +318,7 @@ def union_of(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept", counts: tuple[str, str, str] = ("n_bytes", "n_removed", "n_spans"), digest_col: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept", counts: tuple[str, str, str] = ("n_bytes", "n_removed", "n_spans"), digest_col: str | None = None, as_text: bool = False) -> DataFrame:
     """docs with the bytes that stay (binary), and the numbers of bytes, removed bytes and maximal removed runs.
 
     A byte is removed if a string of window bytes covers it that also starts earlier: in a document
@@ -327,6 +327,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     nothing. A null id is smaller than any other; documents that share an id come in the order of
     their texts' SHA-256, and of repeated rows (same id and text) one counts as the earlier one.
     With digest_col the SHA-256 of the bytes that stay (lower-case hex) comes instead of kept_col.
+    With as_text kept_col is a string: what is left of a character that was cut goes, null stays null.
     Columns of docs that bear one of these names are replaced. window is at least 64.
     """
     if window < 2 * GRAM:
@@ -351,7 +352,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     # every distinct (id, text): the earliest of its text has its spans, a later copy is a copy
     marks = seen.join(firsts.withColumn("first", F.lit(True)), ["id", "cid"], "left").select("id", "cid", "n", F.col("first").isNotNull().alias("first"))
     marks = settle(marks.join(spans, ["id", "cid"], "left").select(F.col("id").alias("__q_id"), F.col("cid").alias("__q_cid"), "n", "first", "spans"))
-    fields = [*docs.schema.fields, T.StructField(new[0], T.StringType() if digest_col else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in counts)]
+    fields = [*docs.schema.fields, T.StructField(new[0], T.StringType() if digest_col or as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in counts)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[tuple, int] = {}  # of repeated rows, which stand together
@@ -377,11 +378,16 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
                     stay.append(data[at:a])
                     at = e
                 left = b"".join([*stay, data[at:]])
-                kept.append(hashlib.sha256(left).hexdigest() if digest_col else left)
+                if digest_col:
+                    kept.append(hashlib.sha256(left).hexdigest())
+                elif as_text:
+                    kept.append(left.decode("utf-8", "ignore") if col[text_col][k].is_valid else None)
+                else:
+                    kept.append(left)
                 for o, x in zip(numbers, (len(data), len(data) - len(left), len(cut_out)), strict=True):
                     o.append(x)
             own = [b.column(k) for k in range(len(fields) - 4)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(kept, pa.string() if digest_col else pa.binary()), *(pa.array(o, pa.int64()) for o in numbers)], names=[f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(kept, pa.string() if digest_col or as_text else pa.binary()), *(pa.array(o, pa.int64()) for o in numbers)], names=[f.name for f in fields])
 
     marks = marks.select("__q_id", "__q_cid", F.col("n").alias("__q_n"), F.col("first").alias("__q_first"), F.col("spans").alias("__q_spans"))
     joined = docs.withColumns({"__q_id": key, "__q_cid": cid}).join(marks.hint("merge"), ["__q_id", "__q_cid"])
