@@ -95,31 +95,32 @@ def marginals(odds: list[float], stay: tuple[float, float]) -> list[float]:
     return out
 
 
-def _expectations(odds: np.ndarray, live: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of padded sequences, and the expected numbers of equal neighbours (bad, good)."""
-    d, t = odds.shape
-    node = np.stack([np.zeros_like(odds), odds], 2)
-    pair = np.array([[stay[0], 0.0], [0.0, stay[1]]])
-    ahead, back = np.zeros((t, d, 2)), np.zeros((t, d, 2))
-    lse = lambda x: np.logaddexp(x[..., 0, :], x[..., 1, :])
-    ahead[0] = node[:, 0]
-    for k in range(1, t):
-        ahead[k] = np.where(live[:, k, None], node[:, k] + lse(ahead[k - 1][:, :, None] + pair), ahead[k - 1])
-    for k in range(t - 2, -1, -1):
-        into = np.logaddexp(*np.moveaxis(pair[None] + (node[:, k + 1] + back[k + 1])[:, None, :], 2, 0))
-        back[k] = np.where(live[:, k + 1, None], into, back[k + 1])
-    total = np.logaddexp(ahead[-1][:, 0], ahead[-1][:, 1])
-    good = np.exp(ahead[:, :, 1] + back[:, :, 1] - total).T * live
+def _expectations(odds: np.ndarray, n: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of padded sequences (steps by sequences, longest first), and the expected numbers of equal neighbours (bad, good)."""
+    s0, s1 = np.exp(np.clip(stay, -20, 20))
+    local = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    live = [int(np.searchsorted(-n, -k, side="left")) for k in range(len(odds))]  # sequences of more than k lines
+    ahead, back = local.copy(), np.full_like(local, 0.5)
+    for k in range(1, len(odds)):
+        a, p = ahead[k - 1, : live[k]], local[k, : live[k]]
+        good, bad = p * (a * s1 + 1 - a), (1 - p) * (a + (1 - a) * s0)
+        ahead[k, : live[k]] = good / (good + bad)
     same = np.zeros(2)
-    for k in range(1, t):
-        for y in (0, 1):
-            same[y] += (np.exp(ahead[k - 1][:, y] + pair[y, y] + node[:, k, y] + back[k][:, y] - total) * live[:, k]).sum()
-    return good, same
+    for k in range(len(odds) - 1, 0, -1):
+        a, p, b = (x[: live[k]] for x in (ahead[k - 1], local[k], back[k]))
+        good, bad = p * b, (1 - p) * (1 - b)
+        both = a * s1 * good, (1 - a) * s0 * bad
+        total = sum(both) + a * bad + (1 - a) * good
+        same += [(both[1] / total).sum(), (both[0] / total).sum()]
+        up, down = good * s1 + bad, good + bad * s0
+        back[k - 1, : live[k]] = up / (up + down)
+    up = ahead * back
+    return up / (up + (1 - ahead) * (1 - back)), same
 
 
 def fit(docs: list[tuple[list[tuple[float, ...]], int]], rounds: int = 150, rate: float = 0.1, decay: float = 0.02) -> Model:
     """A model from (line features, label of the document) by gradient ascent on the conditional likelihood."""
-    parts = [(x[k : k + SEQUENCE], y) for x, y in docs for k in range(0, len(x), SEQUENCE)]
+    parts = sorted(((x[k : k + SEQUENCE], y) for x, y in docs for k in range(0, len(x), SEQUENCE)), key=lambda p: -len(p[0]))
     width = len(FEATURES)
     if not parts:
         return Model(np.zeros(width), np.ones(width), np.zeros(3 * width), 0.0, (0.0, 0.0))
@@ -129,17 +130,17 @@ def fit(docs: list[tuple[list[tuple[float, ...]], int]], rounds: int = 150, rate
     first[np.cumsum(n) - n] = True
     mean, scale = x.mean(0), np.maximum(x.std(0), 0.05)
     z = _wide((x - mean) / scale, first)
-    live = np.arange(n.max()) < n[:, None]
+    where = np.arange(n.max()) < n[:, None]
     y = np.array([float(y) for _, y in parts])
     truth = np.repeat(y, n)
     pairs = np.array([((n - 1) * (1 - y)).sum(), ((n - 1) * y).sum()])
     theta = np.zeros(3 * width + 3)  # weights, bias, stay
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    grid = np.zeros(live.shape)
+    grid = np.zeros(where.shape)
     for step in range(1, rounds + 1):
-        grid[live] = z @ theta[: 3 * width] + theta[3 * width]
-        good, same = _expectations(grid, live, theta[-2:])
-        error = truth - good[live]
+        grid[where] = z @ theta[: 3 * width] + theta[3 * width]
+        good, same = _expectations(grid.T.copy(), n, theta[-2:])
+        error = truth - good.T[where]
         g = np.concatenate([z.T @ error, [error.sum()], pairs - same]) / len(parts) - decay * np.concatenate([theta[: 3 * width], [0.0], theta[-2:]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
