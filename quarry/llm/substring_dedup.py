@@ -24,7 +24,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +93,8 @@ def anchors(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         at[wrong] += 1
         wrong = wrong[h[chosen[at[wrong]]] != least[starts[wrong]]]
     place = chosen[at]
+    new = np.concatenate([[True], place[1:] != place[:-1]])
+    place, starts = place[new], starts[new]
     return h[place], place, starts, np.append(starts[1:] - 1, len(least) - 1)
 
 
@@ -109,7 +110,10 @@ def _spread(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _first_digits(docs: DataFrame, window: int) -> DataFrame:
-    """(digit, cid, place) of every anchor; a text that a task meets again is passed over."""
+    """(digit, cid, place) of every anchor; a text that a task meets again is passed over.
+
+    Of a digit that one text holds more often two places go on: they say that it repeats.
+    """
     schema = T.StructType([T.StructField("digit", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("place", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +125,10 @@ def _first_digits(docs: DataFrame, window: int) -> DataFrame:
                 if len(text) >= window and cid[i] not in met:
                     met.add(cid[i])
                     h, place, _, _ = anchors(text, window)
+                    by = np.argsort(h, kind="stable")
+                    third = np.zeros(len(h), bool)
+                    third[2:] = h[by[2:]] == h[by[:-2]]
+                    h, place = h[by[~third]], place[by[~third]]
                     for o, x in zip(out, (h.view(np.int64), np.full(len(h), cid[i]), place.astype(np.int32)), strict=True):
                         o.append(x)
             if out[0]:
@@ -197,11 +205,22 @@ def _ids_of(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _join_ranges(i: np.ndarray, cid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of one document that touch their neighbour become one."""
+    by = np.lexsort((start, cid, i))
+    i, cid, start, stop = i[by], cid[by], start[by], stop[by]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (cid[1:] != cid[:-1]) | (start[1:] > stop[:-1])
+    head = np.flatnonzero(new)
+    return i[head], cid[head], start[head], np.maximum.reduceat(stop, head) if len(head) else stop
+
+
 def _contexts(found: DataFrame, window: int) -> DataFrame:
     """CONTEXT rows of the repeated anchors of each document.
 
     Where a task meets equal contexts of one digit, only the earliest is sent on; the others hold
-    nothing but repeated windows, and their rows (windows = 0, before = the range's length) say so.
+    nothing but repeated windows, and rows of their joined ranges (windows = 0, before = the length)
+    say so. A digit is repeated if one of its places is listed.
     """
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -210,10 +229,16 @@ def _contexts(found: DataFrame, window: int) -> DataFrame:
         context = pa.array([r[6] for r in rows], pa.binary())
         same = context.dictionary_encode().indices.to_numpy()
         first = _earliest(_ids_of(digit, before, same), i, cid, start)
-        length = windows + window - 1
-        sent = pc.if_else(pa.array(first), context, pa.scalar(b"", pa.binary()))
-        digit = np.where(first, digit, _mix(cid.view(U64)).view(np.int64))
-        cols = [digit, i, cid, start.astype(np.int32), np.where(first, before, length).astype(np.int32), np.where(first, windows, 0).astype(np.int32)]
+        i2, cid2, start2, stop2 = _join_ranges(i[~first], cid[~first], start[~first], (start + windows + window - 1)[~first])
+        cols = [
+            np.concatenate([digit[first], _mix(cid2.view(U64) ^ _mix(start2.view(U64))).view(np.int64)]),
+            np.concatenate([i[first], i2]),
+            np.concatenate([cid[first], cid2]),
+            np.concatenate([start[first], start2]).astype(np.int32),
+            np.concatenate([before[first], stop2 - start2]).astype(np.int32),
+            np.concatenate([windows[first], np.zeros(len(i2), np.int64)]).astype(np.int32),
+        ]
+        sent = pa.concat_arrays([context.filter(pa.array(first)), pa.array([b""] * len(i2), pa.binary())])
         return pa.RecordBatch.from_arrays([*map(pa.array, cols), sent], names=CONTEXT.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +247,7 @@ def _contexts(found: DataFrame, window: int) -> DataFrame:
             ids, cids = b.column(0).to_pylist(), b.column(1).to_pylist()
             for k, text in _spread(b, 3):
                 h, place, lo, hi = anchors(text, window)
-                keep = np.flatnonzero(np.isin(place, b.column(2)[k].values.to_numpy()))
+                keep = np.flatnonzero(np.isin(h, h[np.isin(place, b.column(2)[k].values.to_numpy())]))
                 for d, p, s, e in zip(h[keep].view(np.int64).tolist(), place[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
                     rows.append((d, ids[k], cids[k], s, p - s, e - s + 1, text[s : e + window]))
                     size += e - s + window
@@ -294,14 +319,9 @@ def _ranges(contexts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "digit", SORTED, lambda b: b.column(6).nbytes):
             i, cid, start, stop = (np.concatenate(x) for x in zip(*_sort_windows(t, window), strict=True))
-            by = np.lexsort((start, cid, i))
-            i, cid, start, stop = i[by], cid[by], start[by], stop[by]
-            new = np.ones(len(i), bool)
-            new[1:] = (i[1:] != i[:-1]) | (cid[1:] != cid[:-1]) | (start[1:] > stop[:-1])  # touching neighbours join
-            head = np.flatnonzero(new)
-            if len(head):
-                stop = np.maximum.reduceat(stop, head)
-                yield pa.RecordBatch.from_arrays([pa.array(i[head]), pa.array(cid[head]), pa.array(start[head].astype(np.int32)), pa.array(stop.astype(np.int32))], names=RANGES.names)
+            i, cid, start, stop = _join_ranges(i, cid, start, stop)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(cid), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=RANGES.names)
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return contexts.repartition(parts, "digit").sortWithinPartitions("digit").mapInArrow(run, RANGES)
