@@ -33,7 +33,9 @@ from quarry.llm.common import settle
 U64 = np.uint64
 GRAM = 32
 #: Bytes of context that a task sorts at a time (whole digits; one digit's contexts always together), texts' bytes combined before they are sent.
-SORTED, COMBINED = 24 << 20, 16 << 20
+SORTED, COMBINED = 8 << 20, 16 << 20
+#: Bytes that are hashed at a time.
+HASHED = 1 << 20
 FIRST_ID = -(2**63)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -45,11 +47,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2^64."""
     out = []
     for base in (_BASE, pow(_BASE, -1, 2**64)):
-        p = np.full(1 << bits, U64(base))
+        p = np.full(2 * HASHED, U64(base))
         p[0] = U64(1)
         out.append(np.cumprod(p))
     return out[0], out[1]
@@ -57,11 +59,13 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def rolling(b: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of the n bytes from each place on."""
-    if len(b) < n:
-        return np.zeros(0, U64)
-    power, inverse = _powers(max(16, int(len(b)).bit_length()))
-    sums = np.concatenate([[U64(0)], np.cumsum((b.astype(U64) + U64(1)) * power[: len(b)])])
-    return _mix((sums[n:] - sums[:-n]) * inverse[: len(b) - n + 1])
+    power, inverse = _powers()
+    out = np.zeros(max(0, len(b) - n + 1), U64)
+    for at in range(0, len(out), HASHED):
+        part = b[at : at + HASHED + n - 1]
+        sums = np.concatenate([[U64(0)], np.cumsum((part.astype(U64) + U64(1)) * power[: len(part)])])
+        out[at : at + HASHED] = _mix((sums[n:] - sums[:-n]) * inverse[: len(part) - n + 1])
+    return out
 
 
 def _slide(x: np.ndarray, n: int, least) -> np.ndarray:
