@@ -205,7 +205,9 @@ def link_fingerprints(distinct: DataFrame, n_words: int, radius: int, chain: int
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, n_words: int = 1, chain: int = 2, within: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, f0 ..., component_id), one row a document; component_id is the least id that links reach.
+    """(id, text_hash, f0 ..., component, component_id), one row a document.
+
+    component names the group, component_id is the least id that links reach.
 
     Whole texts are taken, A-Z lower-cased and split at ASCII white space; a text of fewer words
     than a shingle is one shingle, a null, empty or blank text has fingerprint zero. Two documents
@@ -220,8 +222,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, n_words: i
     least = F.coalesce("least", "node")
     linked = settle(distinct.select("node", "least_id").join(reach, "node", "left").select("node", "least_id", least.alias("least")))
     ids = settle(linked.groupBy("least").agg(F.min("least_id").alias("component_id")))
-    named = settle(linked.join(ids, "least").select("node", "component_id"))
-    return prints.join(named, "node").select("id", "text_hash", *names, "component_id")
+    named = settle(linked.join(ids, "least").select("node", F.col("least").alias("component"), "component_id"))
+    return prints.join(named, "node").select("id", "text_hash", *names, "component", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, n_words: int = 4, chain: int = 3, within: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,9 +236,8 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, n_words: int = 4,
     Rows that repeat both id and text are one document, of which one row stays; of a group whose
     smallest id is borne by several texts the one of the smallest hash stays, null ids come first.
     """
-    found = near_duplicates(docs, words, radius, n_words, chain, within, id_col, text_col)
-    found = settle(found.withColumn("group", F.coalesce("component_id", "f0")).withColumn("named", F.col("component_id").isNotNull()))
-    stay = settle(found.groupBy("group", "named").agg(F.min(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("k"), "text_hash")).alias("s")).select("s.k", "s.text_hash").distinct())
+    found = settle(near_duplicates(docs, words, radius, n_words, chain, within, id_col, text_col))
+    stay = settle(found.groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("k"), "text_hash")).alias("s")).select("s.k", "s.text_hash").distinct())
     key, text_hash = "__q_id", "__q_text"
     out = docs.withColumns({key: F.coalesce(id_col, F.lit(-(2**63))), text_hash: F.xxhash64(text_col)})
     out = out.join(stay.select(F.col("k").alias(key), F.col("text_hash").alias(text_hash)).hint("merge"), [key, text_hash])
