@@ -416,9 +416,10 @@ def minhash_signatures(spark, d):
     return _minhash(spark, d).long()
 
 
-@query(f"""WITH s AS ({_SIGS}), c AS (SELECT k, i AS fn, sig[i + 1] AS v FROM (SELECT k, sig, unnest(range({len(FAMILY)})) AS i FROM s)),
-band AS (SELECT k, i, sig[i * 2 + 1:i * 2 + 2] AS part FROM (SELECT k, sig, unnest(range({len(FAMILY) // 2})) AS i FROM s)),
-p AS (SELECT DISTINCT a.k AS a, b.k AS b FROM band a JOIN band b ON a.i = b.i AND a.part = b.part AND a.k < b.k)
+@query(f"""WITH s AS ({_SIGS}), r AS (SELECT sig, min(k) AS k FROM s GROUP BY sig), c AS (SELECT k, i AS fn, sig[i + 1] AS v FROM (SELECT k, sig, unnest(range({len(FAMILY)})) AS i FROM s)),
+band AS (SELECT k, i, sig[i * 2 + 1:i * 2 + 2] AS part FROM (SELECT k, sig, unnest(range({len(FAMILY) // 2})) AS i FROM r)),
+p AS (SELECT DISTINCT a.k AS a, b.k AS b FROM band a JOIN band b ON a.i = b.i AND a.part = b.part AND a.k < b.k
+  UNION ALL SELECT r.k, s.k FROM s JOIN r USING (sig) WHERE s.k <> r.k)
 SELECT p.a, p.b, count(*)::INTEGER AS matches FROM p JOIN c x ON x.k = p.a JOIN c y ON y.k = p.b AND x.fn = y.fn AND x.v = y.v GROUP BY p.a, p.b""")
 def minhash_pairs(spark, d):
     return _minhash(spark, d).candidates(2)

@@ -81,7 +81,8 @@ def cuckoo_stream(stream: DataFrame, column: str, order: str, params: CuckooPara
     rows = stream.where(F.col(column).isNotNull()).select(shard.alias("shard"), fp.alias("fp"), first.alias("i"), sign.alias("plus"), F.col(order).alias("o"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        table, rejected = Table(params, key[0]), 0
+        shard = int(key[0])
+        table, rejected = Table(params, shard), 0
         if state.exists:
             rejected, held = state.get[0], json.loads(state.get[1])
             for bucket, slots in zip(table.buckets, held, strict=True):
@@ -93,6 +94,6 @@ def cuckoo_stream(stream: DataFrame, column: str, order: str, params: CuckooPara
                 table.remove(int(fp), int(i))
         text = json.dumps([b.slots for b in table.buckets])
         state.update((rejected, text))
-        yield pd.DataFrame({"shard": [key[0]], "used": [sum(b.length for b in table.buckets)], "rejected": [rejected], "buckets": [text]})
+        yield pd.DataFrame({"shard": [shard], "used": [sum(b.length for b in table.buckets)], "rejected": [rejected], "buckets": [text]})
 
     return rows.groupBy("shard").applyInPandasWithState(step, "shard int, used long, rejected long, buckets string", "rejected long, buckets string", "update", GroupStateTimeout.NoTimeout)
