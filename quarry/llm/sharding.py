@@ -35,7 +35,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket
 
     The same records, seed and parameters give the same shards, whatever the partitions of docs.
     Nulls are hashed like values; an empty table gives an empty one. Repeated records fall into one
-    bucket; where that makes a bucket more than twice bucket_bytes, its records are spread over
+    bucket; where a bucket has more than twice bucket_bytes beside its largest record, its records are spread over
     parts by their place in the input instead (docs must then be a stored table, whose rows have
     the same places whenever a task is run again). A single record above bucket_bytes still is one
     record. Columns of docs named shard or slot are replaced.
@@ -46,8 +46,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket
     buckets = max(1, -(-total // bucket_bytes))
     base = docs.withColumn(HASH, _seeded(docs, seed))
     bucket = F.pmod(F.col(HASH), F.lit(buckets)) * PARTS
-    sizes = base.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()  # one row a bucket
-    if hot := {r.b: min(-(-r.bytes // bucket_bytes), PARTS - 1) for r in sizes if r.bytes > 2 * bucket_bytes and r.n > 1}:
+    sizes = base.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), (F.sum(size) - F.max(size)).alias("bytes")).collect()  # one row a bucket; beside its largest record
+    if hot := {r.b: min(-(-r.bytes // bucket_bytes), PARTS - 1) for r in sizes if r.bytes > 2 * bucket_bytes}:
         parts = F.coalesce(F.element_at(F.map_from_arrays(F.array(*map(F.lit, hot)), F.array(*map(F.lit, hot.values()))), bucket), F.lit(1))
         base = base.withColumn("__q_place", F.monotonically_increasing_id())
         bucket = bucket + F.when(parts > 1, F.pmod(F.xxhash64(HASH, "__q_place"), parts)).otherwise(F.lit(0))
