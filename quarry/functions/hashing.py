@@ -103,12 +103,20 @@ def hash_twice_struct(c: Column, seed: int = DEFAULT_SEED, spec: HashSpec = XXH6
     return F.struct(a.alias("first"), b.alias("second"), hash_hex(a).alias("first_hex"), hash_hex(b).alias("second_hex"))
 
 
-def double_hash(i: int, a: Column, b: Column, m: int, spec: HashSpec = XXH64) -> Column:
-    """(a + i b + i^3 - i div 6) mod m of unsigned a and b; the operands are reduced first, so nothing overflows."""
-    return F.pmod(spec.mod(a, m) + F.lit(i).cast("long") * spec.mod(b, m) + F.lit((i**3 - i // 6) % m).cast("long"), F.lit(m).cast("long"))
+def pair(c: Column, m: int, seed: int = DEFAULT_SEED, spec: HashSpec = XXH64) -> tuple[Column, Column]:
+    """Both hashes modulo m. Put them into columns of their own before from_pair() reads them k times."""
+    a, b = hash_twice(c, seed, spec)
+    return spec.mod(a, m), spec.mod(b, m)
+
+
+def from_pair(a: Column, b: Column, m: int, k: int) -> list[Column]:
+    """(a + i b + i^3 - i div 6) mod m for i below k: k indexes in [0, m), perhaps with repeats.
+
+    The operands are reduced, so nothing overflows.
+    """
+    return [(a + F.lit(i).cast("long") * b + F.lit((i**3 - i // 6) % m).cast("long")) % F.lit(m).cast("long") for i in range(k)]
 
 
 def indexes(c: Column, m: int, k: int, seed: int = DEFAULT_SEED, spec: HashSpec = XXH64) -> list[Column]:
-    """k indexes in [0, m), perhaps with repeats. Written out one by one: both hashes are then computed once a row."""
-    a, b = hash_twice(c, seed, spec)
-    return [double_hash(i, a, b, m, spec) for i in range(k)]
+    """k indexes of an element in [0, m)."""
+    return from_pair(*pair(c, m, seed, spec), m, k)

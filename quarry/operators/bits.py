@@ -22,9 +22,18 @@ def capacity(size: int) -> int:
     return -(-size // 8) * 8
 
 
-def positions(df: DataFrame, exprs: list[Column], by: tuple[str, ...] = (), name: str = "bit") -> DataFrame:
-    """(by, bit) of all positions that the rows of df set, with repeats."""
-    return df.select(*by, F.explode(F.array(*exprs)).alias(name))
+def positions(df: DataFrame, pair: tuple[Column, Column], spread, by: tuple[str, ...] = (), *more: Column) -> DataFrame:
+    """(by, more, i, bit) of all positions that the rows of df set, with repeats. Both hashes are computed once a row."""
+    hashed = df.select(*by, *more, pair[0].alias("__q_a"), pair[1].alias("__q_b"))
+    names = [c for c in hashed.columns if c not in ("__q_a", "__q_b")]
+    return hashed.select(*names, F.posexplode(F.array(*spread(F.col("__q_a"), F.col("__q_b")))).alias("i", "bit"))
+
+
+def distinct_bits(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, bit) without repeats. Bits are gathered in words of 64 first, so that aggregation holds a group a word, not a bit."""
+    packed = rows.groupBy(*by, F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("x"))
+    some = packed.select(*by, "w", "x", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j"))
+    return some.where(F.getbit("x", F.col("j")) == 1).select(*by, (F.col("w") * 64 + F.col("j")).alias("bit"))
 
 
 def bit_count(state: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -53,16 +62,15 @@ def words(state: DataFrame, size: int) -> DataFrame:
     return rows.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]).alias("words"))
 
 
-def all_set(state: DataFrame, size: int, exprs: list[Column]) -> Column:
-    """Whether all positions of a row are set: a predicate over the packed words."""
-    packed = words(state, size).scalar()
+def all_set(packed: Column, positions: list[Column]) -> Column:
+    """Whether all positions of a row are set in the packed words; asks no further than the first that isn't."""
     hit = F.lit(True)
-    for e in exprs:
-        hit = hit & (F.getbit(F.get(packed, F.floor(e / 64).cast("int")), F.pmod(e, F.lit(64)).cast("int")) == 1)
+    for e in positions:
+        hit = hit & (F.getbit(F.get(packed, F.shiftright(e, 6).cast("int")), e.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
     return hit
 
 
-def probe(df: DataFrame, c: Column, exprs: list[Column], state: DataFrame, size: int, by: tuple[str, ...], out: str, packed_bits: int = PACKED_BITS) -> DataFrame:
+def probe(df: DataFrame, c: Column, pair: tuple[Column, Column], spread, state: DataFrame, size: int, by: tuple[str, ...], out: str, packed_bits: int = PACKED_BITS) -> DataFrame:
     """df with a boolean column out: all positions of the row are set (in the filter of its group). Null elements are in no filter.
 
     Beyond packed_bits, or with groups, the distinct elements are exploded and joined by bit, and
@@ -70,10 +78,16 @@ def probe(df: DataFrame, c: Column, exprs: list[Column], state: DataFrame, size:
     """
     df = df.drop(out)
     if not by and size <= min(packed_bits, PACKED_BITS):
-        return df.withColumn(out, F.coalesce(all_set(state, size, exprs), F.lit(False)))
-    keys = df.withColumn("__q_e", c).where(F.col("__q_e").isNotNull())
-    spread = keys.select(*by, "__q_e", F.posexplode(F.array(*exprs)).alias("__q_i", "bit")).distinct()
-    hits = spread.join(state, [*by, "bit"], "left_semi").groupBy(*by, "__q_e").count().where(F.col("count") == len(exprs)).select(*by, "__q_e", F.lit(True).alias(out))
+        # a column that depends on the partition id stays where it is: a filter on the outcome would else
+        # be pushed below it, with a copy of both hashes for each position
+        stay = F.spark_partition_id().cast("long") * 0
+        hashed = df.withColumns({"__q_a": pair[0] + stay, "__q_b": pair[1] + stay})
+        hit = all_set(words(state, size).scalar(), spread(F.col("__q_a"), F.col("__q_b")))
+        return hashed.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__q_a", "__q_b")
+    keys = df.where(c.isNotNull()).select(*by, c.alias("__q_e"), pair[0].alias("__q_x"), pair[1].alias("__q_y")).distinct()
+    cells = positions(keys, (F.col("__q_x"), F.col("__q_y")), spread, by, F.col("__q_e"))
+    k = len(spread(F.lit(0), F.lit(0)))
+    hits = cells.join(state, [*by, "bit"], "left_semi").groupBy(*by, "__q_e").count().where(F.col("count") == k).select(*by, "__q_e", F.lit(True).alias(out))
     found = df.withColumn("__q_e", c).join(hits, [*by, "__q_e"], "left")
     return found.select(*[F.col(f"`{x}`") for x in df.columns], F.coalesce(F.col(out), F.lit(False)).alias(out))
 

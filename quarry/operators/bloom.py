@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.hashing import SPECS, XXH64, HashSpec, element, hash_twice, indexes
+from quarry.functions.hashing import SPECS, XXH64, HashSpec, element, from_pair, hash_twice, pair
 from quarry.functions.params import DEFAULT_SEED, check_rate, generation_plan, optimal_hashes, optimal_size
 from quarry.operators import bits
 from quarry.operators.bits import PACKED_BITS
@@ -27,23 +27,29 @@ def seed_in(x: dict) -> int:
 
 
 class Filter:
-    """What the filters share. Subclasses have params (with seed and spec), state and by, bit_exprs and n_bits."""
+    """What the filters share. Subclasses have params (with seed and spec), state and by, and say how many bits there are,
+    what modulus the hashes take and how bits come from them."""
 
     def __init__(self, params, state: DataFrame, by: tuple[str, ...] = ()):
         self.params, self.state, self.by = params, state, tuple(by)
 
     n_bits: int
 
-    def bit_exprs(self, c: Column) -> list[Column]:
+    modulus: int
+
+    def spread(self, a: Column, b: Column) -> list[Column]:
         raise NotImplementedError
 
+    def pair(self, c: Column) -> tuple[Column, Column]:
+        return pair(c, self.modulus, self.params.seed, self.params.spec)
+
     def bits(self) -> DataFrame:
         return self.state
 
     def probe(self, df: DataFrame, column: str, out: str = "has", packed_bits: int = PACKED_BITS) -> DataFrame:
         """df with a boolean column: perhaps in the filter, or certainly not."""
         c = element(column, dict(df.dtypes)[column])
-        return bits.probe(df, c, self.bit_exprs(c), self.bits(), self.n_bits, self.by, out, packed_bits)
+        return bits.probe(df, c, self.pair(c), self.spread, self.bits(), self.n_bits, self.by, out, packed_bits)
 
     def prefilter(self, df: DataFrame, column: str, **options) -> DataFrame:
         """The rows of df that may be in the filter."""
@@ -98,15 +104,18 @@ class BloomFilter(Filter):
     def n_bits(self) -> int:
         return self.params.size
 
-    def bit_exprs(self, c: Column) -> list[Column]:
-        return indexes(c, self.params.size, self.params.hashes, self.params.seed, self.params.spec)
+    modulus = n_bits
+
+    def spread(self, a: Column, b: Column) -> list[Column]:
+        return from_pair(a, b, self.params.size, self.params.hashes)
 
     @classmethod
     def build(cls, df: DataFrame, column: str, params: BloomParams, by: tuple[str, ...] = ()) -> BloomFilter:
         """Null elements are passed over."""
         empty = cls(params, df, by)
         c = element(column, dict(df.dtypes)[column])
-        return cls(params, bits.positions(df.where(F.col(column).isNotNull()), empty.bit_exprs(c), by).distinct(), by)
+        rows = bits.positions(df.where(F.col(column).isNotNull()), empty.pair(c), empty.spread, by)
+        return cls(params, bits.distinct_bits(rows, by), by)
 
     @classmethod
     def from_items(cls, df: DataFrame, column: str, rate: float, n: int | None = None, **more) -> BloomFilter:
@@ -138,8 +147,8 @@ class BloomFilter(Filter):
 class CountingBloomFilter(Filter):
     """State: (by, bit, cnt). Removals subtract whether or not the element was there."""
 
-    n_bits = BloomFilter.n_bits
-    bit_exprs = BloomFilter.bit_exprs
+    n_bits = modulus = BloomFilter.n_bits
+    spread = BloomFilter.spread
 
     @classmethod
     def build(cls, df: DataFrame, column: str, params: BloomParams, by: tuple[str, ...] = (), op: str | None = None) -> CountingBloomFilter:
@@ -147,7 +156,7 @@ class CountingBloomFilter(Filter):
         empty = cls(params, df, by)
         sign = F.lit(1) if op is None else F.when(F.col(op) == "-", -1).otherwise(1)
         c = element(column, dict(df.dtypes)[column])
-        rows = df.where(F.col(column).isNotNull()).select(*by, sign.cast("long").alias("w"), F.explode(F.array(*empty.bit_exprs(c))).alias("bit"))
+        rows = bits.positions(df.where(F.col(column).isNotNull()), empty.pair(c), empty.spread, by, sign.cast("long").alias("w"))
         return cls(params, rows.groupBy(*by, "bit").agg(F.sum("w").alias("cnt")), by)
 
     @classmethod
@@ -226,9 +235,12 @@ class PartitionedBloomFilter(BloomFilter):
     def n_bits(self) -> int:
         return self.params.slices * self.params.slice_bits
 
-    def bit_exprs(self, c: Column) -> list[Column]:
-        m = self.params.slice_bits
-        return [e + i * m for i, e in enumerate(indexes(c, m, self.params.slices, self.params.seed, self.params.spec))]
+    @property
+    def modulus(self) -> int:
+        return self.params.slice_bits
+
+    def spread(self, a: Column, b: Column) -> list[Column]:
+        return [e + i * self.modulus for i, e in enumerate(from_pair(a, b, self.modulus, self.params.slices))]
 
     @classmethod
     def from_items(cls, df: DataFrame, column: str, rate: float, n: int | None = None, **more) -> PartitionedBloomFilter:
@@ -299,16 +311,20 @@ class ScalableBloomFilter(Filter):
         c = element(column, dict(df.dtypes)[column])
         keys = df.where(F.col(column).isNotNull()).select(c.alias("e")).distinct()
         plan = params.plan_for(keys.count())
-        total, at = sum(p.capacity for p in plan), 0
-        place, generation = params.spec.mod(params.spec.of(F.col("e"), params.seed + 3), total), F.lit(len(plan) - 1)
-        for i, p in reversed(list(enumerate(plan))):
-            at = sum(q.capacity for q in plan[: i + 1])
-            generation = F.when(place < at, i).otherwise(generation)
-        keys = keys.withColumn("generation", generation)
-        parts = [keys.where(F.col("generation") == i).select(F.lit(i).alias("generation"), F.explode(F.array(*PartitionedBloomFilter(p, keys).bit_exprs(F.col("e")))).alias("bit")) for i, p in enumerate(plan)]
-        state = parts[0]
-        for p in parts[1:]:
-            state = state.unionAll(p)
+        h1, h2 = hash_twice(F.col("e"), params.seed, params.spec)
+        place = params.spec.mod(params.spec.of(F.col("e"), params.seed + 3), sum(p.capacity for p in plan))
+        generation = F.lit(len(plan) - 1)
+        for i in reversed(range(len(plan) - 1)):
+            generation = F.when(place < sum(q.capacity for q in plan[: i + 1]), i).otherwise(generation)
+        of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("generation") + 1)
+        m, wrap = F.col("m"), F.col("wrap")
+        mod = lambda h: F.pmod(F.pmod(h, m) + (F.when(h < 0, wrap).otherwise(0) if params.spec.signed else 0), m)
+        rows = keys.select(generation.alias("generation"), h1.alias("h1"), h2.alias("h2"))
+        rows = rows.select("generation", "h1", "h2", of([p.slice_bits for p in plan]).alias("m"), of([(1 << 64) % p.slice_bits for p in plan]).alias("wrap"), of([p.slices for p in plan]).alias("k"))
+        rows = rows.select("generation", "m", "k", mod(F.col("h1")).alias("a"), mod(F.col("h2")).alias("b"))
+        i = F.col("i")
+        rows = rows.select("generation", "m", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
+        state = rows.select("generation", (i * m + (F.col("a") + i * F.col("b") + i * i * i - F.expr("i div 6")) % m).alias("bit"))
         return cls(params, state.distinct(), len(plan))
 
     @classmethod
@@ -342,10 +358,20 @@ class ScalableBloomFilter(Filter):
             yield PartitionedBloomFilter(p, self.state.where(F.col("generation") == i).select("bit"))
 
     def probe(self, df: DataFrame, column: str, out: str = "has", packed_bits: int = PACKED_BITS) -> DataFrame:
-        """In one generation at least; the largest is asked first."""
+        """In one generation at least; the largest is asked first. All generations are packed into one value while it is small enough."""
+        filters = list(self.filters())
+        starts = [sum(f.n_bits for f in filters[:i]) for i in range(len(filters) + 1)]
+        got, c = df.drop(out), element(column, dict(df.dtypes)[column])
+        if starts[-1] <= min(packed_bits, PACKED_BITS):
+            flat = self.state.select((F.col("bit") + F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("generation") + 1)).alias("bit"))
+            packed, stay = bits.words(flat, starts[-1]).scalar(), F.spark_partition_id().cast("long") * 0
+            pairs = {f"__q_{n}{i}": x + stay for i, f in enumerate(filters) for n, x in zip("ab", f.pair(c), strict=True)}
+            hit = F.lit(False)
+            for i, f in reversed(list(enumerate(filters))):
+                hit = hit | bits.all_set(packed, [e + starts[i] for e in f.spread(F.col(f"__q_a{i}"), F.col(f"__q_b{i}"))])
+            return got.withColumns(pairs).withColumn(out, F.coalesce(hit, F.lit(False))).drop(*pairs)
         names = [f"__q_g{i}" for i in range(self.generations)]
-        got = df.drop(out)
-        for name, f in reversed(list(zip(names, self.filters(), strict=True))):
+        for name, f in zip(names, filters, strict=True):
             got = f.probe(got, column, name, packed_bits)
         hit = F.lit(False)
         for n in reversed(names):

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.hashing import SPECS, XXH64, HashSpec, element, indexes
+from quarry.functions.hashing import SPECS, XXH64, HashSpec, element, from_pair, pair
 from quarry.functions.params import DEFAULT_SEED, check_rate
-from quarry.operators.bits import same_rows
+from quarry.operators.bits import positions, same_rows
 from quarry.operators.bloom import seed_in, seed_out
 
 
@@ -40,8 +40,11 @@ class CountMinSketch:
     def __init__(self, params: CMSParams, state: DataFrame, by: tuple[str, ...] = ()):
         self.params, self.state, self.by = params, state, tuple(by)
 
-    def _cells(self, c: Column) -> Column:
-        return F.array(*indexes(c, self.params.columns, self.params.rows, self.params.seed, self.params.spec))
+    def _cells(self, df: DataFrame, c: Column, *more: Column) -> DataFrame:
+        """(by, more, row, col) of the elements."""
+        p = self.params
+        rows = positions(df, pair(c, p.columns, p.seed, p.spec), lambda a, b: from_pair(a, b, p.columns, p.rows), self.by, *more)
+        return rows.withColumnsRenamed({"i": "row", "bit": "col"})
 
     @classmethod
     def build(cls, df: DataFrame, column: str, params: CMSParams, weight: str | None = None, by: tuple[str, ...] = (), turnstile: bool = False) -> CountMinSketch:
@@ -50,7 +53,7 @@ class CountMinSketch:
         if weight is not None and not turnstile:
             w = F.when(w > 0, w).otherwise(F.raise_error(F.lit("weights must be positive")).cast("long"))
         c = element(column, dict(df.dtypes)[column])
-        rows = df.where(F.col(column).isNotNull()).select(*by, w.alias("w"), F.posexplode(cls(params, df)._cells(c)).alias("row", "col"))
+        rows = cls(params, df, by)._cells(df.where(F.col(column).isNotNull()), c, w.alias("w"))
         return cls(params, rows.groupBy(*by, "row", "col").agg(F.sum("w").alias("cnt")), by)
 
     def update(self, df: DataFrame, column: str, weight: str | None = None) -> CountMinSketch:
@@ -66,7 +69,7 @@ class CountMinSketch:
         """keys with the estimated weight of each element; null elements have 0."""
         c = element(column, dict(keys.dtypes)[column])
         keys = keys.drop(out).withColumn("__q_e", c)
-        cells = keys.where("__q_e is not null").select(*self.by, "__q_e").distinct().select(*self.by, "__q_e", F.posexplode(self._cells(F.col("__q_e"))).alias("row", "col"))
+        cells = self._cells(keys.where("__q_e is not null").select(*self.by, "__q_e").distinct(), F.col("__q_e"), F.col("__q_e"))
         found = cells.join(self.state, [*self.by, "row", "col"], "left").groupBy(*self.by, "__q_e").agg(F.min(F.coalesce("cnt", F.lit(0))).alias(out))
         joined = keys.join(found, [*self.by, "__q_e"], "left")
         return joined.select(*[F.col(f"`{x}`") for x in keys.columns if x != "__q_e"], F.coalesce(out, F.lit(0)).cast("long").alias(out))
