@@ -378,6 +378,11 @@ class ScalableBloomFilter(Filter):
             hit = hit | F.col(n)
         return got.withColumn(out, hit).drop(*names)
 
+    @property
+    def current(self) -> PartitionedBloomFilter:
+        """The latest generation."""
+        return list(self.filters())[-1]
+
     def capacity(self) -> int:
         return sum(p.capacity for p in self.params.plan(self.generations))
 

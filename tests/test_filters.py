@@ -125,6 +125,7 @@ def test_scalable_growth(spark):
     assert f.generations == 6 and share(f, df) == 1.0
     # slices of m bits know m^2 pairs of hashes, so that double hashing adds n / m^2 a generation to the rate
     assert share(f, items(spark, 20_000, 40_000)) <= 0.01
+    assert f.current.params.slices >= 14 and f.current.state.count() > 0
     g = ScalableBloomFilter.build(df, "e", ScalableParams(128, 0.0001))
     assert share(g, df) == 1.0 and g.capacity() >= len(names) and g.rate()["any"] < 0.01
 
@@ -208,3 +209,29 @@ def test_scalable_json(spark):
     f = ScalableBloomFilter.build_ordered(df, "e", "seq", ScalableParams(1, 0.1))
     back = from_json(spark, f.to_json())
     assert back.generations == f.generations and share(back, df) == 1.0
+
+
+# ------------------------------------------------------------------ protocols, draws
+
+def test_protocols(spark):
+    from quarry.operators.frequency import CMSParams, CountMinSketch
+    from quarry.operators.interfaces import Counting, Membership, Removable, with_seed
+
+    df = items(spark, 0, 5)
+    p = BloomParams(100, 2)
+    assert isinstance(BloomFilter.build(df, "e", p), Membership) and not isinstance(BloomFilter.build(df, "e", p), Removable)
+    assert isinstance(CountingBloomFilter.build(df, "e", p), Removable) and isinstance(CountMinSketch.build(df, "e", CMSParams(10, 2)), Counting)
+    other = with_seed(p, 7)
+    assert other.seed == 7 and other.size == p.size
+    with pytest.raises(ValueError):
+        BloomFilter.build(df, "e", p).merge(BloomFilter.build(df, "e", other))
+
+
+def test_draws(spark):
+    from quarry.functions.draws import next_int32, random_int
+
+    got = [r.x for r in spark.range(2000).select(random_int(3, 6, 1).alias("x")).collect()]
+    assert set(got) == {3, 4, 5, 6} and got == [r.x for r in spark.range(2000).select(random_int(3, 6, 1).alias("x")).collect()]
+    assert spark.range(10).select(next_int32(1).alias("x")).distinct().count() == 10
+    with pytest.raises(ValueError):
+        random_int(2, 1, 0)
