@@ -33,7 +33,9 @@ from quarry.llm.common import settle
 U64 = np.uint64
 GRAM = 32
 #: Bytes of context that a task sorts at a time (whole digits; one digit's contexts always together), texts' bytes combined before they are sent.
-SORTED, COMBINED = 8 << 20, 16 << 20
+SORTED, COMBINED = 4 << 20, 8 << 20
+#: Occurrences of one digit above which its windows are dealt one by one.
+HOT = 4096
 #: Bytes that are hashed at a time.
 HASHED = 1 << 20
 FIRST_ID = -(2**63)
@@ -164,26 +166,53 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str, most: int, size) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def _repeated(digits: DataFrame) -> DataFrame:
-    """(cid, place) of the anchors whose digit occurs at two places at least."""
+def _repeated(digits: DataFrame, most: int) -> DataFrame:
+    """(cid, place, hot) of the anchors whose digit occurs at two places at least; hot: at over `most`.
+
+    No more than a digit's first rows are held: a longer one is hot, and its rows pass through.
+    """
+
+    def out(digit: np.ndarray, cid: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((place, cid, digit))
+        digit, cid, place = digit[order], cid[order], place[order]
+        new = np.ones(len(digit), bool)
+        new[1:] = (digit[1:] != digit[:-1]) | (cid[1:] != cid[:-1]) | (place[1:] != place[:-1])
+        digit, cid, place = digit[new], cid[new], place[new]
+        _, which, count = np.unique(digit, return_inverse=True, return_counts=True)
+        count = count[which]
+        many = count > 1
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(cid[many]), pa.array(place[many]), pa.array(count[many] > most)], names=["cid", "place", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, "digit", 1 << 19, lambda b: b.num_rows):
-            digit, cid, place = (t.column(k).to_numpy() for k in range(3))
-            order = np.lexsort((place, cid, digit))
-            digit, cid, place = digit[order], cid[order], place[order]
-            new = np.ones(len(digit), bool)
-            new[1:] = (digit[1:] != digit[:-1]) | (cid[1:] != cid[:-1]) | (place[1:] != place[:-1])
-            digit, cid, place = digit[new], cid[new], place[new]
-            like = digit[1:] == digit[:-1]
-            many = np.zeros(len(digit), bool)
-            many[1:] |= like
-            many[:-1] |= like
-            if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cid[many]), pa.array(place[many])], names=["cid", "place"])
+        held: list[tuple[np.ndarray, ...]] = []
+        passing = None
+        for b in batches:
+            cols = tuple(c.to_numpy() for c in b.columns)
+            if passing is not None and len(cols[0]):
+                n = int(np.searchsorted(cols[0], passing, "right"))
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[1][:n]), pa.array(cols[2][:n]), pa.array(np.ones(n, bool))], names=["cid", "place", "hot"])
+                cols = tuple(c[n:] for c in cols)
+            if not len(cols[0]):
+                continue
+            passing = None
+            held.append(cols)
+            if sum(len(c[0]) for c in held) < 1 << 17:
+                continue
+            cols = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            yield from out(*(c[:last] for c in cols))
+            held = [tuple(c[last:] for c in cols)]
+            if len(held[0][0]) > most:
+                (digit, cid, place), held = held[0], []
+                passing = digit[0]
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(place), pa.array(np.ones(len(cid), bool))], names=["cid", "place", "hot"])
+        if held:
+            yield from out(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     parts = int(digits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return digits.repartition(parts, "digit").sortWithinPartitions("digit").mapInArrow(run, "cid long, place int")
+    return digits.repartition(parts, "digit").sortWithinPartitions("digit").mapInArrow(run, "cid long, place int, hot boolean")
 
 
 CONTEXT = T.StructType([T.StructField(n, k) for n, k in (("digit", T.LongType()), ("id", T.LongType()), ("cid", T.LongType()), ("start", T.IntegerType()), ("before", T.IntegerType()), ("windows", T.IntegerType()), ("context", T.BinaryType()))])
@@ -224,7 +253,8 @@ def _contexts(found: DataFrame, window: int) -> DataFrame:
 
     Where a task meets equal contexts of one digit, only the earliest is sent on; the others hold
     nothing but repeated windows, and rows of their joined ranges (windows = 0, before = the length)
-    say so. A digit is repeated if one of its places is listed.
+    say so. A digit is repeated if one of its places is listed. The windows of hot digits come one
+    by one, each under its own hash: no group of different contexts is then larger than that.
     """
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -251,10 +281,20 @@ def _contexts(found: DataFrame, window: int) -> DataFrame:
             ids, cids = b.column(0).to_pylist(), b.column(1).to_pylist()
             for k, text in _spread(b, 3):
                 h, place, lo, hi = anchors(text, window)
-                keep = np.flatnonzero(np.isin(h, h[np.isin(place, b.column(2)[k].values.to_numpy())]))
-                for d, p, s, e in zip(h[keep].view(np.int64).tolist(), place[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
-                    rows.append((d, ids[k], cids[k], s, p - s, e - s + 1, text[s : e + window]))
+                listed = b.column(2)[k].values
+                at, hot = listed.field(0).to_numpy(), listed.field(1).to_numpy(zero_copy_only=False)
+                keep = np.isin(h, h[np.isin(place, at)])
+                single = keep & np.isin(h, h[np.isin(place, at[hot])])
+                for j in np.flatnonzero(keep & ~single).tolist():
+                    s, e = int(lo[j]), int(hi[j])
+                    rows.append((int(h[j].view(np.int64)), ids[k], cids[k], s, int(place[j]) - s, e - s + 1, text[s : e + window]))
                     size += e - s + window
+                if single.any():
+                    own = rolling(np.frombuffer(text, np.uint8), window).view(np.int64)
+                    for j in np.flatnonzero(single).tolist():
+                        for s in range(int(lo[j]), int(hi[j]) + 1):
+                            rows.append((int(own[s]), ids[k], cids[k], s, 0, 1, text[s : s + window]))
+                            size += window
                 if size > COMBINED:
                     yield out(rows)
                     rows, size = [], 0
@@ -342,7 +382,7 @@ def union_of(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept", counts: tuple[str, str, str] = ("n_bytes", "n_removed", "n_spans"), digest_col: str | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept", counts: tuple[str, str, str] = ("n_bytes", "n_removed", "n_spans"), digest_col: str | None = None, as_text: bool = False, hot: int = HOT) -> DataFrame:
     """docs with the bytes that stay (binary), and the numbers of bytes, removed bytes and maximal removed runs.
 
     A byte is removed if a string of window bytes covers it that also starts earlier: in a document
@@ -352,6 +392,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     their texts' SHA-256, and of repeated rows (same id and text) one counts as the earlier one.
     With digest_col the SHA-256 of the bytes that stay (lower-case hex) comes instead of kept_col.
     With as_text kept_col is a string: what is left of a character that was cut goes, null stays null.
+    Digits with more than hot occurrences have their windows dealt one by one; the result is the same.
     Columns of docs that bear one of these names are replaced. window is at least 64.
     """
     if window < 2 * GRAM:
@@ -366,9 +407,9 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     seen = settle(docs.select(key.alias("id"), sha.alias("sha"), cid.alias("cid")).groupBy("id", "sha", "cid").agg(F.count(F.lit(1)).alias("n")))
     firsts = settle(seen.groupBy("sha", "cid").agg(F.min("id").alias("id")).select("id", "cid"))
     long_texts = docs.where(F.octet_length(text_col) >= window).select(key.alias("id"), cid.alias("cid"), F.col(text_col).alias("text"))
-    places = settle(_repeated(_first_digits(long_texts, window)))
+    places = settle(_repeated(_first_digits(long_texts, window), hot))
     _release(spark)
-    wanted = settle(places.groupBy("cid").agg(F.collect_list("place").alias("places")).join(firsts.hint("merge"), "cid"))
+    wanted = settle(places.groupBy("cid").agg(F.collect_list(F.struct("place", "hot")).alias("places")).join(firsts.hint("merge"), "cid"))
     found = long_texts.join(wanted.hint("merge"), ["id", "cid"]).select("id", "cid", "places", "text")
     ranges = settle(_ranges(_contexts(found, window), window))
     _release(spark)

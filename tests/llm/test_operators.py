@@ -246,6 +246,13 @@ def test_repeats(spark, docs, none):
     assert remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 5])
+def test_repeats_of_hot_digits(docs, hot):
+    out = remove_repeats(docs, digest_col="kept_sha256", hot=hot)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()]
+    assert X.multiset(got) == X.multiset(X.repeats_removed(X.ROWS))
+
+
 def test_repeats_as_text(spark):
     rows = [(1, "ab" + "é" * 120), (2, "x" + "é" * 70 + "y"), (3, None)]
     got = {r.doc_id: r.kept for r in remove_repeats(X.documents(spark, rows), as_text=True).collect()}
