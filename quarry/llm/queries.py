@@ -103,6 +103,21 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 200)) AS w FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS s FROM d)),
+dup AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS n FROM w) WHERE n > 1),
+brk AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS k FROM dup),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT doc_id, s, sum(k) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM brk) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS stop, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head
+         FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup at ten documents: counts of lines and the digest of what stays."""
     out = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, counts=("n_lines", "n_dropped"))
@@ -142,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_sql(), "op4_topk_search": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op3_url_filters": url_sql(), "op4_topk_search": OP4_SQL, "op6_quality_rules": OP6_SQL, "op7_suffix_array_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
