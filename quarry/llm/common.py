@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +58,18 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of passes that are over and whose results are stored.
+
+    It does so once the driver has collected their plans; finalizers let go of the last ones only
+    in a second collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def sha256_hex(c: Column) -> Column:
     """Lower-case hex SHA-256 of a string's UTF-8 or of a binary."""
     return F.sha2(c, 256)

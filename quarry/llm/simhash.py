@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import settle
+from quarry.llm.common import release, settle
 from quarry.llm.components import components
 
 U64 = np.uint64
@@ -218,7 +218,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, n_words: i
     prints = settle(fingerprints(docs, words, n_words, id_col, text_col))
     names = [f"f{k}" for k in range(n_words)]
     distinct = settle(prints.groupBy("node", *names).agg(F.min("id").alias("least_id")))
-    reach = settle(components(link_fingerprints(distinct, n_words, radius, chain, within)))
+    links = settle(link_fingerprints(distinct, n_words, radius, chain, within))
+    release(docs.sparkSession)
+    reach = settle(components(links))
     least = F.coalesce("least", "node")
     linked = settle(distinct.select("node", "least_id").join(reach, "node", "left").select("node", "least_id", least.alias("least")))
     ids = settle(linked.groupBy("least").agg(F.min("least_id").alias("component_id")))
@@ -238,6 +240,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, n_words: int = 4,
     """
     found = settle(near_duplicates(docs, words, radius, n_words, chain, within, id_col, text_col))
     stay = settle(found.groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("k"), "text_hash")).alias("s")).select("s.k", "s.text_hash").distinct())
+    release(docs.sparkSession)
     key, text_hash = "__q_id", "__q_text"
     out = docs.withColumns({key: F.coalesce(id_col, F.lit(-(2**63))), text_hash: F.xxhash64(text_col)})
     out = out.join(stay.select(F.col("k").alias(key), F.col("text_hash").alias(text_hash)).hint("merge"), [key, text_hash])

@@ -17,18 +17,17 @@ a group are covered by what is removed.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import settle
+from quarry.llm.common import release, settle
 
 U64 = np.uint64
 GRAM = 32
@@ -104,12 +103,6 @@ def anchors(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return h[place], place, starts, np.append(starts[1:] - 1, len(least) - 1)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of the passes that are over, whose results are stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _spread(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, bytes]]:
     for i, x in enumerate(b.column(k)):
         yield i, (x.as_py() or "").encode()
@@ -408,11 +401,11 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     firsts = settle(seen.groupBy("sha", "cid").agg(F.min("id").alias("id")).select("id", "cid"))
     long_texts = docs.where(F.octet_length(text_col) >= window).select(key.alias("id"), cid.alias("cid"), F.col(text_col).alias("text"))
     places = settle(_repeated(_first_digits(long_texts, window), hot))
-    _release(spark)
+    release(spark)
     wanted = settle(places.groupBy("cid").agg(F.collect_list(F.struct("place", "hot")).alias("places")).join(firsts.hint("merge"), "cid"))
     found = long_texts.join(wanted.hint("merge"), ["id", "cid"]).select("id", "cid", "places", "text")
     ranges = settle(_ranges(_contexts(found, window), window))
-    _release(spark)
+    release(spark)
     spans = settle(ranges.groupBy("id", "cid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
     # every distinct (id, text): the earliest of its text has its spans, a later copy is a copy
     marks = seen.join(firsts.withColumn("first", F.lit(True)), ["id", "cid"], "left").select("id", "cid", "n", F.col("first").isNotNull().alias("first"))
