@@ -425,6 +425,31 @@ def minhash_pairs(spark, d):
     return _minhash(spark, d).candidates(2)
 
 
+DOC_FAMILY = hash_family(32, 1_000_003)
+_DOC_X = f"(SELECT DISTINCT doc_id AS k, {h(1, 'g')} % 1000003 AS x FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))))"
+_DOC_SIGS = "SELECT k, [" + ", ".join(f"min(({a} * x + {b}) % {c})" for a, b, c in DOC_FAMILY) + "]::BIGINT[] AS sig FROM x GROUP BY k"
+
+
+@query(f"""WITH x AS {_DOC_X}, s AS ({_DOC_SIGS}), r AS (SELECT sig, min(k) AS k FROM s GROUP BY sig),
+band AS (SELECT k, i, sig[i * 4 + 1:i * 4 + 4] AS part FROM (SELECT k, sig, unnest(range(8)) AS i FROM r)),
+p AS (SELECT DISTINCT a.k AS a, b.k AS b FROM band a JOIN band b ON a.i = b.i AND a.part = b.part AND a.k < b.k
+  UNION ALL SELECT r.k, s.k FROM s JOIN r USING (sig) WHERE s.k <> r.k),
+n AS (SELECT k, count(*) AS n FROM x GROUP BY k),
+j AS (SELECT p.a, p.b, count(*) AS shared FROM p JOIN x xa ON xa.k = p.a JOIN x xb ON xb.k = p.b AND xa.x = xb.x GROUP BY p.a, p.b)
+SELECT a, b, shared, na.n + nb.n - shared AS union_size FROM j JOIN n na ON na.k = a JOIN n nb ON nb.k = b WHERE 10 * shared >= 8 * (na.n + nb.n - shared)""")
+def doc_near_duplicates(spark, d):
+    """Pairs of documents of exact Jaccard similarity 0.8 or more among those that share a band of their signatures."""
+    w = F.col("w")
+    grams = t(spark, d, "documents").select(F.col("doc_id").alias("k"), F.split("text", " ").alias("w")).where(F.size(w) >= 3)
+    grams = grams.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))).alias("g"))
+    x = grams.select("k", (PORTABLE.of(F.col("g"), 1) % 1_000_003).alias("x")).distinct()
+    pairs = MinHash.build(x, "x", DOC_FAMILY, ("k",)).candidates(4)
+    sizes = x.groupBy("k").count()
+    both = pairs.join(x.withColumnRenamed("k", "a"), "a").join(x.select(F.col("k").alias("b"), "x"), ["b", "x"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sized = both.join(sizes.select(F.col("k").alias("a"), F.col("count").alias("na")), "a").join(sizes.select(F.col("k").alias("b"), F.col("count").alias("nb")), "b")
+    return sized.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("union_size")).where(10 * F.col("shared") >= 8 * F.col("union_size"))
+
+
 # ------------------------------------------------------------------ reconciliation
 
 IB = IBLTParams(60, 1.5, 3, max_bytes=14, spec=PORTABLE)
