@@ -18,6 +18,10 @@ from quarry.operators import bits
 from quarry.operators.bits import PACKED_BITS
 
 
+#: Bit tests of a scalable probe that are put into one generated predicate.
+TERMS = 32
+
+
 def seed_out(seed: int) -> dict:
     return {"$bf$bigint": str(seed)}
 
@@ -311,21 +315,25 @@ class ScalableBloomFilter(Filter):
         c = element(column, dict(df.dtypes)[column])
         keys = df.where(F.col(column).isNotNull()).select(c.alias("e")).distinct()
         plan = params.plan_for(keys.count())
-        h1, h2 = hash_twice(F.col("e"), params.seed, params.spec)
         place = params.spec.mod(params.spec.of(F.col("e"), params.seed + 3), sum(p.capacity for p in plan))
         generation = F.lit(len(plan) - 1)
         for i in reversed(range(len(plan) - 1)):
             generation = F.when(place < sum(q.capacity for q in plan[: i + 1]), i).otherwise(generation)
+        state = cls._positions(keys.withColumn("generation", generation), params, plan)
+        return cls(params, state.select("generation", "bit").distinct(), len(plan))
+
+    @staticmethod
+    def _positions(rows: DataFrame, params: ScalableParams, plan: list[PartitionedParams]) -> DataFrame:
+        """(e, generation, k, bit) for rows (e, generation): the modulus and the number of slices come from the plan, row by row."""
+        h1, h2 = hash_twice(F.col("e"), params.seed, params.spec)
         of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("generation") + 1)
-        m, wrap = F.col("m"), F.col("wrap")
+        m, wrap, i = F.col("m"), F.col("wrap"), F.col("i")
         mod = lambda h: F.pmod(F.pmod(h, m) + (F.when(h < 0, wrap).otherwise(0) if params.spec.signed else 0), m)
-        rows = keys.select(generation.alias("generation"), h1.alias("h1"), h2.alias("h2"))
-        rows = rows.select("generation", "h1", "h2", of([p.slice_bits for p in plan]).alias("m"), of([(1 << 64) % p.slice_bits for p in plan]).alias("wrap"), of([p.slices for p in plan]).alias("k"))
-        rows = rows.select("generation", "m", "k", mod(F.col("h1")).alias("a"), mod(F.col("h2")).alias("b"))
-        i = F.col("i")
-        rows = rows.select("generation", "m", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
-        state = rows.select("generation", (i * m + (F.col("a") + i * F.col("b") + i * i * i - F.expr("i div 6")) % m).alias("bit"))
-        return cls(params, state.distinct(), len(plan))
+        rows = rows.select("e", "generation", h1.alias("h1"), h2.alias("h2"))
+        rows = rows.select("e", "generation", "h1", "h2", of([p.slice_bits for p in plan]).alias("m"), of([(1 << 64) % p.slice_bits for p in plan]).alias("wrap"), of([p.slices for p in plan]).alias("k"))
+        rows = rows.select("e", "generation", "m", "k", mod(F.col("h1")).alias("a"), mod(F.col("h2")).alias("b"))
+        rows = rows.select("e", "generation", "m", "k", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
+        return rows.select("e", "generation", "k", (i * m + (F.col("a") + i * F.col("b") + i * i * i - F.expr("i div 6")) % m).alias("bit"))
 
     @classmethod
     def build_ordered(cls, df: DataFrame, column: str, order: str, params: ScalableParams = ScalableParams()) -> ScalableBloomFilter:
@@ -358,11 +366,15 @@ class ScalableBloomFilter(Filter):
             yield PartitionedBloomFilter(p, self.state.where(F.col("generation") == i).select("bit"))
 
     def probe(self, df: DataFrame, column: str, out: str = "has", packed_bits: int = PACKED_BITS) -> DataFrame:
-        """In one generation at least; the largest is asked first. All generations are packed into one value while it is small enough."""
+        """In one generation at least.
+
+        Up to TERMS positions in all, the generations are packed into one value and the largest is
+        asked first; beyond, the distinct elements are joined with the set bits of all generations.
+        """
         filters = list(self.filters())
         starts = [sum(f.n_bits for f in filters[:i]) for i in range(len(filters) + 1)]
         got, c = df.drop(out), element(column, dict(df.dtypes)[column])
-        if starts[-1] <= min(packed_bits, PACKED_BITS):
+        if starts[-1] <= min(packed_bits, PACKED_BITS) and sum(f.params.slices for f in filters) <= TERMS:
             flat = self.state.select((F.col("bit") + F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("generation") + 1)).alias("bit"))
             packed, stay = bits.words(flat, starts[-1]).scalar(), F.spark_partition_id().cast("long") * 0
             pairs = {f"__q_{n}{i}": x + stay for i, f in enumerate(filters) for n, x in zip("ab", f.pair(c), strict=True)}
@@ -370,13 +382,10 @@ class ScalableBloomFilter(Filter):
             for i, f in reversed(list(enumerate(filters))):
                 hit = hit | bits.all_set(packed, [e + starts[i] for e in f.spread(F.col(f"__q_a{i}"), F.col(f"__q_b{i}"))])
             return got.withColumns(pairs).withColumn(out, F.coalesce(hit, F.lit(False))).drop(*pairs)
-        names = [f"__q_g{i}" for i in range(self.generations)]
-        for name, f in zip(names, filters, strict=True):
-            got = f.probe(got, column, name, packed_bits)
-        hit = F.lit(False)
-        for n in reversed(names):
-            hit = hit | F.col(n)
-        return got.withColumn(out, hit).drop(*names)
+        asked = got.where(c.isNotNull()).select(c.alias("e")).distinct().withColumn("generation", F.explode(F.sequence(F.lit(0), F.lit(self.generations - 1))))
+        cells = self._positions(asked, self.params, [f.params for f in filters]).join(self.state, ["generation", "bit"], "left_semi")
+        hits = cells.groupBy("e", "generation").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k")).where("n = k").select(F.col("e").alias("__q_e")).distinct().withColumn(out, F.lit(True))
+        return got.withColumn("__q_e", c).join(hits, "__q_e", "left").drop("__q_e").withColumn(out, F.coalesce(out, F.lit(False)))
 
     @property
     def current(self) -> PartitionedBloomFilter:

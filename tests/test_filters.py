@@ -130,6 +130,13 @@ def test_scalable_growth(spark):
     assert share(g, df) == 1.0 and g.capacity() >= len(names) and g.rate()["any"] < 0.01
 
 
+def test_scalable_of_one_generation(spark):
+    """Few enough positions for the packed path."""
+    f = ScalableBloomFilter.build(items(spark, 0, 1000), "e", ScalableParams(2000, 0.01))
+    assert f.generations == 1 and share(f, items(spark, 0, 1000)) == 1.0 and share(f, items(spark, 5000, 15_000)) <= 0.02
+    assert [r.has for r in f.probe(words(spark, None, "1"), "e").orderBy("e").collect()] == [False, True]
+
+
 # ------------------------------------------------------------------ XOR and cuckoo
 
 @pytest.mark.parametrize("width", [8, 16, 32, 64])
