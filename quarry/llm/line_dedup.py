@@ -33,6 +33,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     text = text_of(text_col)
     base = docs.withColumn(ROW, F.xxhash64(F.col(id_col), F.col(text_col)))
     lines = base.select(ROW, F.posexplode(F.split(text, "\n", -1)).alias(POS, KEY)).withColumn(KEY, line_key(F.col(KEY))).where(F.length(KEY) >= min_chars).withColumn(KEY, F.unhex(F.md5(KEY)))
+    lines = settle(lines)  # 28 bytes a line: less than normalising and hashing all of them twice
     shared = settle(lines.groupBy(KEY).agg(F.count_distinct(ROW).alias("n")).where(F.col("n") >= min_docs).select(KEY))
     gone = settle(lines.join(shared, KEY).groupBy(ROW).agg(F.collect_list(POS).alias(GONE)))
     # merged at every size: a broadcast would only hold while few lines go
