@@ -34,7 +34,7 @@ GRAM = 32
 #: Bytes of context that a task sorts at a time (whole digits; one digit's contexts always together), texts' bytes combined before they are sent.
 SORTED, COMBINED = 4 << 20, 8 << 20
 #: Occurrences of one digit above which its windows are dealt one by one.
-HOT = 4096
+HOT = 1024
 #: Bytes that are hashed at a time.
 HASHED = 1 << 20
 FIRST_ID = -(2**63)
