@@ -120,7 +120,12 @@ class Ring:
 
 
 def _join_runs(key: np.ndarray, f: list[np.ndarray], ring: Ring, within: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (positions) inside runs of equal keys; key's top 16 bits name the key's number and word."""
+    """Links (positions) inside runs of equal keys; key's top 16 bits name the key's number and word.
+
+    In each run enough links are found to connect all that are linked in it. A link between two that
+    share an earlier key's run is left to that run: as all its links are connected there, by
+    induction nothing falls apart, and a link comes out once instead of once a key.
+    """
     tag = (key >> U64(48)).astype(np.int64)
     start = np.array([i for i, _ in ring.keys])[tag % len(ring.keys)]
     word = tag // len(ring.keys)
@@ -135,6 +140,20 @@ def _join_runs(key: np.ndarray, f: list[np.ndarray], ring: Ring, within: int | N
             ok = ok[sum(np.bitwise_count(w[a[ok]] ^ w[b[ok]]).astype(np.int64) for w in f) <= within]
         return ok
 
+    def once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the pairs that an earlier key finds too: its run connects them."""
+        for t in range(int(tag[a].max(initial=0))):
+            i, mask = ring.keys[t % len(ring.keys)]
+            x = f[t // len(ring.keys)]
+            x = x[a] ^ x[b]
+            met = np.zeros(len(a), bool)
+            maybe = np.flatnonzero((ring.turned(x, i) & mask == 0) & (tag[a] > t))
+            met[maybe[ring.holds(x[maybe], np.full(len(maybe), i))]] = True
+            a, b = a[~met], b[~met]
+            if not len(a):
+                break
+        return a, b
+
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     length = np.diff(edge)
     small = np.repeat(length <= SHIFTS, length)
@@ -154,11 +173,11 @@ def _join_runs(key: np.ndarray, f: list[np.ndarray], ring: Ring, within: int | N
                     links.append((np.full(len(ok), a), left[ok]))
                     todo += left[ok].tolist()
                     left = np.delete(left, ok)
-    return links
+    return [once(*(np.concatenate(x) for x in zip(*links, strict=True)))] if links else []
 
 
-def link_fingerprints(distinct: DataFrame, n_words: int, radius: int, chain: int, within: int | None) -> DataFrame:
-    """Edges (u, v) between nodes, enough to connect all linked fingerprints."""
+def link_fingerprints(distinct: DataFrame, n_words: int, word: int, radius: int, chain: int, within: int | None) -> DataFrame:
+    """Edges (u, v) between nodes, enough to connect all fingerprints that are linked by the given word."""
     ring = Ring(radius, chain)
     names = [f"f{k}" for k in range(n_words)]
     keyed = T.StructType([T.StructField("key", T.LongType()), *(T.StructField(n, T.LongType()) for n in names)])
@@ -166,11 +185,10 @@ def link_fingerprints(distinct: DataFrame, n_words: int, radius: int, chain: int
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [b.column(k).to_numpy().view(U64) for k in range(n_words)]
-            for word in range(n_words):
-                for k, (i, mask) in enumerate(ring.keys):
-                    # the mixed parts fit 48 bits with a negligible chance of meeting; a meeting only adds a candidate
-                    key = (_mix(ring.turned(f[word], i) & mask) >> U64(16)) | (U64(word * len(ring.keys) + k) << U64(48))
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, *f)], names=keyed.names)
+            for k, (i, mask) in enumerate(ring.keys):
+                # the mixed parts fit 48 bits with a negligible chance of meeting; a meeting only adds a candidate
+                key = (_mix(ring.turned(f[word], i) & mask) >> U64(16)) | (U64(word * len(ring.keys) + k) << U64(48))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, *f)], names=keyed.names)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -218,8 +236,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, n_words: i
     prints = settle(fingerprints(docs, words, n_words, id_col, text_col))
     names = [f"f{k}" for k in range(n_words)]
     distinct = settle(prints.groupBy("node", *names).agg(F.min("id").alias("least_id")))
-    links = settle(link_fingerprints(distinct, n_words, radius, chain, within))
-    release(docs.sparkSession)
+    links = None
+    for word in range(n_words):  # one after the other: the shuffle of one is over before the next begins
+        found = settle(link_fingerprints(distinct, n_words, word, radius, chain, within))
+        links = found if links is None else links.unionAll(found)
+        release(docs.sparkSession)
     reach = settle(components(links))
     least = F.coalesce("least", "node")
     linked = settle(distinct.select("node", "least_id").join(reach, "node", "left").select("node", "least_id", least.alias("least")))
