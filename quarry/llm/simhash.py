@@ -15,13 +15,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.common import release, settle
 from quarry.llm.components import components
+from quarry.llm.jaccard import near_sets, shingle_hashes
 
 U64 = np.uint64
 #: Shingles whose bits are counted at a time; runs up to SHIFTS fingerprints are compared by shifting.
@@ -35,19 +35,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of each shingle of consecutive words, A-Z lower-cased; of all words if there are fewer; none without words."""
-    found = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not found:
-        return np.zeros(0, U64)
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    n = min(words, len(found))
-    starts = [0, *(ends[: len(found) - n] + 1).tolist()]
-    h = xxhash.xxh64_intdigest
-    return np.array([h(joined[a:b], 42) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)], U64)
-
-
 def fingerprint(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
     """Words of 64 bits: a bit is set if it is in over half the hashes. Words after the first take mixed hashes."""
     out = np.zeros(n_words, U64)
@@ -249,17 +236,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, n_words: i
     return prints.join(named, "node").select("id", "text_hash", *names, "component", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, n_words: int = 4, chain: int = 3, within: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near duplicates, the one of the smallest id.
 
-    The defaults mean five-word shingles and a similarity of 0.8 or more: at a Jaccard similarity
-    of 0.8 the angle between two shingle vectors is 27.3 degrees, 38.8 of 256 bits. A pair is found
-    if one of its four 64-bit words differs in radius bits or fewer: for radius 8 that is 81 % of
-    the pairs at 0.8, 96 % at 0.85 and over 99 % from 0.9 on.
+    Near duplicates share 0.8 or more of their sets of shingles (exact Jaccard similarity); all
+    such pairs are found, and no other pair links, as near_sets() says.
     Rows that repeat both id and text are one document, of which one row stays; of a group whose
     smallest id is borne by several texts the one of the smallest hash stays, null ids come first.
     """
-    found = settle(near_duplicates(docs, words, radius, n_words, chain, within, id_col, text_col))
+    found = settle(near_sets(docs, words, id_col, text_col))
     stay = settle(found.groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("k"), "text_hash")).alias("s")).select("s.k", "s.text_hash").distinct())
     release(docs.sparkSession)
     key, text_hash = "__q_id", "__q_text"
