@@ -62,3 +62,10 @@ def test_large_groups(spark):
     want, links = kept(rows)
     assert 50 < len(want) < 200 and links > 1000
     assert sorted(r.doc_id for r in simhash.keep_one(X.documents(spark, rows)).collect()) == want
+
+
+def test_a_repeated_shingle_makes_no_near_duplicates(spark):
+    """Shingles are sets: a shingle that makes up most of two different texts counts once."""
+    rows = [(i, "same " * 200 + " ".join(f"own{i}-{k}" for k in range(100))) for i in range(4)]
+    assert kept(rows) == ([0, 1, 2, 3], 0)
+    assert sorted(r.doc_id for r in simhash.keep_one(X.documents(spark, rows)).collect()) == [0, 1, 2, 3]
