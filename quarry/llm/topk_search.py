@@ -63,10 +63,12 @@ def search_batch(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarra
     for j in range(len(q)):
         high = middle[j] + off[j]
         # no candidate below the kth best lower bound, or the kth best so far, can be among the k best
-        floor = -np.inf if len(high) <= k else np.partition(middle[j] - off[j], len(high) - k - 1)[len(high) - k - 1 :].min()
+        others = ids != q_ids[j]
+        low = (middle[j] - off[j])[others]
+        floor = -np.inf if len(low) < k else np.partition(low, len(low) - k)[len(low) - k]
         if len(best[j][0]) == k:
             floor = max(floor, float(best[j][0][-1]))
-        left = np.flatnonzero((high >= floor) & (ids != q_ids[j]))
+        left = np.flatnonzero((high >= floor) & others)
         left = left[np.argsort(-high[left], kind="stable")]
         at, take = 0, 4 * k
         while at < len(left) and (len(best[j][0]) < k or high[left[at]] >= float(best[j][0][-1])):
