@@ -180,7 +180,11 @@ class CuckooFilter:
         return df.drop(out).withColumn("__q_e", c).join(hits, "__q_e", "left").drop("__q_e").withColumn(out, F.coalesce(out, F.lit(False)))
 
     def semi_join(self, df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-        return self.probe(df, column, "__q_has").where("__q_has").drop("__q_has").join(keys.select(F.col(key).alias(column)), column, "left_semi")
+        """Exact: rows of a shard that rejected elements all go on to the join with the keys."""
+        shard = self.locations(element(column, dict(df.dtypes)[column]))[0]
+        lossy = self.state.where("slot < 0 AND fp > 0").select(F.col("shard").alias("__q_shard"), F.lit(True).alias("__q_lossy")).distinct()
+        rows = self.probe(df, column, "__q_has").withColumn("__q_shard", shard).join(F.broadcast(lossy), "__q_shard", "left")
+        return rows.where(F.col("__q_has") | F.coalesce("__q_lossy", F.lit(False))).drop("__q_has", "__q_shard", "__q_lossy").join(keys.select(F.col(key).alias(column)), column, "left_semi")
 
     def load(self) -> DataFrame:
         """(used, free, size, load, n_rejected)."""
@@ -208,6 +212,8 @@ class CuckooFilter:
         for r in self.state.where("slot >= 0").toLocalIterator():
             tables[r.shard][r.bucket][r.slot] = r.fp
         body = {"_size": p.buckets, "_fingerprintLength": p.fp_bits, "_bucketSize": p.bucket_size, "_maxKicks": p.max_kicks, "_shards": p.shards, "_length": self.length()}
+        lost = [[r.shard, r.fp] for r in self.state.where("slot < 0 AND fp > 0").toLocalIterator()]
+        body |= {"_rejected": lost} if lost else {}
         filters = [[{"_size": p.bucket_size, "_elements": b, "_length": sum(x is not None for x in b)} for b in t] for t in tables]
         return json.dumps({"type": "CuckooFilter", **body, "_filter": filters, "_seed": seed_out(p.seed), "_hash": p.spec.name})
 
@@ -216,6 +222,7 @@ class CuckooFilter:
         x = json.loads(text)
         p = CuckooParams(x["_size"], x["_fingerprintLength"], x["_bucketSize"], x["_maxKicks"], x["_shards"], seed_in(x["_seed"]), SPECS[x.get("_hash", "xxh64")])
         rows = [(s, b, i, fp) for s, t in enumerate(x["_filter"]) for b, bucket in enumerate(t) for i, fp in enumerate(bucket["_elements"]) if fp is not None]
+        rows += [(s, -1, -1, n) for s, n in x.get("_rejected", [])]
         return cls(p, spark.createDataFrame(rows, "shard int, bucket long, slot int, fp long"))
 
 
