@@ -156,11 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """A model from labelled documents outside the held-out fifth.
 
     At most sample of them are taken, those of least hash of their id; labels without an id or a
-    quality are passed over, and the least quality counts where an id has several.
+    quality are passed over, and the least quality counts where an id has several. Of an id with several texts the least one counts.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__q_id")).agg(F.min("quality").alias("__q_y")).orderBy(F.xxhash64("__q_id"), "__q_id").limit(sample)
-    picked = docs.join(F.broadcast(known), F.col(id_col) == F.col("__q_id")).select("__q_id", "__q_y", F.col(text_col).alias("__q_t"))
+    picked = docs.join(F.broadcast(known), F.col(id_col) == F.col("__q_id")).groupBy("__q_id", "__q_y").agg(F.min(text_col).alias("__q_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     got = picked.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])).collect()
     got.sort(key=lambda r: (r.id, r.x))
-    return fit([(np.frombuffer(r.x).reshape(-1, len(FEATURES)), r.y) for r in got[: 2 * sample] if r.x])
+    return fit([(np.frombuffer(r.x).reshape(-1, len(FEATURES)), r.y) for r in got if r.x])
 
 
 def score(docs: DataFrame, model: Model, out_col: str = "score", text_col: str = "text") -> DataFrame:

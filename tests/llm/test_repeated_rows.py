@@ -1,12 +1,26 @@
-"""Repeated rows: of a query in the top-k search."""
+"""Repeated rows: of a query in the top-k search, of a labelled document in training."""
+
+import zlib
 
 import numpy as np
 
+from quarry.llm import quality_crf
 from quarry.llm.topk_search import search_batch
 
+from . import fixtures as X
+
 
 def test_repeated_query_rows_do_not_prune_neighbours():
     v = np.array([[15], [15], [15], [10], [5], [1]])
     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     search_batch(np.array([[15]]), np.array([20]), v, np.array([20, 20, 20, 1, 2, 3]), 2, best)
     assert best[0][0].tolist() == [150, 75] and best[0][1].tolist() == [1, 2]
+
+
+def test_training_takes_a_repeated_document_once(spark):
+    a, b = [i for i in range(1, 20) if zlib.crc32(str(i).encode()) % 5][:2]  # not held out
+    rows = [(a, "a plain sentence of good words.\nAnother one follows it."), (b, "BUY!!! $$$ 1234 >>>\n### click")]
+    labels = spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, quality int")
+    one = quality_crf.train(X.documents(spark, rows), labels, sample=2)
+    many = quality_crf.train(X.documents(spark, [rows[0]] * 6 + [rows[1]]), labels, sample=2)
+    assert np.allclose(one.mean, many.mean) and np.allclose(one.weights, many.weights)
