@@ -1,14 +1,15 @@
 """Groups of documents whose shingle sets have a Jaccard similarity of 0.8 or more, found completely.
 
-Candidates come from prefix filtering: with the shingles of every set in one global order, two sets
-of similarity t share one of the first n - ceil(t n) + 1 shingles of each. Any order will do; here
-shingles that a sample of the documents holds often come last, so that common passages seldom make
-candidates. Each candidate is decided by its two whole sets.
+Candidates come from SimHash fingerprints first, then from prefix filtering, which completes them:
+with the shingles of every set in one global order, two sets of similarity t share one of the first
+n - ceil(t n) + 1 shingles of each. Any order will do; here shingles that a sample of the documents
+holds often come last, so that common passages seldom make candidates. Each candidate is decided by
+its two whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +20,15 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import release, settle
 from quarry.llm.components import components
+from quarry.llm.shingles import U64, shingle_set
 
-U64 = np.uint64
-#: One in SAMPLED documents tells which shingles are common, of which COMMON at most are put last; this changes the work, never the result.
-SAMPLED, COMMON = 16, 1 << 17
-#: Runs up to ALL sets are paired in full; in longer ones PIVOTS sets are paired with all, and then what is not yet connected.
-ALL, PIVOTS, GATHER = 32, 2, 1 << 17
+#: One in SAMPLED documents tells which shingles are common, of which COMMON at most are put last, and which are held by many (over OFTEN of the sample); this changes the work, never the result.
+SAMPLED, COMMON, OFTEN = 16, 1 << 17, 8
+#: Sets of a shingle that are paired in full at once; sets of a longer run that are compared in one cell; rows that a task gathers.
+ALL, CELL, GATHER = 32, 1024, 1 << 17
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of each shingle of consecutive words, A-Z lower-cased; of all words if there are fewer; none without words."""
-    found = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not found:
-        return np.zeros(0, U64)
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    n = min(words, len(found))
-    starts = [0, *(ends[: len(found) - n] + 1).tolist()]
-    h = xxhash.xxh64_intdigest
-    return np.array([h(joined[a:b], 42) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)], U64)
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, words))
-
-
-def alike(shared: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | bool:
+def alike(shared, n, m):
     """Whether sets of n and m shingles, so many shared, have a similarity of 0.8 or more."""
     return 9 * shared >= 4 * (n + m)
 
@@ -53,6 +37,11 @@ def prefix(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
+def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether two sets can be alike if this shingle, at place `at` and `to` of each, is the first that they share."""
+    return alike(np.minimum(n - at, m - to), n, m)
+
+
 def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, how often the sample holds them)."""
 
@@ -68,113 +57,151 @@ def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndar
     return x[order], count[order]
 
 
-def prefixes(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, node, n, first), one row a document: node is a hash of the set, n its size, first its prefix."""
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, text_col))
-    fields = [T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("text_hash", "node", "n")), T.StructField("first", T.ArrayType(T.LongType()))]
+def prefixes(docs: DataFrame, fingerprint: Callable[[np.ndarray], np.uint64], words: int, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, name, n, f0, first, often), one row a document: 128 bits of hash that name the set, its size, fingerprint and prefix, and which of it many sets hold."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, text_col))  # COMMON pairs of longs at most
+    fields = [*(docs.schema[k] for k in keys), T.StructField("name", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("f0", T.LongType())]
+    fields += [T.StructField("first", T.ArrayType(T.LongType())), T.StructField("often", T.ArrayType(T.BooleanType()))]
 
-    def one(text: str | None) -> tuple[int, int, np.ndarray]:
+    def one(text: str | None) -> tuple:
         common, count = sent.value
         s = shingle_set(text, words)
-        node = xxhash.xxh64_intdigest(s.tobytes())
+        known = np.zeros(len(s), np.int64)
         if len(common):
             at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-            s_order = np.argsort(np.where(common[at] == s, count[at], 0), kind="stable")
-        else:
-            s_order = np.arange(len(s))
-        return node, len(s), s[s_order[: prefix(len(s))]].view(np.int64)
+            known = np.where(common[at] == s, count[at], 0)
+        first = np.argsort(known, kind="stable")[: prefix(len(s))]
+        return xxhash.xxh3_128_digest(s.tobytes()), len(s), fingerprint(s).astype(np.int64), s[first].view(np.int64), known[first] > OFTEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [one(x.as_py()) for x in b.column(2)]
-            node, n = np.array([x[0] for x in found], U64).view(np.int64), np.array([x[1] for x in found], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(n), pa.array([x[2] for x in found], pa.list_(pa.int64()))], names=[f.name for f in fields])
-
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t")).mapInArrow(run, T.StructType(fields))
-
-
-def _may(n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets a and b can be alike if this shingle, at place `at` of each, is the first that they share."""
-    return alike(np.minimum(n[a] - at[a], n[b] - at[b]), n[a], n[b])
-
-
-def _pairs_of_run(node: np.ndarray, n: np.ndarray, at: np.ndarray, label: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of one run: with labels, all pairs of different labels; without, all of a short run and stars of a long one."""
-    rows = np.arange(len(node))
-    if label is None:
-        firsts = rows[:-1] if len(node) <= ALL else np.argsort(at, kind="stable")[:PIVOTS]  # a set with few rare shingles is alike to most
-        others = [rows[a + 1 :] if len(node) <= ALL else rows[rows != a] for a in firsts]
-    else:
-        names, where, count = np.unique(label, return_inverse=True, return_counts=True)
-        if len(names) == 1:
-            return []
-        firsts = np.flatnonzero(where != count.argmax())  # all but the largest group, each against what is not in its group
-        others = [rows[(where != where[a]) & ((rows > a) | (where == count.argmax()))] for a in firsts]
-    out = []
-    for a, b in zip(firsts, others, strict=True):
-        b = b[_may(n, at, np.full(len(b), a), b)]
-        if len(b):
-            out.append((node[np.full(len(b), a)], node[b]))
-    return out
+            found = [one(x.as_py()) for x in b.column(len(keys))]
+            new = (pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()))))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *new], names=[f.name for f in fields])
+
+    return docs.select(*keys, text_col).mapInArrow(run, T.StructType(fields))
+
+
+def _held_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of whole runs that agree in the first n_keys columns, from sorted batches, GATHER rows or more at a time."""
+    gathered, n = [], 0
+    for b in batches:
+        gathered.append([c.to_numpy() for c in b.columns])
+        n += b.num_rows
+        if n >= GATHER:
+            cols = [np.concatenate(c) for c in zip(*gathered, strict=True)]
+            same = np.logical_and.reduce([c == c[-1] for c in cols[:n_keys]])
+            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last run may go on
+            if last:
+                yield [c[:last] for c in cols]
+            gathered = [[c[last:] for c in cols]]
+            n = 0 if last < n // 2 else len(gathered[0][0])
+    if n or gathered:
+        yield [np.concatenate(c) for c in zip(*gathered, strict=True)]
+
+
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(np.concatenate([[True], new, [True]])) if len(keys[0]) else np.zeros(1, np.int64)
 
 
 PAIR, LONG = 0, 1
-_FOUND = "kind int, u long, v long, n long, at long"
-
-
-def _in_runs(rows: DataFrame, labelled: bool) -> DataFrame:
-    """(kind, u, v, n, at): of rows (x, node, n, at[, label]) the candidate pairs (u, v), and without labels the rows (x, node) of long runs."""
-
-    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x, node, n, at = cols[:4]
-        keep = np.ones(len(x), bool)
-        keep[1:] = (x[1:] != x[:-1]) | (node[1:] != node[:-1])  # copies are one node
-        x, node, n, at = (c[keep] for c in (x, node, n, at))
-        label = cols[4][keep] if labelled else None
-        edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
-        length = np.diff(edge)
-        found, long = [], []
-        for r in np.flatnonzero(length > 1):
-            s = slice(edge[r], edge[r + 1])
-            found += _pairs_of_run(node[s], n[s], at[s], label[s] if labelled else None)
-            if not labelled and length[r] > ALL:
-                long.append(np.arange(edge[r], edge[r + 1]))
-            if sum(len(a) for a, _ in found[-64:]) > GATHER or len(found) > 1 << 16:
-                yield from pack(found)
-                found = []
-        yield from pack(found)
-        if long:
-            k = np.concatenate(long)
-            yield batch(LONG, x[k], node[k], n[k], at[k])
+
+
+def _short_runs(rows: DataFrame) -> DataFrame:
+    """(kind, u, v, n, at): the candidate pairs (u, v) of runs of up to ALL rows (x, node, n, at) of one x, and the rows (x, node) of longer ones."""
 
     def batch(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(c) for c in cols)], names=["kind", "u", "v", "n", "at"])
 
-    def pack(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if found:
-            u, v = (np.concatenate(c) for c in zip(*found, strict=True))
-            both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
-            zero = np.zeros(len(both), np.int64)
-            yield batch(PAIR, both[:, 0].copy(), both[:, 1].copy(), zero, zero)
+    def pairs(x: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = _edges(x)
+        length = np.repeat(np.diff(edge), np.diff(edge))
+        if (length > ALL).any():
+            k = length > ALL
+            yield batch(LONG, x[k], node[k], n[k], at[k])
+            x, node, n, at = (c[~k] for c in (x, node, n, at))
+        for d in range(1, min(ALL, int(length.max(initial=0)))):
+            a = np.flatnonzero(x[d:] == x[:-d])
+            a = a[_may(n[a], at[a], n[a + d], at[a + d])]
+            if len(a):
+                zero = np.zeros(len(a), np.int64)
+                yield batch(PAIR, np.maximum(node[a], node[a + d]), np.minimum(node[a], node[a + d]), zero, zero)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, n = [], 0
+        passing, gathered, n = None, [], 0
         for b in batches:
-            gathered.append([c.to_numpy() for c in b.columns])
-            n += b.num_rows
+            cols = [c.to_numpy() for c in b.columns]
+            if passing is not None:  # the rest of a long run goes through without being held
+                same = cols[0] == passing
+                if same.any():
+                    yield batch(LONG, *(c[same] for c in cols))
+                    cols = [c[~same] for c in cols]
+                passing = passing if not len(cols[0]) else None
+            gathered.append(cols)
+            n += len(cols[0])
             if n >= GATHER:
                 cols = [np.concatenate(c) for c in zip(*gathered, strict=True)]
                 last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
-                yield from pairs([c[:last] for c in cols])
-                gathered = [[c[last:] for c in cols]]
-                n = len(gathered[0][0])
-                if n >= GATHER // 2:  # a long run: wait until twice as much has come
-                    n = 0
+                yield from pairs(*(c[:last] for c in cols))
+                cols = [c[last:] for c in cols]
+                if len(cols[0]) > ALL:
+                    passing = cols[0][0]
+                    yield batch(LONG, *cols)
+                    cols = [c[:0] for c in cols]
+                gathered, n = [cols], len(cols[0])
         if gathered:
-            yield from pairs([np.concatenate(c) for c in zip(*gathered, strict=True)])
+            yield from pairs(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "x").sortWithinPartitions("x", "node").mapInArrow(run, _FOUND)
+    return rows.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(run, "kind int, u long, v long, n long, at long")
+
+
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """(u, v): each set of a long run with two of its sets, the one with fewest rare shingles and one at random. Joined by x, so that Spark can split a hot one."""
+    one = F.min(F.struct("at", "n", "node"))
+    other = F.min(F.struct(F.xxhash64("node").alias("h"), "at", "n", "node"))
+    pivots = settle(rows.groupBy("x").agg(one.alias("p"), other.alias("q")).select("x", F.explode(F.array("p", F.struct("q.at", "q.n", "q.node"))).alias("p")))
+    both = rows.join(pivots.hint("merge"), "x").where(F.col("node") != F.col("p.node"))
+    may = alike(F.least(F.col("n") - F.col("at"), F.col("p.n") - F.col("p.at")), F.col("n"), F.col("p.n"))
+    return both.where(may).select(F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v"))
+
+
+def _across_labels(rows: DataFrame) -> DataFrame:
+    """(u, v): the candidate pairs of different labels in runs of one x, from rows (x, node, n, at, label).
+
+    All that is not in a run's largest label is compared with the run's other labels. A run is cut
+    into blocks of some CELL sets and these into cells of two blocks, so a task holds a cell at a time.
+    """
+    sizes = settle(rows.groupBy("x", "label").agg(F.count(F.lit(1)).alias("c")))
+    runs = sizes.groupBy("x").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    blocks = lambda c: F.ceil(c / CELL).cast("int")
+    runs = runs.select("x", F.col("main.label").alias("main"), blocks(F.col("total")).alias("all"), blocks(F.col("total") - F.col("main.c")).alias("few"))
+    rows = rows.join(settle(runs).hint("merge"), "x").withColumn("minor", F.col("label") != F.col("main"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    at = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    asked = rows.where("minor").withColumn("j", at(1, F.col("few"))).withColumn("i", F.explode(every(F.col("all")))).withColumn("asks", F.lit(1))
+    given = rows.withColumn("i", at(2, F.col("all"))).withColumn("j", F.explode(every(F.col("few")))).withColumn("asks", F.lit(0))
+    names = ["x", "i", "j", "asks", "node", "n", "at", "label", "minor"]
+    cells = asked.select(*names).unionAll(given.select(*names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, i, j, asks, node, n, to, label, minor in _held_runs((b.set_column(8, "minor", b.column(8).cast(pa.int8())) for b in batches), 3):
+            edge = _edges(x, i, j)
+            for s, e in zip(edge, edge[1:], strict=False):
+                a, b = (np.flatnonzero(asks[s:e] == k) + s for k in (1, 0))
+                for lo in range(0, len(a), CELL):
+                    p, q = np.broadcast_arrays(a[lo : lo + CELL, None], b[None, :])
+                    ok = (label[p] != label[q]) & ((minor[q] == 0) | (node[q] < node[p]))
+                    p, q = p[ok], q[ok]
+                    ok = _may(n[p], to[p], n[q], to[q])
+                    if ok.any():
+                        p, q = node[p[ok]], node[q[ok]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], names=["u", "v"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, "x", "i", "j").sortWithinPartitions("x", "i", "j").mapInArrow(run, "u long, v long")
 
 
 def _alike_pairs(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -193,38 +220,47 @@ def _alike_pairs(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
     first, second = texts.select(F.col("node").alias("u"), F.col("t").alias("tu")), texts.select(F.col("node").alias("v"), F.col("t").alias("tv"))
-    return pairs.join(first, "u").join(second, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    return pairs.join(first.hint("merge"), "u").join(second.hint("merge"), "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def near_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, component), one row a document: component names its group.
+def near_sets(docs: DataFrame, fingerprint: Callable[[np.ndarray], np.uint64], close: Callable[[DataFrame], DataFrame], words: int, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, component), one row a document: component names its group. keys tell documents of different texts apart.
 
     Documents are linked if the sets of their shingles have a Jaccard similarity of 0.8 or more,
     and a group is what links connect. Whole texts are taken as in shingle_hashes(); texts without
-    words are one group, equal sets are one node. No pair is passed over: short runs of a shingle
-    give all their pairs, and in long ones all pairs that links don't connect already are compared
-    in a second round.
+    words are one group, equal sets are one node, so that copies make no pairs.
+
+    close() gives pairs (u, v) of near fingerprints f0, the first candidates. No other pair is
+    passed over: short runs of a shingle give all their pairs; of long ones, dealt by join, every
+    set is compared with two pivots, and then what links don't connect yet with the rest.
     """
-    prints = settle(prefixes(docs, words, id_col, text_col))
-    found = settle(_in_runs(prints.select("node", "n", F.posexplode("first").alias("at", "x")).select("x", "node", "n", F.col("at").cast("long").alias("at")), labelled=False))
-    release(docs.sparkSession)
-    low = F.lit(-(2**63))
-    named = prints.groupBy("node").agg(F.min(F.struct(F.coalesce("id", low).alias("k"), "text_hash")).alias("s")).select("node", "s.k", "s.text_hash")
-    keyed = docs.select(F.coalesce(id_col, low).alias("k"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
+    spark = docs.sparkSession
+    prints = settle(prefixes(docs, fingerprint, words, keys, text_col))
+    some = lambda c: F.first(c).alias(c)  # noqa: E731  (equal for equal names)
+    nodes = settle(prints.groupBy("name").agg(some("n"), some("f0"), some("first"), some("often"), F.min(F.struct(*keys)).alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    rows = nodes.select("node", "n", F.posexplode(F.arrays_zip("first", "often")).alias("at", "e")).select(F.col("e.first").alias("x"), "node", "n", F.col("at").cast("long").alias("at"), F.col("e.often").alias("often"))
+    found = settle(_short_runs(rows.where("not often").drop("often")))
+    long_runs = settle(rows.where("often").select("x", "node", "n", "at").unionAll(found.where(F.col("kind") == LONG).select(F.col("u").alias("x"), F.col("v").alias("node"), "n", "at")))
+    by_print = settle(nodes.groupBy("f0").agg(F.min("node").alias("node")))
+    same = nodes.join(by_print.withColumnRenamed("node", "v"), "f0").where("node <> v").select(F.col("node").alias("u"), "v")
+    ends = [by_print.select(F.col("f0").alias(c), F.col("node").alias(f"n{c}")) for c in "uv"]
+    near = settle(close(by_print.select("f0")).join(ends[0], "u").join(ends[1], "v").select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v")))
+    release(spark)
 
     def decide(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs.distinct())
-        need = settle(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(named, "node"))
-        texts = settle(keyed.join(need, ["k", "text_hash"]).select("node", "t").dropDuplicates(["node"]))
+        need = settle(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least.*"), "node"))
+        texts = settle(docs.select(*keys, F.col(text_col).alias("t")).join(need.hint("merge"), keys).select("node", "t").dropDuplicates(["node"]))
         links = settle(_alike_pairs(pairs, texts, words))
-        release(docs.sparkSession)
+        release(spark)
         return links
 
-    links = decide(found.where(F.col("kind") == PAIR).select("u", "v"))
+    first = found.where(F.col("kind") == PAIR).select("u", "v")
+    links = decide(near.unionAll(same).unionAll(first).unionAll(_with_pivots(long_runs)))
     reach = settle(components(links))
-    rows = found.where(F.col("kind") == LONG).select(F.col("u").alias("x"), F.col("v").alias("node"), "n", "at")
-    if not rows.isEmpty():
-        labelled = rows.join(reach, "node", "left").select("x", "node", "n", "at", F.coalesce("least", "node").alias("label"))
-        links = links.unionAll(decide(_in_runs(labelled, labelled=True).select("u", "v")))
+    if not long_runs.isEmpty():
+        labelled = settle(long_runs.join(reach, "node", "left").select("x", "node", "n", "at", F.coalesce("least", "node").alias("label")))
+        links = links.unionAll(decide(_across_labels(labelled)))
         reach = settle(components(links))
-    return prints.select("id", "text_hash", "node").join(reach, "node", "left").select("id", "text_hash", F.coalesce("least", "node").alias("component"))
+    named = settle(nodes.select("name", "node").join(reach, "node", "left").select("name", F.coalesce("least", "node").alias("component")))
+    return prints.select(*keys, "name").join(named, "name").select(*keys, "component")

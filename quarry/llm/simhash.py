@@ -1,11 +1,12 @@
 """Near-duplicate documents by SimHash, with pigeonring filtering of candidates.
 
-A fingerprint word of 64 bits is a ring of radius + 1 segments. If two words differ in at most
+A fingerprint of 64 bits is a ring of radius + 1 segments. If two fingerprints differ in at most
 radius bits, then some segment starts a chain of consecutive segments whose first l segments
 differ in at most l * radius / (radius + 1) bits together, for every l. So the first segment is
 equal, the next has one difference at most (and one equal half), the next two have two at most
-(and two equal quarters of their bits). Fingerprints are gathered by these equal parts, candidates
-checked along the chain, and only what is left by the full Hamming distance.
+(and two equal quarters of their bits), and so on. Fingerprints are gathered by these equal parts,
+candidates checked along the chain, and only what is left by the full Hamming distance. How many
+segments make a key follows from the number of fingerprints, so that runs of a key stay short.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import release, settle
 from quarry.llm.components import components
-from quarry.llm.jaccard import near_sets, shingle_hashes
+from quarry.llm.jaccard import near_sets
+from quarry.llm.shingles import U64, shingle_hashes
 
-U64 = np.uint64
 #: Shingles whose bits are counted at a time; runs up to SHIFTS fingerprints are compared by shifting.
 BLOCK, SHIFTS, GATHER = 1 << 16, 32, 1 << 17
+#: Fingerprints under one key above which they are dealt again by longer chains.
+LONG_RUN = 4096
+LINK, LONG = 0, 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -35,40 +39,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def fingerprint(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
-    """Words of 64 bits: a bit is set if it is in over half the hashes. Words after the first take mixed hashes."""
-    out = np.zeros(n_words, U64)
-    for k in range(n_words):
-        count = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), BLOCK):
-            h = hashes[at : at + BLOCK]
-            h = h if k == 0 else _mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64))
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for lo in range(0, len(bits), 255):
-                count += np.add.reduce(bits[lo : lo + 255], axis=0, dtype=np.uint8)
-        out[k] = np.packbits(2 * count > len(hashes), bitorder="little").view(U64)[0]
-    return out
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """A bit is set if it is in over half the hashes."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for lo in range(0, len(bits), 255):
+            count += np.add.reduce(bits[lo : lo + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * count > len(hashes), bitorder="little").view(U64)[0]
 
 
-def _node(f: np.ndarray) -> np.ndarray:
-    """One signed 64-bit id of fingerprints given as columns of words."""
-    x = f[0]
-    for w in f[1:]:
-        x = _mix(x) ^ w
-    return x.view(np.int64)
-
-
-def fingerprints(docs: DataFrame, words: int, n_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, node, f0, f1 ...), one row a document."""
-    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("node", T.LongType())]
-    fields += [T.StructField(f"f{k}", T.LongType()) for k in range(n_words)]
+def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, f0), one row a document."""
+    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("f0", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([fingerprint(shingle_hashes(x.as_py(), words), n_words) for x in b.column(2)], U64).reshape(-1, n_words).T.copy()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_node(f)), *(pa.array(w.view(np.int64)) for w in f)], names=[x.name for x in fields])
+            f = np.array([fingerprint(shingle_hashes(x.as_py(), words)) for x in b.column(1)], U64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], names=["id", "f0"])
 
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t")).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, T.StructType(fields))
 
 
 class Ring:
@@ -87,12 +77,17 @@ class Ring:
         for i in range(self.m):
             w = [widths[(i + j) % self.m] for j in range(chain)]
             parts, bits, begin = 2 * (chain - 1), sum(w[1:]), w[0]
-            edges = [begin + bits * j // parts for j in range(parts + 1)]
+            edges = [begin + bits * j // parts for j in range(parts + 1)] if parts else []
             span = [U64(int(top(b)) ^ int(top(a))) for a, b in zip(edges, edges[1:], strict=False)]
             # chain - 1 differences at most in these parts: as many parts at least are equal
             for equal in combinations(range(parts), parts - (chain - 1)):
                 self.keys.append((i, U64(int(top(w[0])) | sum(int(span[j]) for j in equal))))
 
+    @property
+    def key_bits(self) -> int:
+        """Bits of the shortest key."""
+        return min(int(mask).bit_count() for _, mask in self.keys)
+
     def turned(self, x: np.ndarray, i: np.ndarray | int) -> np.ndarray:
         t = self.turn[i]
         return (x << t) | np.where(t > 0, x >> ((U64(64) - t) & U64(63)), U64(0)) if np.ndim(t) or t else x
@@ -106,33 +101,33 @@ class Ring:
         return ok
 
 
-def _join_runs(key: np.ndarray, f: list[np.ndarray], ring: Ring, within: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (positions) inside runs of equal keys; key's top 16 bits name the key's number and word.
+def chain_for(n: int, radius: int) -> int:
+    """The least number of segments whose keys have about as many bits as n fingerprints need to lie apart; keys of two segments at least."""
+    chain = min(2, radius + 1)
+    while chain < radius + 1 and n > 4 << Ring(radius, chain).key_bits:
+        chain += 1
+    return chain
+
+
+def _join_runs(key: np.ndarray, f: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) inside runs of equal keys; key's top 16 bits name the key's number.
 
     In each run enough links are found to connect all that are linked in it. A link between two that
     share an earlier key's run is left to that run: as all its links are connected there, by
     induction nothing falls apart, and a link comes out once instead of once a key.
     """
     tag = (key >> U64(48)).astype(np.int64)
-    start = np.array([i for i, _ in ring.keys])[tag % len(ring.keys)]
-    word = tag // len(ring.keys)
+    start = np.array([i for i, _ in ring.keys])[tag]
     links = []
 
     def check(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x = f[0][a] ^ f[0][b]
-        for k in range(1, len(f)):
-            x = np.where(word[a] == k, f[k][a] ^ f[k][b], x)
-        ok = ring.holds(x, start[a])
-        if within is not None and len(ok):
-            ok = ok[sum(np.bitwise_count(w[a[ok]] ^ w[b[ok]]).astype(np.int64) for w in f) <= within]
-        return ok
+        return ring.holds(f[a] ^ f[b], start[a])
 
     def once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Without the pairs that an earlier key finds too: its run connects them."""
         for t in range(int(tag[a].max(initial=0))):
-            i, mask = ring.keys[t % len(ring.keys)]
-            x = f[t // len(ring.keys)]
-            x = x[a] ^ x[b]
+            i, mask = ring.keys[t]
+            x = f[a] ^ f[b]
             met = np.zeros(len(a), bool)
             maybe = np.flatnonzero((ring.turned(x, i) & mask == 0) & (tag[a] > t))
             met[maybe[ring.holds(x[maybe], np.full(len(maybe), i))]] = True
@@ -160,96 +155,122 @@ def _join_runs(key: np.ndarray, f: list[np.ndarray], ring: Ring, within: int | N
                     links.append((np.full(len(ok), a), left[ok]))
                     todo += left[ok].tolist()
                     left = np.delete(left, ok)
-    return [once(*(np.concatenate(x) for x in zip(*links, strict=True)))] if links else []
+    none = np.zeros(0, np.int64)
+    return once(*(np.concatenate(x) for x in zip(*links, strict=True))) if links else (none, none)
 
 
-def link_fingerprints(distinct: DataFrame, n_words: int, word: int, radius: int, chain: int, within: int | None) -> DataFrame:
-    """Edges (u, v) between nodes, enough to connect all fingerprints that are linked by the given word."""
+def _in_runs(distinct: DataFrame, radius: int, chain: int, most: int) -> DataFrame:
+    """(kind, u, v): links of the fingerprints f0 that share a key, and as LONG rows (f0, f0) those of runs of over `most`."""
     ring = Ring(radius, chain)
-    names = [f"f{k}" for k in range(n_words)]
-    keyed = T.StructType([T.StructField("key", T.LongType()), *(T.StructField(n, T.LongType()) for n in names)])
+    keyed = T.StructType([T.StructField("key", T.LongType()), T.StructField("f0", T.LongType())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [b.column(k).to_numpy().view(U64) for k in range(n_words)]
+            f = b.column(0).to_numpy().view(U64)
             for k, (i, mask) in enumerate(ring.keys):
                 # the mixed parts fit 48 bits with a negligible chance of meeting; a meeting only adds a candidate
-                key = (_mix(ring.turned(f[word], i) & mask) >> U64(16)) | (U64(word * len(ring.keys) + k) << U64(48))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, *f)], names=keyed.names)
+                key = (_mix(ring.turned(f, i) & mask) >> U64(16)) | (U64(k) << U64(48))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, f)], names=keyed.names)
+
+    def batch(kind: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["kind", "u", "v"])
+
+    def out(key: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        length = np.repeat(np.diff(edge), np.diff(edge))
+        if (length > most).any():
+            yield batch(LONG, f[length > most], f[length > most])
+            key, f = key[length <= most], f[length <= most]
+        a, b = _join_runs(key, f, ring)
+        if len(a):
+            yield batch(LINK, np.maximum(f[a], f[b]), np.minimum(f[a], f[b]))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            found = _join_runs(cols[0], cols[1:], ring, within) if len(cols[0]) > 1 else []
-            if found:
-                node = _node(cols[1:])
-                u, v = (node[np.concatenate(x)] for x in zip(*found, strict=True))
-                both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
-                both = both[both[:, 0] != both[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
-
-        gathered, n = [], 0
+        gathered, n, passing = [], 0, None
         for b in batches:
-            gathered.append([c.to_numpy().view(U64) for c in b.columns])
-            n += b.num_rows
+            key, f = (c.to_numpy().view(U64) for c in b.columns)
+            if passing is not None:  # the rest of a long run goes through without being held
+                same = key == passing
+                if same.any():
+                    yield batch(LONG, f[same], f[same])
+                    key, f = key[~same], f[~same]
+                passing = passing if not len(key) else None
+            gathered.append((key, f))
+            n += len(key)
             if n >= GATHER:
-                cols = [np.concatenate(x) for x in zip(*gathered, strict=True)]
-                last = int(np.searchsorted(cols[0].view(np.int64), cols[0].view(np.int64)[-1]))  # the last run may go on
-                yield from out([c[:last] for c in cols])
-                held = [c[last:] for c in cols]
-                gathered, n = [held], len(held[0])
-                if n >= GATHER // 2:  # a long run: wait until twice as much has come
-                    n = 0
+                key, f = (np.concatenate(x) for x in zip(*gathered, strict=True))
+                last = int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1]))  # the last run may go on
+                yield from out(key[:last], f[:last])
+                key, f = key[last:], f[last:]
+                if len(key) > most:
+                    passing = key[0]
+                    yield batch(LONG, f, f)
+                    key, f = key[:0], f[:0]
+                gathered, n = [(key, f)], len(key)
         if gathered:
-            yield from out([np.concatenate(x) for x in zip(*gathered, strict=True)])
+            yield from out(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
 
-    rows = distinct.select(*names).mapInArrow(spread, keyed)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(links, "u long, v long").distinct()
+    return distinct.select("f0").mapInArrow(spread, keyed).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(links, "kind int, u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, n_words: int = 1, chain: int = 2, within: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, f0 ..., component, component_id), one row a document.
+def link_fingerprints(distinct: DataFrame, radius: int, chain: int | None = None, most: int = LONG_RUN) -> DataFrame:
+    """Edges (u, v) between different fingerprints f0, enough to connect all that differ in radius bits or fewer.
+
+    What lies in runs of over `most` is dealt again by the keys of one more segment, until the chain
+    goes round the ring; only there a longer run is searched as it is, in one task.
+    """
+    spark = distinct.sparkSession
+    chain = chain or chain_for(distinct.count(), radius)
+    links = None
+    while True:
+        last = chain == radius + 1
+        found = settle(_in_runs(distinct, radius, chain, 2**62 if last else most))
+        release(spark)
+        now = found.where(F.col("kind") == LINK).select("u", "v")
+        links = now if links is None else links.unionAll(now)
+        distinct = found.where(F.col("kind") == LONG).select(F.col("u").alias("f0")).distinct()
+        if last or distinct.isEmpty():
+            return links
+        chain += 1
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, chain: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, f0, component, component_id), one row a document.
 
     component names the group, component_id is the least id that links reach.
 
     Whole texts are taken, A-Z lower-cased and split at ASCII white space; a text of fewer words
     than a shingle is one shingle, a null, empty or blank text has fingerprint zero. Two documents
-    are linked if one of their n_words fingerprint words differs in radius bits or fewer and, where
-    within is given, all words together in within or fewer. Equal fingerprints are one node, so
-    copies make no pairs. A group whose ids are all null has a null component_id.
+    are linked if their fingerprints differ in radius bits or fewer. Equal fingerprints are one
+    node, so copies make no pairs. A group whose ids are all null has a null component_id.
     """
-    prints = settle(fingerprints(docs, words, n_words, id_col, text_col))
-    names = [f"f{k}" for k in range(n_words)]
-    distinct = settle(prints.groupBy("node", *names).agg(F.min("id").alias("least_id")))
-    links = None
-    for word in range(n_words):  # one after the other: the shuffle of one is over before the next begins
-        found = settle(link_fingerprints(distinct, n_words, word, radius, chain, within))
-        links = found if links is None else links.unionAll(found)
-        release(docs.sparkSession)
-    reach = settle(components(links))
-    least = F.coalesce("least", "node")
-    linked = settle(distinct.select("node", "least_id").join(reach, "node", "left").select("node", "least_id", least.alias("least")))
+    prints = settle(fingerprints(docs, words, id_col, text_col))
+    distinct = settle(prints.groupBy("f0").agg(F.min("id").alias("least_id")))
+    reach = settle(components(link_fingerprints(distinct, radius, chain)))
+    linked = settle(distinct.join(reach.withColumnRenamed("node", "f0"), "f0", "left").select("f0", "least_id", F.coalesce("least", "f0").alias("least")))
     ids = settle(linked.groupBy("least").agg(F.min("least_id").alias("component_id")))
-    named = settle(linked.join(ids, "least").select("node", F.col("least").alias("component"), "component_id"))
-    return prints.join(named, "node").select("id", "text_hash", *names, "component", "component_id")
+    named = settle(linked.join(ids, "least").select("f0", F.col("least").alias("component"), "component_id"))
+    return prints.join(named, "f0").select("id", "f0", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near duplicates, the one of the smallest id.
 
-    Near duplicates share 0.8 or more of their sets of shingles (exact Jaccard similarity); all
-    such pairs are found, and no other pair links, as near_sets() says.
+    Near duplicates share 0.8 or more of their sets of shingles (exact Jaccard similarity): SimHash
+    fingerprints within radius bits are candidates, near_sets() adds those that fingerprints miss
+    and decides every one by the sets. No other pair links.
     Rows that repeat both id and text are one document, of which one row stays; of a group whose
-    smallest id is borne by several texts the one of the smallest hash stays, null ids come first.
+    smallest id is borne by several texts the one of the smallest digest stays, null ids come first
+    (a null id and the least long are one id).
     """
-    found = settle(near_sets(docs, words, id_col, text_col))
-    stay = settle(found.groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("k"), "text_hash")).alias("s")).select("s.k", "s.text_hash").distinct())
+    key, digest = "__q_id", "__q_text"
+    low = F.lit(-(2**63))
+    named = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), low), digest: F.coalesce(F.unhex(F.sha2(text_col, 256)), F.lit(b""))})
+    found = settle(near_sets(named.select(key, digest, text_col), fingerprint, lambda prints: link_fingerprints(prints, radius), words, [key, digest], text_col))
+    stay = settle(found.groupBy("component").agg(F.min(F.struct(key, digest)).alias("s")).select(f"s.{key}", f"s.{digest}"))
     release(docs.sparkSession)
-    key, text_hash = "__q_id", "__q_text"
-    out = docs.withColumns({key: F.coalesce(id_col, F.lit(-(2**63))), text_hash: F.xxhash64(text_col)})
-    out = out.join(stay.select(F.col("k").alias(key), F.col("text_hash").alias(text_hash)).hint("merge"), [key, text_hash])
-    if found.groupBy("id", "text_hash").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([key, text_hash])
-    return out.drop(key, text_hash)
+    out = named.join(stay.hint("merge"), [key, digest])
+    if not found.groupBy(key, digest).count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([key, digest])
+    return out.select(*[f"`{c}`" for c in docs.columns])

@@ -148,14 +148,15 @@ def test_top_k(spark, block):
 
 # ------------------------------------------------------------------ 5 SimHash
 
-def test_simhash_components(spark, docs, none):
-    got = [(r.id, format(r.f0 % 2**64, "016x"), r.component_id) for r in simhash.near_duplicates(docs).collect()]
+@pytest.mark.parametrize("chain", [None, 3, 5])
+def test_simhash_components(spark, docs, none, chain):
+    got = [(r.id, format(r.f0 % 2**64, "016x"), r.component_id) for r in simhash.near_duplicates(docs, chain=chain).collect()]
     want = X.simhash_components(X.ROWS)
     assert X.multiset(got) == X.multiset(want)
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize(("radius", "chain"), [(4, 2), (4, 3), (8, 3), (2, 2)])
+@pytest.mark.parametrize(("radius", "chain"), [(4, 1), (4, 2), (4, 3), (4, 4), (4, 5), (8, 3), (2, 2)])
 def test_pigeonring_loses_nothing(radius, chain):
     """Every pair within the radius shares a key of a start from which the chain holds."""
     rng = np.random.default_rng(1)
@@ -173,19 +174,57 @@ def test_pigeonring_loses_nothing(radius, chain):
     assert hit.all()
 
 
+def linked(f, pairs):
+    """The groups of positions that pairs connect."""
+    group = list(range(len(f)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        group[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(f))]
+
+
+def within(f, radius):
+    return [(a, b) for a in range(len(f)) for b in range(a) if (int(f[a]) ^ int(f[b])).bit_count() <= radius]
+
+
+def ball(rng, n):
+    """Fingerprints within a few bits of each other, whose first 13 bits are equal."""
+    base = int(rng.integers(0, 2**63)) * 2
+    return np.unique(np.array([base ^ sum(1 << int(b) for b in rng.choice(51, rng.integers(0, 7), replace=False)) for _ in range(n)], np.uint64))
+
+
 def test_long_runs_are_searched():
-    """Many fingerprints under one key: links found equal those of all pairs, as components."""
-    rng = np.random.default_rng(3)
-    ring = simhash.Ring(4, 2)
-    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
-    f = np.unique(np.concatenate([base ^ (np.uint64(1) << np.uint64(k)) for k in range(30)] + [base]))
-    i, mask = ring.keys[0]
-    key = ring.turned(f, i) & mask
-    f = f[key == key[np.argmax(np.unique(key, return_counts=True)[1])]] if len(f) else f
-    f = np.sort(f)
-    links = simhash._join_runs(np.zeros(len(f), np.uint64), [f], ring, None)
-    got = {(int(a), int(b)) for x, y in links for a, b in zip(x, y, strict=True)}
-    assert all((int(f[a]) ^ int(f[b])).bit_count() <= 4 for a, b in got)
+    """Many fingerprints under one key: links found connect exactly what all pairs connect there."""
+    ring = simhash.Ring(4, 1)
+    for seed in range(5):
+        f = ball(np.random.default_rng(seed), 120)
+        start, mask = ring.keys[0]
+        assert len(np.unique(ring.turned(f, start) & mask)) == 1
+        a, b = simhash._join_runs(np.zeros(len(f), np.uint64), f, ring)
+        inside = [(x, y) for x, y in within(f, 4) if len(ring.holds(f[[x]] ^ f[[y]], np.array([start])))]
+        assert len(f) > simhash.SHIFTS and linked(f, zip(a.tolist(), b.tolist(), strict=True)) == linked(f, inside) and len(set(linked(f, inside))) < len(f)
+        assert all((int(f[x]) ^ int(f[y])).bit_count() <= 4 for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("most", [3, 20, 10_000])
+def test_long_runs_are_dealt_again(spark, most):
+    rng = np.random.default_rng(9)
+    f = np.unique(np.concatenate([ball(rng, 150), ball(rng, 60), rng.integers(0, 2**63, 100, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "f0 long")
+    at = {int(x): k for k, x in enumerate(f.view(np.int64))}
+    got = [(at[r.u], at[r.v]) for r in simhash.link_fingerprints(df, 4, chain=1, most=most).collect()]
+    assert linked(f, got) == linked(f, within(f, 4)) and all((int(f[a]) ^ int(f[b])).bit_count() <= 4 for a, b in got)
+
+
+def test_keys_grow_with_the_table():
+    bits = [simhash.Ring(4, simhash.chain_for(n, 4)).key_bits for n in (10, 10**6, 10**8, 10**10)]
+    assert bits == sorted(bits) and all(n < 16 << b for n, b in zip((10**6, 10**8, 10**10), bits[1:], strict=True))
 
 
 def test_components(spark):
