@@ -1,9 +1,10 @@
-"""Exact top-k inner products by vector-approximation files.
+"""Exact top-k inner products by a vector-approximation file.
 
-Each batch of candidate vectors is held twice: as quantised cells of a few bits a component, and
-exactly. For a block of queries the cells alone give lower and upper bounds of every score; the
-exact vectors are then read in the order of their upper bounds, until the kth best exact score
-lies above the next bound. The kth best so far carries over to a task's next batch.
+The vectors are stored once, and beside them their approximation: blocks of cells of one byte a
+component, on a grid of each block's own. The scan reads cells alone and gets a lower and an upper
+bound of every score; what can't be among a query's k best by the bounds ends there. Exact vectors
+are then read in the order of their upper bounds, until the kth best exact score lies above the
+next bound.
 """
 
 from __future__ import annotations
@@ -12,75 +13,159 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-CELLS = 16
+from quarry.llm.common import settle
+
+#: Levels of a component's grid (256 at most), vectors of a stored block, queries that are bounded together, candidates that a task holds before it prunes them.
+LEVELS, BLOCK, TOGETHER, HELD = 64, 2048, 256, 1 << 20
+#: |scale * x| must lie below this: then differences of components fit 64 bits.
+LARGEST = 2.0**61
 
 
 def quantised(df: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): v holds floor(scale * x) of every component x. Vectors that are null or hold null or non-finite components are left out."""
+    """(id, v): v holds floor(scale * x) of every component x. Vectors that are null or hold null or non-finite components are left out; a component of 2^61 or more after scaling raises."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    v = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return df.where(F.col(vec_col).isNotNull() & ~F.exists(F.col(vec_col), lambda x: bad(x.cast("double")))).select(F.col(id_col).alias("id"), v.alias("v"))
-
-
-class Approximation:
-    """Cells of a batch of integer vectors of one length."""
-
-    def __init__(self, v: np.ndarray):
-        low, high = (v.min(0), v.max(0)) if len(v) else (np.zeros(v.shape[1]), np.zeros(v.shape[1]))
-        self.width = np.maximum(1, np.ceil((high - low + 1) / CELLS)).astype(np.float64)
-        cell = ((v - low) // self.width).astype(np.uint8)
-        self.middle = (low + (cell + 0.5) * self.width - 0.5).astype(np.float64)
-        self.half = (self.width - 1) / 2
-
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each query and vector a score from the cells, and how far the exact one may be off it at most."""
-        off = np.abs(q) @ self.half
-        return q @ self.middle.T, off + 1e-9 * (1 + np.abs(q) @ np.abs(self.middle).max(0, initial=0))
-
-
-def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer inner products; Python integers where 64 bits may not hold them."""
-    if len(v) and float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * v.shape[1] >= 2.0**62:
-        return np.array([sum(int(a) * int(b) for a, b in zip(q, x, strict=True)) for x in v], dtype=object)
-    return v @ q
-
-
-def merge(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    s, i = np.concatenate([best[0], scores]), np.concatenate([best[1], ids])
-    order = np.lexsort((i, -s))[:k]
-    return s[order], i[order]
-
-
-def search_batch(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, best: list) -> None:
-    """Take a batch of candidates into the k best (scores, ids) of each query."""
-    cells = Approximation(v)
-    middle, off = cells.bounds(q.astype(np.float64))
-    for j in range(len(q)):
-        high = middle[j] + off[j]
-        # no candidate below the kth best lower bound, or the kth best so far, can be among the k best
-        others = ids != q_ids[j]
-        low = (middle[j] - off[j])[others]
-        floor = -np.inf if len(low) < k else np.partition(low, len(low) - k)[len(low) - k]
-        if len(best[j][0]) == k:
-            floor = max(floor, float(best[j][0][-1]))
-        left = np.flatnonzero((high >= floor) & others)
-        left = left[np.argsort(-high[left], kind="stable")]
-        at, take = 0, 4 * k
-        while at < len(left) and (len(best[j][0]) < k or high[left[at]] >= float(best[j][0][-1])):
-            some = left[at : at + take]
-            best[j] = merge(best[j], exact(q[j], v[some]), ids[some], k)
-            at, take = at + take, 2 * take
+
+    def level(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < LARGEST, F.floor(y)).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("long"))
+
+    fine = df.where(F.col(vec_col).isNotNull() & ~F.exists(F.col(vec_col), lambda x: bad(x.cast("double"))))
+    return fine.select(F.col(id_col).alias("id"), F.transform(F.col(vec_col), level).alias("v"))
 
 
 def _matrix(column: pa.Array, length: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
 
 
+def approximate(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least values and widths of a grid over integer vectors, and their cells."""
+    low = v.min(0)
+    width = -(-(v.max(0) - low + 1) // LEVELS)
+    return low, width, ((v - low) // width).astype(np.uint8)
+
+
+def bounds(q: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of queries and cells: the scores of the cells' middles, and how far the exact ones may be off at most (a column, one row a query)."""
+    middle = low + cells * width.astype(np.float64) + (width - 1) / 2
+    size = np.abs(q)
+    off = size @ ((width - 1) / 2) + 1e-9 * (1 + size @ np.abs(middle).max(0, initial=0))
+    return q @ middle.T, off[:, None]
+
+
+_BLOCKS = "m int, rows binary, ids binary, low binary, width binary, cells binary"
+
+
+def _pack(stored: DataFrame, cells: bool) -> DataFrame:
+    """Blocks of up to BLOCK vectors (row, id, v) of one length m: their approximation, or (cells false) themselves in cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = np.diff(b.column(2).offsets.to_numpy())
+            for m in np.unique(lengths).tolist():
+                some = b.filter(pa.array(lengths == m))
+                for at in range(0, some.num_rows, BLOCK):
+                    part = some.slice(at, BLOCK)
+                    v = _matrix(part.column(2), m) if m else np.zeros((part.num_rows, 0), np.int64)
+                    low, width, data = approximate(v) if cells else (v[:0], v[:0], v)
+                    yield pa.RecordBatch.from_pylist([{"m": m, "rows": part.column(0).to_numpy().tobytes(), "ids": part.column(1).to_numpy().tobytes(), "low": low.tobytes(), "width": width.tobytes(), "cells": data.tobytes()}], pa.schema([("m", pa.int32()), *((n, pa.binary()) for n in ("rows", "ids", "low", "width", "cells"))]))
+
+    return stored.select("row", "id", "v").mapInArrow(run, _BLOCKS)
+
+
+class _Asked:
+    """Queries of one length in a task, and for each what may be among its k best."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.q = k, [], None
+
+    def take(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        self.parts.append((rows, ids, v))
+
+    def close(self) -> None:
+        self.rows, self.ids, q = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.q = q.astype(np.float64)
+        self.best = np.full((len(self.q), self.k), -np.inf)  # the k best lower bounds
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def scan(self, rows: np.ndarray, ids: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> None:
+        if self.q is None:
+            self.close()
+        for at in range(0, len(self.q), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            score, off = bounds(self.q[part], low, width, cells)
+            score[self.ids[part, None] == ids[None, :]] = -np.inf  # a query's own rows are no candidates
+            both = np.concatenate([self.best[part], score - off], 1)
+            self.best[part] = np.partition(both, both.shape[1] - self.k, 1)[:, -self.k :]
+            j, c = np.nonzero((score + off >= self.best[part].min(1, keepdims=True)) & (score > -np.inf))
+            self.held.append((j + at, rows[c], (score - off)[j, c], (score + off)[j, c]))
+            self.n += len(j)
+        if self.n > HELD:
+            self.prune()
+
+    def prune(self) -> None:
+        j, rows, low, high = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        ok = high >= self.best.min(1)[j]
+        self.held = [(j[ok], rows[ok], low[ok], high[ok])]
+        self.n = int(ok.sum())
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.q is not None and self.n:
+            self.prune()
+            j, rows, low, high = self.held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(self.rows[j]), pa.array(rows), pa.array(low), pa.array(high)], names=["query", "row", "low", "high"])
+
+
+def _scan(dealt: DataFrame, k: int) -> DataFrame:
+    """(query, row, low, high): what may be among a query's k best by the cells of one part of the table. dealt: blocks by task, the queries of each first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, asked = None, {}
+        whole = lambda x: np.frombuffer(x, np.int64)
+        for b in batches:
+            for r in b.to_pylist():
+                if r["task"] != task:
+                    for a in asked.values():
+                        yield from a.out()
+                    task, asked = r["task"], {}
+                if r["kind"] == 0:
+                    asked.setdefault(r["m"], _Asked(k)).take(whole(r["rows"]), whole(r["ids"]), whole(r["cells"]).reshape(-1, r["m"]) if r["m"] else np.zeros((len(r["rows"]) // 8, 0), np.int64))
+                elif r["m"] in asked:
+                    rows = whole(r["rows"])
+                    asked[r["m"]].scan(rows, whole(r["ids"]), whole(r["low"]), whole(r["width"]), np.frombuffer(r["cells"], np.uint8).reshape(len(rows), r["m"]))
+        for a in asked.values():
+            yield from a.out()
+
+    return dealt.mapInArrow(run, "query long, row long, low double, high double")
+
+
+def _exact(pairs: DataFrame, stored: DataFrame) -> DataFrame:
+    """(query, row, query_id, id, score) by the exact vectors. A score that 64 bits don't hold raises."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (b.column(k) for k in (4, 5))
+            flat = [x.flatten().to_numpy() for x in (a, c)]
+            at = a.offsets.to_numpy() - a.offsets.to_numpy()[0]
+            if sum(np.abs(x).max(initial=0).astype(float).item() ** 2 for x in flat) * max(1, int(np.diff(at).max(initial=0))) < 2.0**62:
+                sums = np.concatenate([[0], np.cumsum(flat[0] * flat[1])])  # wraps, and the differences wrap back
+                score = sums[at[1:]] - sums[at[:-1]]
+            else:
+                found = [sum(x * y for x, y in zip(flat[0][i:j].tolist(), flat[1][i:j].tolist(), strict=True)) for i, j in zip(at, at[1:], strict=False)]
+                if any(abs(x) >= 1 << 63 for x in found):
+                    raise ArithmeticError("a score is beyond 64 bits")
+                score = np.array(found, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(score)], names=["query", "row", "query_id", "id", "score"])
+
+    # the queries' vectors first: one of them goes to many candidates, so sorted joins that Spark can split
+    both = pairs.join(stored.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q")).hint("merge"), "query").join(stored.hint("merge"), "row")
+    return both.select("query", "row", "query_id", "id", "q", "v").mapInArrow(run, "query long, row long, query_id long, id long, score long")
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block_bytes: int = 16 << 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, <id_col>, score): the k highest scores of every query against all other rows.
 
@@ -88,50 +173,44 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     components; vectors that are null or hold null or non-finite components take no part, and
     neither do rows with a null id. Vectors meet only vectors of their own length. Ties go to the
     smaller id. Rows that bear the query's id are its own; a repeated query row is answered as
-    often as it occurs. Queries go to the candidates in blocks of block_bytes at most, so what is
-    broadcast and what passes the driver at a time never grows with the table.
+    often as it occurs, and of other repeated rows each counts. Components of 2^61 or more after
+    scaling, and scores among those read that 64 bits don't hold, raise an error.
+
+    Queries are dealt to tasks in groups of block_bytes at most, the cells of all vectors to every
+    group in as many parts as keep the tasks busy; nothing passes the driver or is broadcast.
     """
     spark = vectors.sparkSession
-    rows = quantised(vectors, scale, id_col, vec_col).where(F.col("id").isNotNull())
-    queries = rows.where(F.col("id") % every == 0)
-    n, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    blocks = max(1, -(-n * 8 * max(1, size) // block_bytes))
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("block", "no", "query_id", "id", "score")])
-    parts = []
-    for block in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).sort("id", F.to_json("v")).collect()
-        by_length: dict[int, list] = {}
-        for no, r in enumerate(got):
-            by_length.setdefault(len(r.v), []).append((no, r.id, r.v))
-        packed = {m: (np.array([x[0] for x in rs]), np.array([x[1] for x in rs]), np.array([x[2] for x in rs], dtype=np.int64).reshape(len(rs), m)) for m, rs in by_length.items()}
-        sent = spark.sparkContext.broadcast(packed)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, block=block) -> Iterator[pa.RecordBatch]:
-            asked = sent.value
-            best = {m: [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q[0]) for m, q in asked.items()}
-            for b in batches:
-                lengths = np.array([len(x) for x in b.column(1)]) if b.num_rows else np.zeros(0, int)
-                for m in np.unique(lengths).tolist():
-                    if m in asked:
-                        some = b.filter(pa.array(lengths == m))
-                        ids = some.column(0).to_numpy()
-                        v = _matrix(some.column(1), m) if m else np.zeros((len(ids), 0), np.int64)
-                        for at in range(0, len(ids), 4096):
-                            part = slice(at, at + 4096)
-                            for lo in range(0, len(asked[m][0]), 1024):
-                                own = best[m][lo : lo + 1024]
-                                search_batch(asked[m][2][lo : lo + 1024], asked[m][1][lo : lo + 1024], v[part], ids[part], k, own)
-                                best[m][lo : lo + 1024] = own
-            for m, (no, query, _) in asked.items():
-                count = [len(x[0]) for x in best[m]]
-                if sum(count):
-                    cols = [np.full(sum(count), block), np.repeat(no, count), np.repeat(query, count), np.concatenate([x[1] for x in best[m]]), np.concatenate([x[0] for x in best[m]]).astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=schema.names)
-
-        parts.append(rows.mapInArrow(run, schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    order = Window.partitionBy("block", "no", "query_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = quantised(vectors, scale, id_col, vec_col).where(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long"))
+    stored = settle(rows.withColumn("row", F.monotonically_increasing_id()))
+    asking = stored.where(F.col("id") % every == 0)
+    cells, queries = settle(_pack(stored, True)), settle(_pack(asking, False))
+    (held,), (scanned,) = (t.agg(F.coalesce(F.sum(F.octet_length("cells") + F.octet_length("rows")), F.lit(0))).first() for t in (queries, cells))
+    groups = max(1, -(-held // block_bytes))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, -(-scanned // (4 * block_bytes)), min(-(-parts // groups), -(-scanned // 65_536)))
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("rows"), F.lit(n)).cast("int")
+    names = ["m", "rows", "ids", "low", "width", "cells"]
+    asked = queries.withColumn("group", own(groups)).withColumn("share", every_of(shares)).select((F.col("group") * shares + F.col("share")).alias("task"), F.lit(0).alias("kind"), *names)
+    given = cells.withColumn("share", own(shares)).withColumn("group", every_of(groups)).select((F.col("group") * shares + F.col("share")).alias("task"), F.lit(1).alias("kind"), *names)
+    dealt = asked.unionAll(given).repartition(max(parts, groups * shares), "task").sortWithinPartitions("task", "kind")
+    maybe = settle(_scan(dealt, k))
+
+    by_low = Window.partitionBy("query").orderBy(F.desc("low"))
+    floor = maybe.withColumn("no", F.row_number().over(by_low)).where(F.col("no") == k).select("query", F.col("low").alias("floor"))
+    by_high = Window.partitionBy("query").orderBy(F.desc("high"), "row")
+    left = maybe.join(floor, "query", "left").where(F.col("floor").isNull() | (F.col("high") >= F.col("floor")))
+    left = settle(left.withColumn("no", F.row_number().over(by_high)).select("query", "row", "high", "no"))
+    best, upto = None, 2 * k
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"), F.asc("row"))
+    while True:  # the exact vectors in the order of their bounds, twice as many each time
+        found = _exact(left.where(F.col("no") <= upto).select("query", "row"), stored)
+        best = found if best is None else best.unionAll(found)
+        best = settle(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)).drop("rank")
+        kth = best.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
+        left = settle(left.where(F.col("no") > upto).join(kth, "query", "left").where(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).select("query", "row", "high", "no"))
+        if left.isEmpty():
+            break
+        upto *= 2
+    ranked = best.withColumn("rank", F.row_number().over(order))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -3,18 +3,47 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from quarry.llm import quality_crf
-from quarry.llm.topk_search import search_batch
+from quarry.llm.topk_search import top_k
 
 from . import fixtures as X
 
 
-def test_repeated_query_rows_do_not_prune_neighbours():
-    v = np.array([[15], [15], [15], [10], [5], [1]])
-    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    search_batch(np.array([[15]]), np.array([20]), v, np.array([20, 20, 20, 1, 2, 3]), 2, best)
-    assert best[0][0].tolist() == [150, 75] and best[0][1].tolist() == [1, 2]
+@pytest.mark.parametrize("times", [1, 2, 3, 25, 50])
+def test_repeated_query_rows_do_not_prune_neighbours(spark, times):
+    """Queries whose rows are repeated, among vectors close together, with ties; each row is answered."""
+    rng = np.random.default_rng(times)
+    v = [[float(x) for x in y] for y in rng.normal(size=(400, 6)).round(1)]
+    rows = [(i, x) for i, x in enumerate(v)] + [(i, v[i]) for i in (0, 20, 40) for _ in range(times - 1)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=5, every=20).collect()
+    whole = {i: np.floor(np.array(x) * 64).astype(int) for i, x in rows}
+    want = []
+    for i, _ in rows:
+        if i % 20 == 0:
+            best = sorted((-int(whole[i] @ whole[j]), j) for j, _ in rows if j != i)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert X.multiset(tuple(r) for r in got) == X.multiset(want)
+
+
+def test_large_components(spark):
+    """Scores that fit 64 bits are exact, others raise; so do components beyond 2^61."""
+    ask = lambda *vs: sorted(tuple(r) for r in top_k(spark.createDataFrame(list(enumerate(vs)), "vec_id long, embedding array<double>"), scale=1).collect())
+    assert ask([1e15, 3.0], [1000.0, 1.0], [1000.0, 2.0]) == [(0, 1, 2, 10**18 + 6), (0, 2, 1, 10**18 + 3)]
+    for bad in ([1e15, 1.0], [1e300, 1.0]):
+        with pytest.raises(Exception, match="64 bits|too large"):
+            ask(bad, bad)
+
+
+def test_a_wide_grid_reads_exact_vectors_further(spark):
+    """Outliers make cells wide: many bounds overlap, and rounds go on until the kth is certain."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(600)] + [(601, [900.0, -900.0, 900.0, -900.0])]
+    got = sorted(tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), k=3, every=100).collect())
+    whole = {i: np.floor(np.array(x) * 64).astype(int) for i, x in rows}
+    want = [(i, k + 1, j, -s) for i in range(0, 600, 100) for k, (s, j) in enumerate(sorted((-int(whole[i] @ whole[j]), j) for j in whole if j != i)[:3])]
+    assert got == want
 
 
 def test_training_takes_a_repeated_document_once(spark):
