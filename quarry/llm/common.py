@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,46 +29,45 @@ def text_of(c: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables.
+    """The cluster's shared folder for intermediate tables: what the session names in spark.checkpoint.dir.
 
-    It is what the session names in spark.checkpoint.dir. Only where nothing is named (a local
-    test session) a temporary folder is made and set.
+    Only where nothing is named and the master is local (a test session) a temporary folder is made
+    and set; on a cluster every machine would have another one, so that raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+#: Spark deletes a query's shuffle files when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage: what reads the result survives the loss of any executor, and nothing
-    before it runs twice. The table goes when the session's JVM ends.
+    before it runs twice. The shuffle files of df go when it is written, the table when the
+    session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before else spark.conf.unset(_CLEAN)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of passes that are over and whose results are stored.
-
-    It does so once the driver has collected their plans; finalizers let go of the last ones only
-    in a second collection.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def sha256_hex(c: Column) -> Column:
     """Lower-case hex SHA-256 of a string's UTF-8 or of a binary."""
     return F.sha2(c, 256)

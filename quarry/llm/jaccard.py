@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import release, settle
+from quarry.llm.common import settle
 from quarry.llm.components import components
 from quarry.llm.shingles import U64, shingle_set
 
@@ -234,7 +234,6 @@ def near_sets(docs: DataFrame, fingerprint: Callable[[np.ndarray], np.uint64], c
     passed over: short runs of a shingle give all their pairs; of long ones, dealt by join, every
     set is compared with two pivots, and then what links don't connect yet with the rest.
     """
-    spark = docs.sparkSession
     prints = settle(prefixes(docs, fingerprint, words, keys, text_col))
     some = lambda c: F.first(c).alias(c)  # noqa: E731  (equal for equal names)
     nodes = settle(prints.groupBy("name").agg(some("n"), some("f0"), some("first"), some("often"), F.min(F.struct(*keys)).alias("least")).withColumn("node", F.monotonically_increasing_id()))
@@ -245,15 +244,12 @@ def near_sets(docs: DataFrame, fingerprint: Callable[[np.ndarray], np.uint64], c
     same = nodes.join(by_print.withColumnRenamed("node", "v"), "f0").where("node <> v").select(F.col("node").alias("u"), "v")
     ends = [by_print.select(F.col("f0").alias(c), F.col("node").alias(f"n{c}")) for c in "uv"]
     near = settle(close(by_print.select("f0")).join(ends[0], "u").join(ends[1], "v").select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v")))
-    release(spark)
 
     def decide(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs.distinct())
         need = settle(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least.*"), "node"))
         texts = settle(docs.select(*keys, F.col(text_col).alias("t")).join(need.hint("merge"), keys).select("node", "t").dropDuplicates(["node"]))
-        links = settle(_alike_pairs(pairs, texts, words))
-        release(spark)
-        return links
+        return settle(_alike_pairs(pairs, texts, words))
 
     first = found.where(F.col("kind") == PAIR).select("u", "v")
     links = decide(near.unionAll(same).unionAll(first).unionAll(_with_pivots(long_runs)))

@@ -11,8 +11,9 @@ only through their first `window` bytes. A most-significant-digit radix sort doe
    remaining passes: groups are split by the next quarter of the window's bytes, and groups of one
    are dropped after each pass.
 
-What is still grouped after the last pass are exactly the repeated windows; all but the earliest of
-a group are covered by what is removed.
+The passes tell digits by their hashes; the last one compares all bytes of the windows that are still
+grouped. What is left are exactly the repeated windows; all but the earliest of a group are covered
+by what is removed. Documents bear numbers in their order, so that earlier means smaller.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import release, settle
+from quarry.llm.common import settle
 
 U64 = np.uint64
 GRAM = 32
@@ -35,6 +36,8 @@ GRAM = 32
 SORTED, COMBINED = 4 << 20, 8 << 20
 #: Occurrences of one digit above which its windows are dealt one by one.
 HOT = 1024
+#: One text in SAMPLED tells which digits are held by many: those of over OFTEN of its texts, KNOWN at most. This changes the work, never the result.
+SAMPLED, OFTEN, KNOWN = 64, 16, 1 << 16
 #: Bytes that are hashed at a time.
 HASHED = 1 << 20
 FIRST_ID = -(2**63)
@@ -108,21 +111,23 @@ def _spread(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, bytes]]:
         yield i, (x.as_py() or "").encode()
 
 
+_PLACES = T.StructType([T.StructField("digit", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("place", T.IntegerType())])
+
+
 def _first_digits(docs: DataFrame, window: int) -> DataFrame:
-    """(digit, cid, place) of every anchor; a text that a task meets again is passed over.
+    """(digit, cid, place) of every anchor of (cid, sha, text), cid being a hash of sha; a text that a task meets again is passed over.
 
     Of a digit that one text holds more often two places go on: they say that it repeats.
     """
-    schema = T.StructType([T.StructField("digit", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("place", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[bytes] = set()
         for b in batches:
-            cid = b.column(0).to_pylist()
+            cid, sha = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[], [], []]
-            for i, text in _spread(b, 1):
-                if len(text) >= window and cid[i] not in met:
-                    met.add(cid[i])
+            for i, text in _spread(b, 2):
+                if len(text) >= window and sha[i] not in met:
+                    met.add(sha[i])
                     h, place, _, _ = anchors(text, window)
                     by = np.argsort(h, kind="stable")
                     third = np.zeros(len(h), bool)
@@ -131,9 +136,27 @@ def _first_digits(docs: DataFrame, window: int) -> DataFrame:
                     for o, x in zip(out, (h.view(np.int64), np.full(len(h), cid[i]), place.astype(np.int32)), strict=True):
                         o.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=_PLACES.names)
+
+    return docs.select("cid", "sha", "text").mapInArrow(run, _PLACES)
+
 
-    return docs.select("cid", "text").mapInArrow(run, schema)
+def _known_digits(docs: DataFrame, window: int) -> np.ndarray:
+    """Digits, in order, that over OFTEN of the sampled texts hold."""
+    some = _first_digits(docs.where(F.pmod(F.col("cid"), F.lit(SAMPLED)) == 0), window)
+    found = some.groupBy("digit").agg(F.count_distinct("cid").alias("n")).where(F.col("n") > OFTEN).orderBy(F.desc("n"), "digit").limit(KNOWN)
+    return np.sort(found.toArrow().column("digit").to_numpy())
+
+
+def _apart(digits: DataFrame, known: np.ndarray) -> DataFrame:
+    """digits with a column known: whether the digit is among those."""
+    sent = digits.sparkSession.sparkContext.broadcast(known)  # KNOWN longs at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.isin(b.column(0).to_numpy(), sent.value))], names=[*b.schema.names, "known"])
+
+    return digits.mapInArrow(run, T.StructType([*_PLACES.fields, T.StructField("known", T.BooleanType())]))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str, most: int, size) -> Iterator[pa.Table]:
@@ -163,6 +186,7 @@ def _repeated(digits: DataFrame, most: int) -> DataFrame:
     """(cid, place, hot) of the anchors whose digit occurs at two places at least; hot: at over `most`.
 
     No more than a digit's first rows are held: a longer one is hot, and its rows pass through.
+    Rows of digits known to be held by many texts are dealt over all tasks and pass through as well.
     """
 
     def out(digit: np.ndarray, cid: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -181,7 +205,11 @@ def _repeated(digits: DataFrame, most: int) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         passing = None
         for b in batches:
-            cols = tuple(c.to_numpy() for c in b.columns)
+            known = b.column(3).to_numpy(zero_copy_only=False)
+            cols = tuple(c.to_numpy() for c in b.columns[:3])
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cols[1][known]), pa.array(cols[2][known]), pa.array(np.ones(int(known.sum()), bool))], names=["cid", "place", "hot"])
+                cols = tuple(c[~known] for c in cols)
             if passing is not None and len(cols[0]):
                 n = int(np.searchsorted(cols[0], passing, "right"))
                 if n:
@@ -205,11 +233,12 @@ def _repeated(digits: DataFrame, most: int) -> DataFrame:
             yield from out(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     parts = int(digits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return digits.repartition(parts, "digit").sortWithinPartitions("digit").mapInArrow(run, "cid long, place int, hot boolean")
+    salt = F.when(F.col("known"), F.xxhash64("cid", "place")).otherwise(0)
+    return digits.repartition(parts, "digit", salt).sortWithinPartitions("digit").mapInArrow(run, "cid long, place int, hot boolean")
 
 
-CONTEXT = T.StructType([T.StructField(n, k) for n, k in (("digit", T.LongType()), ("id", T.LongType()), ("cid", T.LongType()), ("start", T.IntegerType()), ("before", T.IntegerType()), ("windows", T.IntegerType()), ("context", T.BinaryType()))])
-RANGES = T.StructType([T.StructField(n, k) for n, k in (("id", T.LongType()), ("cid", T.LongType()), ("start", T.IntegerType()), ("stop", T.IntegerType()))])
+CONTEXT = T.StructType([T.StructField(n, k) for n, k in (("digit", T.LongType()), ("doc", T.LongType()), ("start", T.IntegerType()), ("before", T.IntegerType()), ("windows", T.IntegerType()), ("context", T.BinaryType()))])
+RANGES = T.StructType([T.StructField(n, k) for n, k in (("doc", T.LongType()), ("start", T.IntegerType()), ("stop", T.IntegerType()))])
 
 
 def _earliest(group: np.ndarray, *order: np.ndarray) -> np.ndarray:
@@ -231,18 +260,18 @@ def _ids_of(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _join_ranges(i: np.ndarray, cid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+def _join_ranges(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ranges of one document that touch their neighbour become one."""
-    by = np.lexsort((start, cid, i))
-    i, cid, start, stop = i[by], cid[by], start[by], stop[by]
-    new = np.ones(len(i), bool)
-    new[1:] = (i[1:] != i[:-1]) | (cid[1:] != cid[:-1]) | (start[1:] > stop[:-1])
+    by = np.lexsort((start, doc))
+    doc, start, stop = doc[by], start[by], stop[by]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
     head = np.flatnonzero(new)
-    return i[head], cid[head], start[head], np.maximum.reduceat(stop, head) if len(head) else stop
+    return doc[head], start[head], np.maximum.reduceat(stop, head) if len(head) else stop
 
 
 def _contexts(found: DataFrame, window: int) -> DataFrame:
-    """CONTEXT rows of the repeated anchors of each document.
+    """CONTEXT rows of the repeated anchors of each document (doc, places, text).
 
     Where a task meets equal contexts of one digit, only the earliest is sent on; the others hold
     nothing but repeated windows, and rows of their joined ranges (windows = 0, before = the length)
@@ -251,43 +280,45 @@ def _contexts(found: DataFrame, window: int) -> DataFrame:
     """
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({r[1:4]: r for r in rows}.values())  # repeated rows are one document
-        digit, i, cid, start, before, windows = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:6])
-        context = pa.array([r[6] for r in rows], pa.binary())
+        rows = list({r[1:3]: r for r in rows}.values())  # repeated rows are one document
+        digit, doc, start, before, windows = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
+        context = pa.array([r[5] for r in rows], pa.binary())
         same = context.dictionary_encode().indices.to_numpy()
-        first = _earliest(_ids_of(digit, before, same), i, cid, start)
-        i2, cid2, start2, stop2 = _join_ranges(i[~first], cid[~first], start[~first], (start + windows + window - 1)[~first])
+        first = _earliest(_ids_of(digit, before, same), doc, start)
+        doc2, start2, stop2 = _join_ranges(doc[~first], start[~first], (start + windows + window - 1)[~first])
         cols = [
-            np.concatenate([digit[first], _mix(cid2.view(U64) ^ _mix(start2.view(U64))).view(np.int64)]),
-            np.concatenate([i[first], i2]),
-            np.concatenate([cid[first], cid2]),
+            np.concatenate([digit[first], _mix(doc2.view(U64) ^ _mix(start2.view(U64))).view(np.int64)]),
+            np.concatenate([doc[first], doc2]),
             np.concatenate([start[first], start2]).astype(np.int32),
             np.concatenate([before[first], stop2 - start2]).astype(np.int32),
-            np.concatenate([windows[first], np.zeros(len(i2), np.int64)]).astype(np.int32),
+            np.concatenate([windows[first], np.zeros(len(doc2), np.int64)]).astype(np.int32),
         ]
-        sent = pa.concat_arrays([context.filter(pa.array(first)), pa.array([b""] * len(i2), pa.binary())])
+        sent = pa.concat_arrays([context.filter(pa.array(first)), pa.array([b""] * len(doc2), pa.binary())])
         return pa.RecordBatch.from_arrays([*map(pa.array, cols), sent], names=CONTEXT.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for b in batches:
-            ids, cids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k, text in _spread(b, 3):
+            docs = b.column(0).to_pylist()
+            for k, text in _spread(b, 2):
                 h, place, lo, hi = anchors(text, window)
-                listed = b.column(2)[k].values
+                listed = b.column(1)[k].values
                 at, hot = listed.field(0).to_numpy(), listed.field(1).to_numpy(zero_copy_only=False)
                 keep = np.isin(h, h[np.isin(place, at)])
                 single = keep & np.isin(h, h[np.isin(place, at[hot])])
                 for j in np.flatnonzero(keep & ~single).tolist():
                     s, e = int(lo[j]), int(hi[j])
-                    rows.append((int(h[j].view(np.int64)), ids[k], cids[k], s, int(place[j]) - s, e - s + 1, text[s : e + window]))
+                    rows.append((int(h[j].view(np.int64)), docs[k], s, int(place[j]) - s, e - s + 1, text[s : e + window]))
                     size += e - s + window
                 if single.any():
                     own = rolling(np.frombuffer(text, np.uint8), window).view(np.int64)
                     for j in np.flatnonzero(single).tolist():
                         for s in range(int(lo[j]), int(hi[j]) + 1):
-                            rows.append((int(own[s]), ids[k], cids[k], s, 0, 1, text[s : s + window]))
+                            rows.append((int(own[s]), docs[k], s, 0, 1, text[s : s + window]))
                             size += window
+                        if size > COMBINED:
+                            yield out(rows)
+                            rows, size = [], 0
                 if size > COMBINED:
                     yield out(rows)
                     rows, size = [], 0
@@ -297,21 +328,43 @@ def _contexts(found: DataFrame, window: int) -> DataFrame:
     return found.mapInArrow(run, CONTEXT)
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer."""
+    return np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1)).copy().view(U64).ravel() if len(data) > 7 else np.zeros(0, U64)
+
+
+def _split_by_bytes(data: np.ndarray, at: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """Groups of the windows at these places that agree in every byte, from groups that agree in their hashes."""
+    word = _words(data)
+    offsets = [*range(0, window - 7, 8), window - 8]
+    out, rest, n = np.empty(len(at), np.int64), np.arange(len(at)), 0
+    while len(rest):
+        _, head, g = np.unique(group[rest], return_index=True, return_inverse=True)
+        model = at[rest[head]][g]
+        same = np.ones(len(rest), bool)
+        for k in offsets:
+            same &= word[at[rest] + k] == word[model + k]
+        out[rest[same]] = g[same] + n
+        n += len(head)
+        rest = rest[~same]  # hashes that met: another group
+    return out
+
+
 def _sort_windows(t: pa.Table, window: int) -> list[tuple[np.ndarray, ...]]:
-    """Ranges (id, cid, start, stop) of repeated windows that are not the earliest, from the contexts of whole digits."""
-    digit, i, cid, start, before, windows = (t.column(k).to_numpy().astype(np.int64) for k in range(6))
+    """Ranges (doc, start, stop) of repeated windows that are not the earliest, from the contexts of whole digits."""
+    digit, doc, start, before, windows = (t.column(k).to_numpy().astype(np.int64) for k in range(5))
     done = windows == 0
-    out = [(i[done], cid[done], start[done], start[done] + before[done])]
+    out = [(doc[done], start[done], start[done] + before[done])]
     rest = np.flatnonzero(~done)
-    rest = rest[_earliest(_ids_of(i[rest], cid[rest], start[rest]))]  # repeated rows are one document
-    context = t.column(6).take(pa.array(rest)).combine_chunks()
-    digit, i, cid, start, before, windows = (x[rest] for x in (digit, i, cid, start, before, windows))
+    rest = rest[_earliest(_ids_of(doc[rest], start[rest]))]  # repeated rows are one document
+    context = t.column(5).take(pa.array(rest)).combine_chunks()
+    digit, doc, start, before, windows = (x[rest] for x in (digit, doc, start, before, windows))
     if not len(rest):
         return out
     # equal contexts: all windows of the later ones repeat
     same = (context.chunk(0) if isinstance(context, pa.ChunkedArray) else context).dictionary_encode()
-    first = _earliest(_ids_of(digit, before, same.indices.to_numpy()), i, cid, start)
-    out.append((i[~first], cid[~first], start[~first], (start + windows + window - 1)[~first]))
+    first = _earliest(_ids_of(digit, before, same.indices.to_numpy()), doc, start)
+    out.append((doc[~first], start[~first], (start + windows + window - 1)[~first]))
     # different contexts of one digit: their windows, by anchor offset and then by the next bytes
     names, where, count = np.unique(digit[first], return_inverse=True, return_counts=True)
     rows = np.flatnonzero(first)[count[where] > 1]
@@ -339,8 +392,9 @@ def _sort_windows(t: pa.Table, window: int) -> list[tuple[np.ndarray, ...]]:
         live, group = live[many], group[many]
         if not len(live):
             return out
+    group = _split_by_bytes(data, at[live], group, window)
     r = rows[row[live]]
-    later = ~_earliest(group, i[r], cid[r], start[r] + shift[live])
+    later = ~_earliest(group, doc[r], start[r] + shift[live])
     again = np.zeros(len(row), bool)
     again[live[later]] = True
     # neighbouring windows of one context make one range
@@ -348,17 +402,16 @@ def _sort_windows(t: pa.Table, window: int) -> list[tuple[np.ndarray, ...]]:
     heads = np.flatnonzero(again & ~joined)
     tails = np.flatnonzero(again & ~np.concatenate([joined[1:], [False]]))
     r = rows[row[heads]]
-    out.append((i[r], cid[r], start[r] + shift[heads], start[r] + shift[tails] + window))
+    out.append((doc[r], start[r] + shift[heads], start[r] + shift[tails] + window))
     return out
 
 
 def _ranges(contexts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, "digit", SORTED, lambda b: b.column(6).nbytes):
-            i, cid, start, stop = (np.concatenate(x) for x in zip(*_sort_windows(t, window), strict=True))
-            i, cid, start, stop = _join_ranges(i, cid, start, stop)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(cid), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=RANGES.names)
+        for t in _runs(batches, "digit", SORTED, lambda b: b.column(5).nbytes):
+            doc, start, stop = _join_ranges(*(np.concatenate(x) for x in zip(*_sort_windows(t, window), strict=True)))
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=RANGES.names)
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return contexts.repartition(parts, "digit").sortWithinPartitions("digit").mapInArrow(run, RANGES)
@@ -390,64 +443,60 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     """
     if window < 2 * GRAM:
         raise ValueError(f"window must be {2 * GRAM} at least")
-    spark = docs.sparkSession
     new = [digest_col or kept_col, *counts]
     docs = docs.drop(*new)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sha = F.sha2(text, 256)
-    cid = F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")  # in the order of the digests
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID))
-    seen = settle(docs.select(key.alias("id"), sha.alias("sha"), cid.alias("cid")).groupBy("id", "sha", "cid").agg(F.count(F.lit(1)).alias("n")))
-    firsts = settle(seen.groupBy("sha", "cid").agg(F.min("id").alias("id")).select("id", "cid"))
-    long_texts = docs.where(F.octet_length(text_col) >= window).select(key.alias("id"), cid.alias("cid"), F.col(text_col).alias("text"))
-    places = settle(_repeated(_first_digits(long_texts, window), hot))
-    release(spark)
-    wanted = settle(places.groupBy("cid").agg(F.collect_list(F.struct("place", "hot")).alias("places")).join(firsts.hint("merge"), "cid"))
-    found = long_texts.join(wanted.hint("merge"), ["id", "cid"]).select("id", "cid", "places", "text")
+    seen = settle(docs.select(key.alias("id"), sha.alias("sha")).groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")))
+    # the earliest of each text; sorted over all partitions, so that the numbers keep the order
+    firsts = settle(seen.groupBy("sha").agg(F.min("id").alias("id")).orderBy("id", "sha").withColumn("doc", F.monotonically_increasing_id()))
+    long_texts = docs.where(F.octet_length(text_col) >= window).select(key.alias("id"), sha.alias("sha"), F.col(text_col).alias("text"))
+    named = long_texts.withColumn("cid", F.xxhash64("sha"))
+    places = _repeated(_apart(_first_digits(named, window), _known_digits(named, window)), hot)
+    places = settle(places.groupBy("cid").agg(F.collect_list(F.struct("place", "hot")).alias("places")))
+    wanted = settle(places.join(firsts.withColumn("cid", F.xxhash64("sha")).hint("merge"), "cid").select("id", "sha", "doc", "places"))
+    found = long_texts.join(wanted.hint("merge"), ["id", "sha"]).select("doc", "places", "text")
     ranges = settle(_ranges(_contexts(found, window), window))
-    release(spark)
-    spans = settle(ranges.groupBy("id", "cid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    spans = settle(ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
     # every distinct (id, text): the earliest of its text has its spans, a later copy is a copy
-    marks = seen.join(firsts.withColumn("first", F.lit(True)), ["id", "cid"], "left").select("id", "cid", "n", F.col("first").isNotNull().alias("first"))
-    marks = settle(marks.join(spans, ["id", "cid"], "left").select(F.col("id").alias("__q_id"), F.col("cid").alias("__q_cid"), "n", "first", "spans"))
+    marks = seen.join(firsts.join(spans, "doc", "left"), ["id", "sha"], "left")
+    marks = settle(marks.select(F.col("id").alias("__q_id"), F.col("sha").alias("__q_sha"), F.col("n").alias("__q_n"), F.col("doc").isNotNull().alias("__q_first"), F.col("spans").alias("__q_spans")))
+    columns, own = [F.col(f"`{f.name}`") for f in docs.schema], ["__q_first", "__q_spans"]
+    keyed = docs.withColumns({"__q_id": key, "__q_sha": sha})
+    rows = keyed.join(marks.where("__q_n = 1").hint("merge"), ["__q_id", "__q_sha"]).select(*columns, *own)
+    if not (several := marks.where("__q_n > 1")).isEmpty():
+        # repeated rows: stored and numbered, the one of the least number counts as the earlier one
+        again = settle(keyed.join(several.hint("merge"), ["__q_id", "__q_sha"]).withColumn("__q_no", F.monotonically_increasing_id()))
+        least = settle(again.groupBy("__q_id", "__q_sha").agg(F.min("__q_no").alias("__q_no")).select("__q_no", F.lit(True).alias("__q_one")))
+        again = again.join(least, "__q_no", "left").withColumn("__q_first", F.col("__q_first") & F.col("__q_one").isNotNull())
+        rows = rows.unionAll(again.select(*columns, *own))
     fields = [*docs.schema.fields, T.StructField(new[0], T.StringType() if digest_col or as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in counts)]
+    at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[tuple, int] = {}  # of repeated rows, which stand together
-        names = None
         for b in batches:
-            names = names or b.schema.names
-            col = {n: b.column(k) for k, n in enumerate(names)}
+            texts, first, spans = b.column(at), b.column(len(fields) - 4).to_pylist(), b.column(len(fields) - 3)
             kept, numbers = [], [[], [], []]
-            for k, data in _spread(b, names.index(text_col)):
+            for k, data in _spread(b, at):
                 cut_out: list[tuple[int, int]] = []
-                copy = not col["__q_first"][k].as_py()
-                if col["__q_n"][k].as_py() > 1:
-                    who = (col["__q_id"][k].as_py(), col["__q_cid"][k].as_py())
-                    met[who] = met.get(who, 0) + 1
-                    copy |= met[who] > 1
-                if copy:
+                if not first[k]:
                     cut_out = [(0, len(data))] if len(data) >= window else []
-                elif col["__q_spans"][k].is_valid:
-                    both = col["__q_spans"][k].values
+                elif spans[k].is_valid:
+                    both = spans[k].values
                     cut_out = union_of(both.field(0).to_numpy(), both.field(1).to_numpy())
-                stay, at = [], 0
+                stay, done = [], 0
                 for a, e in cut_out:
-                    stay.append(data[at:a])
-                    at = e
-                left = b"".join([*stay, data[at:]])
+                    stay.append(data[done:a])
+                    done = e
+                left = b"".join([*stay, data[done:]])
                 if digest_col:
                     kept.append(hashlib.sha256(left).hexdigest())
                 elif as_text:
-                    kept.append(left.decode("utf-8", "ignore") if col[text_col][k].is_valid else None)
+                    kept.append(left.decode("utf-8", "ignore") if texts[k].is_valid else None)
                 else:
                     kept.append(left)
                 for o, x in zip(numbers, (len(data), len(data) - len(left), len(cut_out)), strict=True):
                     o.append(x)
-            own = [b.column(k) for k in range(len(fields) - 4)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(kept, pa.string() if digest_col or as_text else pa.binary()), *(pa.array(o, pa.int64()) for o in numbers)], names=[f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(fields) - 4], pa.array(kept, pa.string() if digest_col or as_text else pa.binary()), *(pa.array(o, pa.int64()) for o in numbers)], names=[f.name for f in fields])
 
-    marks = marks.select("__q_id", "__q_cid", F.col("n").alias("__q_n"), F.col("first").alias("__q_first"), F.col("spans").alias("__q_spans"))
-    joined = docs.withColumns({"__q_id": key, "__q_cid": cid}).join(marks.hint("merge"), ["__q_id", "__q_cid"])
-    rows = joined.select(*[f"`{f.name}`" for f in docs.schema], "__q_id", "__q_cid", "__q_n", "__q_first", "__q_spans")
     return rows.mapInArrow(cut, T.StructType(fields))

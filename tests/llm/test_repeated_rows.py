@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import quality_crf
+from quarry.llm.substring_dedup import _split_by_bytes, remove_repeats
 from quarry.llm.topk_search import top_k
 
 from . import fixtures as X
@@ -53,3 +54,26 @@ def test_training_takes_a_repeated_document_once(spark):
     one = quality_crf.train(X.documents(spark, rows), labels, sample=2)
     many = quality_crf.train(X.documents(spark, [rows[0]] * 6 + [rows[1]]), labels, sample=2)
     assert np.allclose(one.mean, many.mean) and np.allclose(one.weights, many.weights)
+
+
+def test_repeated_rows_under_skew_splitting(spark):
+    """2,000 equal rows, their join split over tasks: one keeps its text, whatever task it is in."""
+    forced = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+    before = {k: spark.conf.get(k) for k in forced}
+    text = "one passage of over a hundred bytes that every one of the repeated rows holds, word by word, to its end here"
+    rows = [(7, text)] * 2000 + [(1, "short"), (9, text), (8, f"own start {text}")]
+    try:
+        for k, v in forced.items():
+            spark.conf.set(k, v)
+        got = remove_repeats(X.documents(spark, rows).repartition(12), digest_col="kept_sha256").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert X.multiset((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == X.multiset(X.repeats_removed(rows))
+    assert sum(r.n_removed == 0 for r in got if r.doc_id == 7) == 1
+
+
+def test_windows_are_told_by_bytes():
+    """Groups of equal hashes whose windows differ in one byte are split."""
+    data = np.frombuffer(b"a" * 64 + b"a" * 63 + b"b" + b"a" * 64 + b"b" + b"a" * 63, np.uint8)
+    assert _split_by_bytes(data, np.array([0, 64, 128, 192]), np.zeros(4, np.int64), 64).tolist() == [0, 1, 0, 2]
