@@ -138,7 +138,7 @@ def offsets(text: str, ids: bytes, name: str) -> tuple[np.ndarray, np.ndarray]:
     return at[end - lengths] - 1, at[end - 1]
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, name: str, text_col: str = "text", ids_col: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(name)
-        for b in _small(batches):
+        for b in small_batches(batches):
             texts = [x.as_py() or "" for x in b.column(b.schema.get_field_index(text_col))]
             ids = [i for k in range(0, len(texts), TOGETHER) for i in encoder(texts[k : k + TOGETHER])]
             new = [pa.array(ids, pa.binary())]
@@ -175,7 +175,7 @@ def decode(df: DataFrame, name: str, ids_col: str = "ids", out_col: str = "decod
     df = df.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _small(batches):
+        for b in small_batches(batches):
             got = [None if x is None else decode_bytes(x, name) for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, out_col])
 

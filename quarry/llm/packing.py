@@ -3,50 +3,26 @@
 Pieces are dealt at random to groups that a task can hold. In a group, best fit by decreasing
 length opens the bins; then the emptiest bins are taken apart: their pieces move to other bins, or
 change places with one or two smaller ones, whenever that increases the sum of squared fills,
-until bins are empty or no step helps.
+until no step helps or the bins are as few as the tokens need.
 """
 
 from __future__ import annotations
 
-import heapq
-import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.bpe import IDS, load, read_ranks
+from quarry.llm.bpe import IDS, TOGETHER, Encoder, small_batches
 from quarry.llm.common import settle
 
-#: Letters beyond this may be newer than one library's Unicode tables; the tokenizers library takes such texts.
-_WIDE = re.compile("[^\x00-˿]")
 BIN = np.int64(1) << 32
 
 
-@cache
-def _fast(name: str):
-    ranks = read_ranks(name.replace(".json", ".tiktoken"))
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def token_ids(text: str, name: str) -> np.ndarray:
-    """The ids that the tokenizers library gives for the file, strings of special tokens being ordinary text.
-
-    Texts of Latin characters go through the rank file of the same vocabulary, whose ids are the
-    same and come several times faster; all others through the tokenizers library itself.
-    """
-    if _WIDE.search(text):
-        return np.array(load(name).encode(text, add_special_tokens=False).ids, IDS)
-    return np.array(_fast(name).encode_ordinary(text), IDS)
-
-
 def cut(docs: DataFrame, capacity: int = 2048, name: str = "byte_bpe_50k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row a piece: the id column, piece, start, length, ids_crc32 (and ids, if asked for).
 
@@ -57,10 +33,11 @@ def cut(docs: DataFrame, capacity: int = 2048, name: str = "byte_bpe_50k.json",
     fields += with_ids * [T.StructField("ids", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        encoder = Encoder(name)
+        for b in small_batches(batches, TOGETHER):
             rows, piece, start, length, crc, out = [], [], [], [], [], []
-            for r, text in enumerate(b.column(1)):
-                ids = np.append(token_ids(text.as_py() or "", name), IDS.type(end_id)).astype(IDS)
+            for r, whole in enumerate(encoder([x.as_py() or "" for x in b.column(1)])):
+                ids = np.append(np.frombuffer(whole, IDS), IDS.type(end_id)).astype(IDS)
                 ends = list(range(len(ids), 0, -capacity))[::-1]
                 for k, e in enumerate(ends):
                     s = ends[k - 1] if k else 0
@@ -96,81 +73,128 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 3) -> list[list[int]]:
-    """bins after moves and one-for-one and two-for-one swaps between underfull bins.
+class _Bins:
+    """Bins in search: pieces by length, and of each room the sums of up to two pieces that bins with that room can give.
 
-    The emptiest bin gives pieces away: a piece moves to another bin, or changes places with the
-    one or two smaller pieces of another bin, whatever leaves that bin fullest. Every step makes a
-    bin fuller than the emptiest was and so increases the sum of squared fills. rounds bounds how
-    often each bin is tried; the search stops at the least possible number of bins.
+    Sums are bits of an integer. Those of a room may be out of date: bits only join, until a look
+    in vain puts them right.
     """
-    least = -(-sum(lengths) // capacity)
-    room = [capacity - sum(lengths[i] for i in b) for b in bins]
-    live = len(bins)
-    #: Of each length that one or two pieces of an underfull bin have together (0: none): the largest room beside them, as a heap.
-    beside: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(capacity + 1)]
-    widest = np.full(capacity + 1, -1)
-
-    def offer(b: int) -> None:
-        if room[b] > 0 and bins[b]:
-            own = bins[b]
-            for what in ((), *((i,) for i in own), *((i, j) for x, i in enumerate(own) for j in own[:x])):
-                n = sum(lengths[i] for i in what)
-                heapq.heappush(beside[n], (-room[b], b, what))
-                widest[n] = max(widest[n], room[b])
-
-    def best_at(n: int, target: int):
-        """The bin with most room beside pieces of n tokens, target aside; stale entries go."""
-        aside, found = [], None
-        while beside[n] and found is None:
-            r, b, what = beside[n][0]
-            if -r != room[b] or not set(what) <= set(bins[b]):
-                heapq.heappop(beside[n])
-            elif b == target:
-                aside.append(heapq.heappop(beside[n]))
-            else:
-                found = beside[n][0]
-        for x in aside:
-            heapq.heappush(beside[n], x)
-        widest[n] = -beside[n][0][0] if beside[n] else -1
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.capacity, self.own = capacity, [{} for _ in bins]
+        for own, b in zip(self.own, bins, strict=True):
+            for i in b:
+                own.setdefault(lengths[i], []).append(i)
+        self.room = [capacity - sum(n * len(p) for n, p in own.items()) for own in self.own]
+        self.sums = [0] * len(bins)
+        self.at: dict[int, set[int]] = {}
+        self.united: dict[int, int] = {}
+        for b in range(len(bins)):
+            self.put(b)
+
+    def put(self, b: int) -> None:
+        """Enter a bin under its room; full and empty ones take no part."""
+        if (own := self.own[b]) and self.room[b]:
+            singles, out = sum(1 << n for n in own), 1
+            for n, pieces in own.items():
+                out |= singles >> (n + 1) << (2 * n + 1)  # with a longer one
+                if len(pieces) > 1:
+                    out |= 1 << 2 * n
+            self.sums[b] = out | singles
+            self.at.setdefault(self.room[b], set()).add(b)
+            self.united[self.room[b]] = self.united.get(self.room[b], 0) | self.sums[b]
+
+    def take_out(self, b: int) -> None:
+        members = self.at.get(self.room[b], set())
+        members.discard(b)
+        if not members:
+            self.at.pop(self.room[b], None)
+            self.united.pop(self.room[b], None)
+
+    def best(self, size: int, target: int) -> tuple[int, int, int] | None:
+        """(room left, bin, sum): the other bin that a piece of this size fills most, in exchange for a smaller sum of its pieces."""
+        found = None
+        for r, members in self.at.items():
+            low = max(0, size - r)
+            if found and r - size + low >= found[0]:
+                continue
+            x = self.united[r] >> low
+            for fresh in (False, True):
+                n = low + (x & -x).bit_length() - 1
+                if not x or n >= size or (found and r - size + n >= found[0]):
+                    break
+                b = next((b for b in members if b != target and self.sums[b] >> n & 1), None)
+                if b is not None:
+                    found = r - size + n, b, n
+                    break
+                if not fresh:
+                    others = 0
+                    for b in members:
+                        others |= self.sums[b] if b != target else 0
+                    self.united[r] = others | (self.sums[target] if target in members else 0)
+                    x = others >> low
+            if found and found[0] == 0:
+                break
         return found
 
+    def give(self, b: int, n: int) -> list[int]:
+        """Take pieces of n tokens together out of a bin: none, one or two."""
+        own = self.own[b]
+        which = [] if n == 0 else [n] if n in own else next([m, n - m] for m in own if n - m in own and (2 * m != n or len(own[m]) > 1))
+        out = []
+        for m in which:
+            out.append(own[m].pop())
+            if not own[m]:
+                del own[m]
+        self.room[b] += n
+        return out
+
+    def add(self, b: int, size: int, piece: int) -> None:
+        self.own[b].setdefault(size, []).append(piece)
+        self.room[b] -= size
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """bins after moves and one-for-one and two-for-one swaps between underfull bins.
+
+    The emptiest bin gives pieces away, the longest first: a piece moves to another bin, or changes
+    places with one or two smaller pieces of another bin, whatever leaves that bin fullest. Every
+    step makes a bin fuller than the emptiest was and so increases the sum of squared fills, so the
+    search ends: when no step helps, or at the least possible number of bins.
+    """
+    least, live = -(-sum(lengths) // capacity), len(bins)
+    s = _Bins(bins, lengths, capacity)
+
     def step(target: int) -> bool:
-        for i in sorted(bins[target], key=lambda i: (-lengths[i], i)):
-            best, size = None, lengths[i]
-            for n in np.flatnonzero(widest[:size] >= size - np.arange(size)).tolist():
-                got = best_at(n, target)
-                if got and -got[0] >= size - n and (best is None or -got[0] - size + n < best[0]):
-                    best = (-got[0] - size + n, got[1], got[2])
-                    if best[0] == 0:
-                        break
-            if best and best[0] < room[target]:
-                left, other, back = best
-                bins[target] = [x for x in bins[target] if x != i] + list(back)
-                bins[other] = [x for x in bins[other] if x not in back] + [i]
-                room[target] += room[other] - left
-                room[other] = left
-                offer(other)
-                offer(target)
+        for size in sorted(s.own[target], reverse=True):
+            got = s.best(size, target)
+            if got and got[0] < s.room[target]:
+                _, other, n = got
+                s.take_out(target), s.take_out(other)
+                back = s.give(other, n)
+                s.add(other, size, s.give(target, size)[0])
+                for i in back:
+                    s.add(target, lengths[i], i)
+                s.put(target), s.put(other)
                 return True
         return False
 
-    for b in range(len(bins)):
-        offer(b)
-    for _ in range(rounds):
-        before = live
-        for target in sorted((b for b in range(len(bins)) if bins[b] and room[b] > 0), key=lambda b: (-room[b], b)):
-            while live > least and bins[target] and step(target):
-                live -= not bins[target]
-        if live in (before, least):
-            break
-    return [b for b in bins if b]
+    moved = True
+    while moved and live > least:
+        moved = False
+        for target in sorted((b for members in s.at.values() for b in members), key=lambda b: (-s.room[b], b)):
+            while live > least and s.own[target] and s.room[target] and step(target):
+                moved = True
+                live -= not s.own[target]
+    return [[i for pieces in own.values() for i in pieces] for own in s.own if own]
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = 16_384, seed: int = 7) -> DataFrame:
     """pieces (of cut()) with sequence_id and offset, the place in the sequence, gapless from 0.
 
-    An empty table gives an empty one. Repeated rows are packed as often as they occur.
+    An empty table gives an empty one. Repeated rows are packed as often as they occur. Pieces are
+    packed in random groups of about group_pieces, so that a task can hold one; a group leaves one
+    sequence at most that the whole would not, beside what the search can't help.
     """
     pieces = settle(pieces)
     groups = max(1, -(-pieces.count() // group_pieces))
@@ -189,5 +213,5 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = 16_384, se
                 at += lengths[i]
         return got.select(names).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
 
-    group = F.pmod(F.xxhash64(F.lit(seed), *names[:4], "ids_crc32"), F.lit(groups))
+    group = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups))  # of a stored table: repeated rows are spread
     return pieces.withColumn("__q_group", group).groupBy("__q_group").applyInArrow(run, schema)

@@ -453,7 +453,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     long_texts = docs.where(F.octet_length(text_col) >= window).select(key.alias("id"), sha.alias("sha"), F.col(text_col).alias("text"))
     named = long_texts.withColumn("cid", F.xxhash64("sha"))
     places = _repeated(_apart(_first_digits(named, window), _known_digits(named, window)), hot)
-    places = settle(places.groupBy("cid").agg(F.collect_list(F.struct("place", "hot")).alias("places")))
+    places = settle(places.groupBy("cid").agg(F.collect_set(F.struct("place", "hot")).alias("places")))
     wanted = settle(places.join(firsts.withColumn("cid", F.xxhash64("sha")).hint("merge"), "cid").select("id", "sha", "doc", "places"))
     found = long_texts.join(wanted.hint("merge"), ["id", "sha"]).select("doc", "places", "text")
     ranges = settle(_ranges(_contexts(found, window), window))

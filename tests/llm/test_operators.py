@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on documents with nulls, blanks, copies, ties and long texts."""
 
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, packing, quality_crf, simhash, url_filter
+from quarry.llm import bpe, quality_crf, simhash, url_filter
 from quarry.llm import queries as Q
 from quarry.llm.components import components
 from quarry.llm.line_dedup import dedup_lines
@@ -350,16 +351,12 @@ def test_search_empties_bins():
 def test_packing(spark, docs, none):
     name = "byte_bpe_50k.json"
     got = pack(cut(docs, capacity=64), capacity=64, group_pieces=300).collect()
-    for text in {t for _, t in X.ROWS}:
+    want = []
+    for i, text in X.ROWS:
         ids = [*bpe.load(name).encode(text or "", add_special_tokens=False).ids, 0]
-        doc_ids = [i for i, t in X.ROWS if t == text]
-        for i in set(doc_ids):
-            same_id = {t for j, t in X.ROWS if j == i}
-            if len(same_id) == 1:
-                rows = sorted(((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i))
-                ends = list(range(len(ids), 0, -64))[::-1]
-                want = [(k, (s := ends[k - 1] if k else 0), e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())) for k, e in enumerate(ends)]
-                assert rows == sorted(want * doc_ids.count(i))
+        ends = list(range(len(ids), 0, -64))[::-1]
+        want += [(i, k, (s := ends[k - 1] if k else 0), e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())) for k, e in enumerate(ends)]
+    assert X.multiset((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == X.multiset(want)
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -375,10 +372,41 @@ def test_packing(spark, docs, none):
 ALPHABET = ["a", "aa", "e", " ", "  ", "\n", "\t", "é", "中文", "😀", "1", "23", "'s", "'ll", "!", "...", "the", "THE", "\r\n", "<|endoftext|>", "x\u0301", " a", "\u00a0", "\u2003", "ſ", "İ"]
 
 
-@given(st.lists(st.sampled_from(ALPHABET), max_size=40).map("".join))
+JSON = bpe.Encoder("byte_bpe_50k.json")
+
+
+@given(st.lists(st.lists(st.sampled_from(ALPHABET), max_size=40).map("".join), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_memoised_ids_are_the_librarys(texts):
+    assert [np.frombuffer(x, bpe.IDS).tolist() for x in JSON(texts)] == [bpe.load("byte_bpe_50k.json").encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_search_of_short_pieces_is_small():
+    """Thousands of short pieces: no pairs are stored, and no bin can go."""
+    tracemalloc.start()
+    lengths = [3] * 16_384
+    bins = local_search(best_fit(lengths, 2048), lengths, 2048)
+    assert len(bins) == -(-16_384 // (2048 // 3)) and tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+
+
+@given(st.lists(st.integers(1, 40), max_size=60))
 @settings(max_examples=300, deadline=None)
-def test_fast_ids_are_the_librarys(text):
-    assert packing.token_ids(text, "byte_bpe_50k.json").tolist() == bpe.load("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+def test_search_ends_where_no_step_helps(lengths):
+    """No move, one-for-one or two-for-one swap is left that would increase the squared fill, unless the bins are as few as can be."""
+    bins = local_search(best_fit(lengths, 40), lengths, 40)
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and max(fill, default=0) <= 40
+    if len(bins) == -(-sum(lengths) // 40):
+        return
+    for x, b in enumerate(bins):
+        for y, c in enumerate(bins):
+            if x != y and fill[x] < 40 and fill[y] < 40:
+                sums = {0, *(lengths[i] for i in c), *(lengths[i] + lengths[j] for i in c for j in c if i < j)}
+                for i in b:
+                    for n in sums:
+                        d = lengths[i] - n
+                        assert not (d > 0 and fill[y] + d <= 40 and fill[y] + d > fill[x])
 
 
 # ------------------------------------------------------------------ 10 byte-level BPE
