@@ -8,8 +8,10 @@ on every engine and in every order of addition.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,32 +19,22 @@ from pyspark.sql import functions as F
 from quarry.llm.common import lower_ascii
 
 MAX_LABELLED = 10_000
-BUCKETS = 4096
+BUCKETS = 1 << 14
 #: Multipliers of the three code points of an n-gram, and what is added for host and path.
 MIX, HOST_SALT, PATH_SALT = (961, 31, 1), 7, 2053
 SCALE = 1 << 20
 
 #: (host, path, action). A rule holds for its host and all subdomains, for paths that start with its path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Rules that are compiled into the projection; longer lists are joined by host suffix.
 MAX_RULES = 1_000
 
-_BAD = "casino poker slots betting porn xxx sex-cams viagra cheap-pills payday-loans warez torrent-crack keygen adserver popunder clickbait free-iphone replica-watches".split()
-_GOOD = "news docs wiki library museum research university recipes weather history science government education health travel sports music gardening".split()
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (url, 1 for unwanted): hosts and paths made by one rule from two word lists."""
-    out = []
-    for i in range(len(_BAD)):
-        bad, good = _BAD[i], _GOOD[i]
-        for k, (end, lang) in enumerate((("example.com", "en"), ("example.org", "fr"), ("example.net", "de"))):
-            other = _BAD[(i + k + 1) % len(_BAD)], _GOOD[(i + k + 1) % len(_GOOD)]
-            out.append((f"https://{bad}.{end}/{lang}/{other[0]}/{100 * k + i}", 1))
-            out.append((f"http://www.{end}/{bad}/{other[0]}.html", 1))
-            out.append((f"https://{good}.{end}/{lang}/{other[1]}/{100 * k + i}", 0))
-            out.append((f"http://www.{end}/{lang}/{good}?page={k}", 0))
-            out.append((f"https://{good[:4]}.{end}/{lang}/{17 * i + k}", 0))
-    return out
+
+def labelled_urls(part: str | None = None) -> list[tuple[str, int]]:
+    """The small labelled table (url, 1 for unwanted) beside this module; part "train" or "held_out": without or only the fifth whose crc32 is divisible by 5."""
+    rows = [line.split("\t") for line in files("quarry.llm").joinpath("labelled_urls.tsv").read_text().splitlines()[1:]]
+    want = {None: (True, False), "held_out": (True,), "train": (False,)}[part]
+    return [(url, int(y)) for y, url in rows if (zlib.crc32(url.encode()) % 5 == 0) in want]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -90,8 +82,6 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 def _rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     """The longest rule that fits, and its action; null if none fits."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"over {MAX_RULES} rules; join longer lists by host suffix instead")
     name = action = F.lit(None).cast("string")
     for h, p, a in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), r[0], r[1])):  # the last that fits wins
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -99,6 +89,22 @@ def _rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, action
 
 
+def _join_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """df (with __q_host and __q_path) with __q_name and __q_action of the longest rule (host, path, action) that fits.
+
+    Each different host and path is judged once: its host's suffixes are joined with the rules'
+    hosts. A rule's host meets all urls under it, for each of its paths.
+    """
+    labels = F.split("__q_host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = df.select("__q_host", "__q_path").distinct().withColumn("__q_suffix", F.explode(suffixes))
+    r = rules.select(F.col("host").alias("__q_suffix"), F.col("path").alias("__q_p"), F.col("action").alias("__q_a"))
+    best = F.max(F.struct((F.length("__q_suffix") + F.length("__q_p")).alias("n"), "__q_suffix", "__q_p", "__q_a")).alias("__q_r")
+    found = asked.join(r, "__q_suffix").where(F.col("__q_path").startswith(F.col("__q_p"))).groupBy("__q_host", "__q_path").agg(best)
+    name = F.concat("__q_r.__q_suffix", "__q_r.__q_p")
+    return df.join(found, ["__q_host", "__q_path"], "left").withColumns({"__q_name": name, "__q_action": F.col("__q_r.__q_a")}).drop("__q_r")
+
+
 def _adder(table: Column, salt: int):
     return lambda acc, g: acc + F.get(table, F.pmod(g + salt, F.lit(BUCKETS)))
 
@@ -120,19 +126,29 @@ def judge_urls(pages: DataFrame, rules=RULES, labelled: Iterable[tuple[str, int]
     """pages with host, path, rule and verdict (allow or block).
 
     A null url, or one without ://, has an empty host and path; no rule fits it and the model sees
-    no n-gram. labelled: pairs or a DataFrame (url, label 1 for unwanted), of MAX_LABELLED rows at
-    most. Columns of pages that bear one of the four names are replaced.
+    no n-gram. rules: (host, path, action) rows or a DataFrame of these; a DataFrame, or over
+    MAX_RULES of them, is joined by host suffix, fewer are compiled into the projection. labelled:
+    pairs or a DataFrame (url, label 1 for unwanted), of MAX_LABELLED rows at most (more raise).
+    Columns of pages that bear one of the four names are replaced.
     """
     if isinstance(labelled, DataFrame):
         labelled = [tuple(r) for r in labelled.select("url", "label").limit(MAX_LABELLED + 1).collect()]
     model = fit(labelled_urls() if labelled is None else labelled)
     host, path = host_path(F.col(url_col))
+    names = ["__q_host", "__q_path", "__q_name", "__q_action", "__q_hc", "__q_pc"]
     df = pages.withColumns({"__q_host": host, "__q_path": path})
+    if not isinstance(rules, DataFrame) and len(rules) > MAX_RULES:
+        rules = pages.sparkSession.createDataFrame(list(rules), "host string, path string, action string")
+    if isinstance(rules, DataFrame):
+        df = _join_rules(df, rules)
+    else:
+        name, action = _rule(F.col("__q_host"), F.col("__q_path"), rules)
+        df = df.withColumns({"__q_name": name, "__q_action": action})
     chars = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: F.length(x) > 0), lambda x: F.ascii(x))
     df = df.withColumns({"__q_hc": chars(F.col("__q_host")), "__q_pc": chars(F.col("__q_path"))})
-    name, action = _rule(F.col("__q_host"), F.col("__q_path"), rules)
     method = F.when(score(F.col("__q_hc"), F.col("__q_pc"), model) > 0, "block").otherwise("allow")
-    return df.withColumns({"host": F.col("__q_host"), "path": F.col("__q_path"), "rule": name, "verdict": F.coalesce(action, method)}).drop("__q_host", "__q_path", "__q_hc", "__q_pc")
+    out = {"host": F.col("__q_host"), "path": F.col("__q_path"), "rule": F.col("__q_name"), "verdict": F.coalesce("__q_action", method)}
+    return df.drop(*out).withColumns(out).drop(*names)
 
 
 def url_sql(rules=RULES) -> str:
