@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import BLANKS, lower_ascii, settle, text_of
 
-ROW, POS, KEY, GONE, LINES, KEPT = "__q_row", "__q_pos", "__q_key", "__q_gone", "__q_lines", "__q_kept"
+ROW, AGAIN, POS, KEY, GONE, LINES, KEPT = "__q_row", "__q_row2", "__q_pos", "__q_key", "__q_gone", "__q_lines", "__q_kept"
 
 
 def line_key(line: Column) -> Column:
@@ -31,17 +31,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     two more for the lines before dropping and the dropped lines.
     """
     text = text_of(text_col)
-    base = docs.withColumn(ROW, F.xxhash64(F.col(id_col), F.col(text_col)))
-    lines = base.select(ROW, F.posexplode(F.split(text, "\n", -1)).alias(POS, KEY)).withColumn(KEY, line_key(F.col(KEY))).where(F.length(KEY) >= min_chars).withColumn(KEY, F.unhex(F.md5(KEY)))
-    lines = settle(lines)  # 28 bytes a line: less than normalising and hashing all of them twice
-    shared = settle(lines.groupBy(KEY).agg(F.count_distinct(ROW).alias("n")).where(F.col("n") >= min_docs).select(KEY))
-    gone = settle(lines.join(shared, KEY).groupBy(ROW).agg(F.collect_list(POS).alias(GONE)))
+    # 128 bits name a row's id and text
+    base = docs.withColumns({ROW: F.xxhash64(F.col(id_col), F.col(text_col)), AGAIN: F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col))})
+    lines = base.select(ROW, AGAIN, F.posexplode(F.split(text, "\n", -1)).alias(POS, KEY)).withColumn(KEY, line_key(F.col(KEY))).where(F.length(KEY) >= min_chars).withColumn(KEY, F.unhex(F.md5(KEY)))
+    lines = settle(lines)  # 36 bytes a line: less than normalising and hashing all of them twice
+    shared = settle(lines.groupBy(KEY).agg(F.count_distinct(ROW, AGAIN).alias("n")).where(F.col("n") >= min_docs).select(KEY))
+    gone = settle(lines.join(shared, KEY).groupBy(ROW, AGAIN).agg(F.collect_list(POS).alias(GONE)))
     # merged at every size: a broadcast would only hold while few lines go
-    out = base.join(gone.hint("merge"), ROW, "left").withColumn(LINES, F.split(text, "\n", -1))
+    out = base.join(gone.hint("merge"), [ROW, AGAIN], "left").withColumn(LINES, F.split(text, "\n", -1))
     every = F.sequence(F.lit(0), F.size(LINES) - 1)
     # size(LINES) stands beside the lambda so that the split isn't inlined into it
     out = out.withColumn(KEPT, F.when(F.col(GONE).isNotNull(), F.array_except(every, GONE)))
     kept = F.array_join(F.transform(F.col(KEPT), lambda i: F.get(F.col(LINES), i)), "\n")
     dropped = F.coalesce(F.size(LINES) - F.size(F.when(F.col(KEPT).isNotNull(), F.col(KEPT))), F.lit(0))
     more = {} if counts is None else {counts[0]: F.size(LINES).cast("long"), counts[1]: F.when(F.col(KEPT).isNull(), 0).otherwise(dropped).cast("long")}
-    return out.withColumns({text_col: F.when(F.col(KEPT).isNull(), F.col(text_col)).otherwise(kept), **more}).drop(ROW, GONE, LINES, KEPT)
+    return out.withColumns({text_col: F.when(F.col(KEPT).isNull(), F.col(text_col)).otherwise(kept), **more}).drop(ROW, AGAIN, GONE, LINES, KEPT)

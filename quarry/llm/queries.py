@@ -125,18 +125,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS (
+  SELECT r, doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+  FROM docs),
 keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
-shared AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+shared AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT (doc_id, md5(text))) >= 10)
 SELECT doc_id, count(*)::BIGINT AS n_lines,
        (count(*) FILTER (WHERE k IN (SELECT k FROM shared)))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k NOT IN (SELECT k FROM shared)), '')) AS kept_sha256
-FROM keyed GROUP BY doc_id
+FROM keyed GROUP BY r, doc_id
 """
 
 
