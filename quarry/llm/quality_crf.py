@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 SYMBOLS, DIGITS, ENDS = "#*$%&|<>", "0123456789", ".!?:;\"'”»"
 FEATURES = ("distinct_words", "distinct_triples", "equal_neighbours", "symbols", "shouts", "upper_words", "digits", "word_length", "log_words", "ends", "repeated_line", "long_words")
-#: Training documents at most (the labelled rows of least hash), lines of a training sequence.
-SAMPLE, SEQUENCE = 6_000, 64
+#: Training documents at most (the labelled ids of least hash), and lines of one: longer documents are left out of training whole.
+SAMPLE, LINES = 6_000, 256
 
 
 def line_features(text: str | None) -> tuple[list[tuple[float, ...]], list[int]]:
@@ -95,53 +95,53 @@ def marginals(odds: list[float], stay: tuple[float, float]) -> list[float]:
     return out
 
 
-def _expectations(odds: np.ndarray, n: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of padded sequences (steps by sequences, longest first), and the expected numbers of equal neighbours (bad, good)."""
+def _expectations(odds: np.ndarray, live: list[int], stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals, and the expected numbers of equal neighbours (bad, good), of sequences given step by step: first the first lines of all, longest sequence first, then the second lines of the live[1] longest, and so on."""
     s0, s1 = np.exp(np.clip(stay, -20, 20))
     local = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    live = [int(np.searchsorted(-n, -k, side="left")) for k in range(len(odds))]  # sequences of more than k lines
+    at = np.concatenate([[0], np.cumsum(live)]).tolist()
     ahead, back = local.copy(), np.full_like(local, 0.5)
-    for k in range(1, len(odds)):
-        a, p = ahead[k - 1, : live[k]], local[k, : live[k]]
+    for k in range(1, len(live)):
+        a, p = ahead[at[k - 1] : at[k - 1] + live[k]], local[at[k] : at[k + 1]]
         good, bad = p * (a * s1 + 1 - a), (1 - p) * (a + (1 - a) * s0)
-        ahead[k, : live[k]] = good / (good + bad)
+        ahead[at[k] : at[k + 1]] = good / (good + bad)
     same = np.zeros(2)
-    for k in range(len(odds) - 1, 0, -1):
-        a, p, b = (x[: live[k]] for x in (ahead[k - 1], local[k], back[k]))
+    for k in range(len(live) - 1, 0, -1):
+        a, p, b = ahead[at[k - 1] : at[k - 1] + live[k]], local[at[k] : at[k + 1]], back[at[k] : at[k + 1]]
         good, bad = p * b, (1 - p) * (1 - b)
         both = a * s1 * good, (1 - a) * s0 * bad
         total = sum(both) + a * bad + (1 - a) * good
         same += [(both[1] / total).sum(), (both[0] / total).sum()]
         up, down = good * s1 + bad, good + bad * s0
-        back[k - 1, : live[k]] = up / (up + down)
+        back[at[k - 1] : at[k - 1] + live[k]] = up / (up + down)
     up = ahead * back
     return up / (up + (1 - ahead) * (1 - back)), same
 
 
-def fit(docs: list[tuple[list[tuple[float, ...]], int]], rounds: int = 150, rate: float = 0.1, decay: float = 0.02) -> Model:
-    """A model from (line features, label of the document) by gradient ascent on the conditional likelihood."""
-    parts = sorted(((x[k : k + SEQUENCE], y) for x, y in docs for k in range(0, len(x), SEQUENCE)), key=lambda p: -len(p[0]))
+def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1, decay: float = 0.02) -> Model:
+    """A model from (line features, label of the document) of whole documents by gradient ascent on the conditional likelihood."""
+    docs = sorted((d for d in docs if len(d[0])), key=lambda d: -len(d[0]))
     width = len(FEATURES)
-    if not parts:
+    if not docs:
         return Model(np.zeros(width), np.ones(width), np.zeros(3 * width), 0.0, (0.0, 0.0))
-    x = np.concatenate([np.array(p, float).reshape(-1, width) for p, _ in parts])
-    n = np.array([len(p) for p, _ in parts])
+    x = np.concatenate([np.array(f, float).reshape(-1, width) for f, _ in docs])
+    n, y = np.array([len(f) for f, _ in docs]), np.array([float(y) for _, y in docs])
+    begin = np.cumsum(n) - n
     first = np.zeros(len(x), bool)
-    first[np.cumsum(n) - n] = True
+    first[begin] = True
     mean, scale = x.mean(0), np.maximum(x.std(0), 0.05)
-    z = _wide((x - mean) / scale, first)
-    where = np.arange(n.max()) < n[:, None]
-    y = np.array([float(y) for _, y in parts])
-    truth = np.repeat(y, n)
+    live = np.searchsorted(-n, -np.arange(n[0]), side="left").tolist()  # documents of more than k lines
+    steps = np.concatenate([begin[:m] + k for k, m in enumerate(live)])
+    z = _wide((x - mean) / scale, first)[steps]
+    truth = np.concatenate([y[:m] for m in live])
     pairs = np.array([((n - 1) * (1 - y)).sum(), ((n - 1) * y).sum()])
+    parts = max(len(docs), int(n.sum()) // 64)
     theta = np.zeros(3 * width + 3)  # weights, bias, stay
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    grid = np.zeros(where.shape)
     for step in range(1, rounds + 1):
-        grid[where] = z @ theta[: 3 * width] + theta[3 * width]
-        good, same = _expectations(grid.T.copy(), n, theta[-2:])
-        error = truth - good.T[where]
-        g = np.concatenate([z.T @ error, [error.sum()], pairs - same]) / len(parts) - decay * np.concatenate([theta[: 3 * width], [0.0], theta[-2:]])
+        good, same = _expectations(z @ theta[: 3 * width] + theta[3 * width], live, theta[-2:])
+        error = truth - good
+        g = np.concatenate([z.T @ error, [error.sum()], pairs - same]) / parts - decay * np.concatenate([theta[: 3 * width], [0.0], theta[-2:]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Model(mean, scale, theta[: 3 * width], float(theta[3 * width]), (float(theta[-2]), float(theta[-1])))
@@ -152,11 +152,13 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled documents outside the held-out fifth.
 
-    At most sample of them are taken, those of least hash of their id; labels without an id or a
-    quality are passed over, and the least quality counts where an id has several. Of an id with several texts the least one counts.
+    At most sample of them are taken, those of least hash of their id, and of these the documents
+    of at most `lines` lines, whole. Labels without an id or a quality are passed over, and the
+    least quality counts where an id has several. Of an id with several texts the least one counts.
+    The driver gets 48 bytes a line: sample * lines * 48 at most, 74 MB by default.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__q_id")).agg(F.min("quality").alias("__q_y")).orderBy(F.xxhash64("__q_id"), "__q_id").limit(sample)
@@ -164,12 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.array(line_features(x.as_py())[0], np.float64).tobytes() for x in b.column(2)]
+            found = [line_features(x.as_py())[0] for x in b.column(2)]
+            rows = [np.array(f, np.float32).tobytes() if len(f) <= lines else None for f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
-    got = picked.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])).collect()
+    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())]
+    got = picked.mapInArrow(run, T.StructType(fields)).where("length(x) > 0").collect()
     got.sort(key=lambda r: (r.id, r.x))
-    return fit([(np.frombuffer(r.x).reshape(-1, len(FEATURES)), r.y) for r in got if r.x])
+    return fit([(np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)), r.y) for r in got])
 
 
 def score(docs: DataFrame, model: Model, out_col: str = "score", text_col: str = "text") -> DataFrame:

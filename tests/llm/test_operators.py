@@ -79,6 +79,26 @@ def test_marginals_are_exact():
         assert np.allclose(quality_crf.marginals(list(x), stay), want)
 
 
+def test_expected_neighbours_are_exact():
+    """Sequences of several lengths at once against the sum over all labellings."""
+    import itertools
+    import math
+
+    rng, stay, lengths = np.random.default_rng(1), np.array([0.7, -0.3]), [4, 3, 3, 1]
+    odds = [rng.normal(size=n) for n in lengths]
+    live = [sum(n > k for n in lengths) for k in range(4)]
+    good, same = quality_crf._expectations(np.concatenate([[odds[j][k] for j in range(m)] for k, m in enumerate(live)]), live, stay)
+    want, pairs = {}, np.zeros(2)
+    for j, x in enumerate(odds):
+        weight = {y: math.exp(sum(a * b for a, b in zip(y, x, strict=True)) + sum(stay[u] for u, v in zip(y, y[1:], strict=False) if u == v)) for y in itertools.product((0, 1), repeat=len(x))}
+        total = sum(weight.values())
+        for k in range(len(x)):
+            want[k, j] = sum(w for y, w in weight.items() if y[k]) / total
+        for c in (0, 1):
+            pairs[c] += sum(w * sum(u == v == c for u, v in zip(y, y[1:], strict=False)) for y, w in weight.items()) / total
+    assert np.allclose(good, [want[k, j] for k, m in enumerate(live) for j in range(m)]) and np.allclose(same, pairs)
+
+
 def test_classifier_on_held_out(spark):
     """Accuracy on the fifth of the labelled documents that training never saw."""
     d = "/root/testdata/sf0.01"
@@ -470,6 +490,45 @@ def test_split_characters_decode():
     assert b"".join(bpe.decode_bytes(ids[k : k + 1].tobytes(), MULTI) for k in range(len(ids))) == "𐍈".encode()
 
 
+# ------------------------------------------------------------------ queries by brute force
+
+@pytest.fixture(scope="module")
+def odd(docs, tmp_path_factory):
+    d = tmp_path_factory.mktemp("odd")
+    docs.write.parquet(f"{d}/documents.parquet")
+    return str(d)
+
+
+def test_op1(spark, odd):
+    rows = Q.op1_sharding(spark, odd).collect()
+    want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None) for i, t in X.ROWS]
+    assert X.multiset((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in rows) == X.multiset(want)
+    slots = [sorted(r.slot for r in rows if r.shard == k) for k in range(8)]
+    assert sum(map(len, slots)) == len(X.ROWS) and all(x == list(range(len(x))) for x in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+
+
+def test_op9(spark, odd):
+    rows = Q.op9_best_fit_packing(spark, odd).collect()
+    want, bins = [], {}
+    for i, t in X.ROWS:
+        ids = [*bpe.load("byte_bpe_50k.json").encode(t or "", add_special_tokens=False).ids, 0]
+        ends = list(range(len(ids), 0, -2048))[::-1]
+        want += [(i, k, s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())) for k, (s, e) in enumerate(zip([0, *ends], ends, strict=False))]
+    assert X.multiset((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == X.multiset(want)
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert bins.get(r.sequence_id, 0) == r.offset
+        bins[r.sequence_id] = r.offset + r.length
+    assert max(bins.values()) <= 2048 and len(bins) <= sum(bins.values()) / 2048 + 2
+
+
+def test_op10(spark, odd, tik):
+    want = []
+    for i, t in X.ROWS:
+        ids = tik.encode_ordinary(t or "")
+        want.append((i, len(ids), X.sha(np.array(ids, "<u4").tobytes()), X.sha((t or "").encode())))
+    assert X.multiset(tuple(r) for r in Q.op10_byte_bpe(spark, odd).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == X.multiset(want)
+
+
 # ------------------------------------------------------------------ queries and SQL
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
