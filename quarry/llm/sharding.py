@@ -8,15 +8,20 @@ all records; its places are dealt to the shards in turn, so that row counts diff
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from quarry.llm.common import settle
 
-BUCKET, HASH = "__q_bucket", "__q_hash"
-#: A power of two above any number of parts that one bucket is split into.
-PARTS = 1 << 20
+HASH, BUCKET, PART, START, PLACE, TO = "__q_hash", "__q_bucket", "__q_part", "__q_start", "__q_place", "__q_to"
+#: A power of two above any number of parts that one bucket is split into; buckets whose sizes are added up together.
+PARTS, CHUNK = 1 << 20, 4096
 
 
 def _seeded(docs: DataFrame, seed: int) -> Column:
@@ -30,47 +35,76 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).permutation(n)
 
 
+def _starts(sizes: DataFrame) -> DataFrame:
+    """(bucket, part, start): the place where each part begins, from (bucket, part, n); added up by chunks of buckets, then in each."""
+    chunk = F.floor(F.col(BUCKET) / CHUNK).alias("chunk")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = sizes.groupBy(chunk).agg(F.sum("n").alias("n"))
+    first = chunks.select("chunk", before(Window.orderBy("chunk")).alias("first"))
+    inside = sizes.withColumn("chunk", chunk).withColumn("at", before(Window.partitionBy("chunk").orderBy(BUCKET, PART)))
+    return inside.join(first, "chunk").select(BUCKET, PART, (F.col("first") + F.col("at")).alias(START))
+
+
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes: int = 16 << 20, text_col: str = "text") -> DataFrame:
     """docs in a seeded random order: all columns, and shard (0 to shards - 1) and slot (gapless from 0).
 
     The same records, seed and parameters give the same shards, whatever the partitions of docs.
     Nulls are hashed like values; an empty table gives an empty one. Repeated records fall into one
-    bucket; where a bucket has more than twice bucket_bytes beside its largest record, its records are spread over
-    parts by their place in the input instead (docs must then be a stored table, whose rows have
-    the same places whenever a task is run again). A single record above bucket_bytes still is one
-    record. Columns of docs named shard or slot are replaced.
+    bucket; where a bucket has more than twice bucket_bytes beside its largest record, its records
+    are stored with a number each and spread over parts by these (which of them comes where then
+    depends on the order in which they were stored). A single record above bucket_bytes still is
+    one record. Columns of docs named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
+    spark = docs.sparkSession
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 64
-    n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    (total,) = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_bytes))
-    base = docs.withColumn(HASH, _seeded(docs, seed))
-    bucket = F.pmod(F.col(HASH), F.lit(buckets)) * PARTS
-    sizes = base.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), (F.sum(size) - F.max(size)).alias("bytes")).collect()  # one row a bucket; beside its largest record
-    if hot := {r.b: min(-(-r.bytes // bucket_bytes), PARTS - 1) for r in sizes if r.bytes > 2 * bucket_bytes}:
-        parts = F.coalesce(F.element_at(F.map_from_arrays(F.array(*map(F.lit, hot)), F.array(*map(F.lit, hot.values()))), bucket), F.lit(1))
-        base = base.withColumn("__q_place", F.monotonically_increasing_id())
-        bucket = bucket + F.when(parts > 1, F.pmod(F.xxhash64(HASH, "__q_place"), parts)).otherwise(F.lit(0))
-        sizes = base.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    starts, at = {}, 0
-    for r in sorted(sizes, key=lambda r: r.b):
-        starts[r.b], at = at, at + r.n
-    base = base.withColumn(BUCKET, bucket).drop("__q_place")
+    base = docs.withColumn(HASH, _seeded(docs, seed)).withColumn(BUCKET, F.pmod(HASH, F.lit(buckets))).withColumn(PART, F.lit(0).cast("long"))
+    sizes = settle(base.groupBy(BUCKET, PART).agg(F.count(F.lit(1)).alias("n"), (F.sum(size) - F.max(size)).alias("bytes")))
+    hot = sizes.where(F.col("bytes") > 2 * bucket_bytes).select(BUCKET, F.least(F.ceil(F.col("bytes") / bucket_bytes), F.lit(PARTS - 1)).alias("__q_parts"))
+    sizes = sizes.drop("bytes")
+    if not hot.isEmpty():
+        heavy = settle(base.join(hot, BUCKET).withColumn(PLACE, F.monotonically_increasing_id()))
+        names = [f"`{c}`" for c in base.columns]
+        heavy = heavy.withColumn(PART, F.pmod(F.xxhash64(HASH, PLACE), F.col("__q_parts"))).select(*names)
+        base = base.join(hot, BUCKET, "left_anti").select(*names).unionAll(heavy)
+        sizes = sizes.join(hot, BUCKET, "left_anti").select(BUCKET, PART, "n").unionAll(heavy.groupBy(BUCKET, PART).agg(F.count(F.lit(1)).alias("n")))
+    heads = settle(_starts(sizes))
+    tasks = int(min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 4))))
+    # neighbouring buckets to a task, the parts of a hot one to one task after another; each part's start comes before its records
+    rows = base.withColumn(START, F.lit(None).cast("long")).unionByName(heads, allowMissingColumns=True)
+    to = F.pmod(F.floor(F.col(BUCKET) * tasks / buckets) + F.col(PART), F.lit(tasks)).cast("int")
+    dealt = rows.withColumn(TO, to).repartitionById(tasks, TO).drop(TO).sortWithinPartitions(BUCKET, PART, F.isnull(START))
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    names = [f.name for f in docs.schema]
+    own = len(docs.columns)
 
-    def permute(batches: pa.Table) -> pa.Table:
-        b = batches.column(BUCKET)[0].as_py()
-        h = batches.column(HASH).to_numpy()
+    def permute(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held)
+        h = whole.column(HASH).to_numpy()[1:]
+        b = whole.column(BUCKET)[0].as_py() * PARTS + whole.column(PART)[0].as_py()
         order = np.argsort(h, kind="stable")[fisher_yates(len(h), (seed * 1_000_003 + b) & (2**63 - 1))]
-        place = starts[b] + np.arange(len(h))
-        out = batches.select(range(len(names))).take(pa.array(order))
-        return out.append_column("shard", pa.array(place % shards, pa.int32())).append_column("slot", pa.array(place // shards, pa.int64()))
-
-    return base.groupBy(BUCKET).applyInArrow(permute, schema)
+        place = whole.column(START)[0].as_py() + np.arange(len(h))
+        out = whole.slice(1).select(range(own)).take(pa.array(order))
+        out = out.append_column("shard", pa.array(place % shards, pa.int32())).append_column("slot", pa.array(place // shards, pa.int64()))
+        yield from out.to_batches(max_chunksize=4096)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            cuts = [*np.flatnonzero(b.column(b.schema.get_field_index(START)).is_valid().to_numpy(zero_copy_only=False)).tolist(), b.num_rows]
+            if cuts[0]:
+                held.append(b.slice(0, cuts[0]))
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if held:
+                    yield from permute(held)
+                held = [b.slice(at, end - at)]
+        if held:
+            yield from permute(held)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
     """Write shuffle_into_shards(docs, ...) as Parquet, one folder a shard."""
     shuffle_into_shards(docs, **options).write.partitionBy("shard").parquet(path)
-
