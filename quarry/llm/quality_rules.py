@@ -28,6 +28,7 @@ THRESHOLDS: tuple[tuple[str, float | None, float | None], ...] = (
     ("stop_words", 1, None),
     ("dup_line_share", None, 0.3),
 )
+#: Words of a window: three doublings.
 WINDOW = 8
 
 
@@ -37,7 +38,11 @@ def _split_words(text: Column) -> Column:
 
 
 def _count_of(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """How many of these characters there are; a few go by replacement, which is a search for bytes."""
+    rest = text
+    for c in chars if len(chars) < 10 else ():
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    return (F.length(text) - F.length(rest if len(chars) < 10 else F.translate(text, chars, ""))).cast("long")
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -53,9 +58,10 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = text_of(text_col)
     df = docs.withColumn("__q_w", _split_words(t))
     df = df.withColumn("n_words", F.size("__q_w").cast("long")).withColumn("__q_h", F.transform("__q_w", lambda w: F.xxhash64(w)))
-    h = F.col("__q_h")
-    windows = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
-    df = df.withColumn("__q_win", F.when(F.size(h) >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
+    for step, (of, to) in zip((1, 2, 4), zip(("__q_h", "__q_h2", "__q_h4"), ("__q_h2", "__q_h4", "__q_win"), strict=True), strict=True):
+        # hashes of two, four and eight words, each of two neighbours of the last kind
+        n = F.greatest(F.size(of) - step, F.lit(0))
+        df = df.withColumn(to, F.zip_with(F.slice(of, 1, n), F.slice(of, 1 + step, n), lambda x, y: F.xxhash64(x, y)))
     win = F.col("__q_win")
     ordered = F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     df = df.withColumn("__q_s", F.when(F.size(F.array_distinct(win)) < F.size(win), ordered))
@@ -68,15 +74,15 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("__q_l", F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
     return df.withColumns(
         {
-            "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
+            "word_chars": F.length(F.array_join("__q_w", "")).cast("long"),
             "n_symbols": _count_of(t, "#*$%&|<>"),
             "n_lines": F.size("__q_l").cast("long"),
             "n_dup_lines": (F.size("__q_l") - F.size(F.array_distinct("__q_l"))).cast("long"),
-            "stop_words": F.size(F.array_intersect(F.transform("__q_w", lower_ascii), F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
+            "stop_words": F.size(F.array_intersect(_split_words(lower_ascii(t)), F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
             "n_upper": _count_of(t, UPPER),
             "n_shouts": _count_of(t, "!"),
         }
-    ).drop("__q_w", "__q_h", "__q_win", "__q_s", "__q_p", "__q_l")
+    ).drop("__q_w", "__q_h", "__q_h2", "__q_h4", "__q_win", "__q_s", "__q_p", "__q_l")
 
 
 def judge(docs: DataFrame, thresholds=THRESHOLDS, text_col: str = "text") -> DataFrame:
