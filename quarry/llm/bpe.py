@@ -2,8 +2,8 @@
 
 A rank file (base64 token and rank a line) becomes a tokenizers model: bytes stand as characters by
 the byte table, every way to cut a token into two tokens becomes a merge of the token's rank.
-Pre-tokens never cross a lone space between two other characters, so a text is cut there and each
-distinct piece goes through the tokenizer once a worker; a bounded memo keeps its ids.
+Pre-tokens never cross a lone space between two other characters, so texts are cut there, words are
+told apart by Arrow, and each distinct one goes through the tokenizer; a bounded memo keeps its ids.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,8 +24,8 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 #: Ids are kept as little-endian unsigned 32-bit integers.
 IDS = np.dtype("<u4")
-#: Pieces that the memo holds, characters of the longest of them, texts that are encoded together.
-MEMO, LONGEST, TOGETHER = 300_000, 48, 256
+#: Words that the memo holds, characters of the longest of them; texts and characters that are encoded together; words that the tokenizer gets as one text.
+MEMO, LONGEST, TOGETHER, CHARS, JOINED = 200_000, 48, 256, 1 << 21, 512
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -83,40 +84,71 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of " " + w for each w. Words without spaces go through the tokenizer as one text: a token opens with a space only where a word begins."""
+        """Ids of " " + w for each w. Words without spaces in them or at their ends go through the tokenizer together: a token opens with a space only where a word begins."""
         odd = [w for w in words if " " in w or w != w.strip()]
-        plain = list(set(words).difference(odd)) if odd else words
-        got = dict(zip(odd, self._ids([" " + w for w in odd]), strict=True))
-        if plain:
-            buffer = self._ids([" " + " ".join(plain)])[0]
-            at = [*(4 * np.flatnonzero(self.opens[np.frombuffer(buffer, IDS)])).tolist(), len(buffer)]
-            got.update(zip(plain, (buffer[i:j] for i, j in zip(at, at[1:], strict=False)), strict=True))
-        return [got[w] for w in words]
+        if odd:
+            got = dict(zip(odd, self._ids([" " + w for w in odd]), strict=True))
+            plain = [w for w in words if w not in got]
+            got.update(zip(plain, self._spaced(plain), strict=True))
+            return [got[w] for w in words]
+        out: list[bytes] = []
+        for buffer in self._ids([" " + " ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]):
+            at = (4 * np.flatnonzero(self.opens[np.frombuffer(buffer, IDS)])).tolist()
+            out += [buffer[i:j] for i, j in zip(at, [*at[1:], len(buffer)], strict=True)]
+        if len(out) != len(words):
+            raise AssertionError("a word without a token of its own")
+        return out
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of " " + w for different words, by the memo where it has them."""
+        found = list(map(self.memo.get, words))
+        new = [w for w, x in zip(words, found, strict=True) if x is None]
+        if not new:
+            return found
+        made = self._spaced(new)
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+        if len(new) > MEMO or max(map(len, new)) > LONGEST:
+            self.memo.update([(w, x) for w, x in zip(new[:MEMO], made, strict=False) if len(w) <= LONGEST])
+        else:
+            self.memo.update(zip(new, made, strict=True))
+        rest = iter(made)
+        return [next(rest) if x is None else x for x in found]
+
+    def _with_care(self, text: str) -> bytes:
+        """Ids of a text with spaces beside white space."""
+        first, *rest = _odd(text)
+        different = list(dict.fromkeys(rest))
+        ids = dict(zip(different, self._known(different), strict=True))
+        return b"".join([self._ids([first])[0], *map(ids.__getitem__, rest)])
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        flat, at = words.flatten().dictionary_encode(), words.offsets.to_numpy()
+        different, which = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+        odd_word = np.array([not w or w != w.strip() for w in different], bool)
+        odd = np.logical_or.reduceat(odd_word[which], at[:-1])
+        heads, usual = at[:-1], np.repeat(~odd, np.diff(at))
+        usual[heads] = False
+        used = np.flatnonzero(np.bincount(which[usual], minlength=len(different)))
+        table: list[bytes] = [b""] * len(different)
+        for i, x in zip(used.tolist(), self._known([different[i] for i in used.tolist()]), strict=True):
+            table[i] = x
+        table += self._ids([different[i] if not o else "" for i, o in zip(which[heads].tolist(), odd.tolist(), strict=True)])
+        which[heads] = len(different) + np.arange(len(texts))  # a text's first word has no space before it
+        ids = pa.array(table, pa.large_binary()).take(pa.array(which))
+        ends, data = np.frombuffer(ids.buffers()[1], np.int64)[at].tolist(), memoryview(ids.buffers()[2] or b"")
+        return [self._with_care(t) if o and t else bytes(data[i:j]) for t, o, i, j in zip(texts, odd.tolist(), ends, ends[1:], strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        firsts, rests, founds, new = [], [], [], set()
+        out, some, size = [], [], 0
         for text in texts:
-            first, *rest = text.split(" ")
-            found = list(map(self.memo.get, rest))
-            if None in found or first != first.strip():
-                missed = [w for w, x in zip(rest, found, strict=True) if x is None]
-                if not first or first != first.strip() or any(not w or w != w.strip() for w in missed):  # spaces beside white space: cut with care
-                    first, *rest = _odd(text)
-                    found = list(map(self.memo.get, rest))
-                    missed = [w for w, x in zip(rest, found, strict=True) if x is None]
-                new.update(missed)
-            firsts.append(first), rests.append(rest), founds.append(found)
-        fresh = list(new)
-        got = dict(zip(fresh, self._spaced(fresh), strict=True))
-        out = []
-        for head, rest, found in zip(self._ids(firsts), rests, founds, strict=True):
-            if None in found:
-                found = [got[w] if x is None else x for w, x in zip(rest, found, strict=True)]
-            out.append(head + b"".join(found))
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.memo.update((w, x) for w, x in got.items() if len(w) <= LONGEST and w == w.strip() and " " not in w)
-        return out
+            some.append(text)
+            size += len(text)
+            if size > CHARS or len(some) == TOGETHER:
+                out += self._together(some)
+                some, size = [], 0
+        return out + (self._together(some) if some else [])
 
 
 def _odd(text: str) -> list[str]:
