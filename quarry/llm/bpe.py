@@ -9,6 +9,7 @@ told apart by Arrow, and each distinct one goes through the tokenizer; a bounded
 from __future__ import annotations
 
 import base64
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -22,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
+
 #: Ids are kept as little-endian unsigned 32-bit integers.
 IDS = np.dtype("<u4")
 #: Words that the memo holds, characters of the longest of them; texts and characters that are encoded together; words that the tokenizer gets as one text.
-MEMO, LONGEST, TOGETHER, CHARS, JOINED = 200_000, 48, 256, 1 << 21, 512
+MEMO, LONGEST, TOGETHER, CHARS, JOINED = 200_000, 48, 2048, 1 << 22, 512
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -189,7 +192,7 @@ def encode(docs: DataFrame, name: str, text_col: str = "text", ids_col: str = "i
         encoder = Encoder(name)
         for b in small_batches(batches):
             texts = [x.as_py() or "" for x in b.column(b.schema.get_field_index(text_col))]
-            ids = [i for k in range(0, len(texts), TOGETHER) for i in encoder(texts[k : k + TOGETHER])]
+            ids = encoder(texts)
             new = [pa.array(ids, pa.binary())]
             if with_offsets:
                 both = [offsets(x, i, name) for x, i in zip(texts, ids, strict=True)]
