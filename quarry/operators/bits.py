@@ -29,9 +29,16 @@ def positions(df: DataFrame, pair: tuple[Column, Column], spread, by: tuple[str,
     return hashed.select(*names, F.posexplode(F.array(*spread(F.col("__q_a"), F.col("__q_b")))).alias("i", "bit"))
 
 
-def distinct_bits(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, bit) without repeats. Bits are gathered in words of 64 first, so that aggregation holds a group a word, not a bit."""
-    packed = rows.groupBy(*by, F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("x"))
+def gather(rows: DataFrame, by: tuple[str, ...] = (), size: int | None = None) -> DataFrame:
+    """(by, w, x) of rows (by, bit) with repeats: words of 64 bits, so that aggregation holds a group a word, not a bit. With size, words without a bit come as zeros."""
+    cells = rows.select(*by, F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("x"))
+    if size is not None:
+        cells = cells.unionAll(rows.sparkSession.range(0, -(-size // 64), 1, 1).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x")))
+    return cells.groupBy(*by, "w").agg(F.bit_or("x").alias("x"))
+
+
+def from_words(packed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, bit) of the words (by, w, x)."""
     some = packed.select(*by, "w", "x", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j"))
     return some.where(F.getbit("x", F.col("j")) == 1).select(*by, (F.col("w") * 64 + F.col("j")).alias("bit"))
 
@@ -51,15 +58,9 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def words(state: DataFrame, size: int) -> DataFrame:
-    """One row, one column: the words of 64 bits in order. At most PACKED_BITS."""
-    if size > PACKED_BITS:
-        raise ValueError(f"{size} bits are too many to pack")
-    n = -(-size // 64)
-    packed = state.groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("x"))
-    every = state.sparkSession.range(0, n, 1, 1).withColumnRenamed("id", "w")
-    rows = every.join(packed, "w", "left").select(F.struct("w", F.coalesce("x", F.lit(0).cast("long")).alias("x")).alias("s"))
-    return rows.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]).alias("words"))
+def words(packed: DataFrame) -> DataFrame:
+    """One row, one column: the words of 64 bits in order, from gather() with a size of PACKED_BITS at most."""
+    return packed.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("words"))
 
 
 def all_set(packed: Column, positions: list[Column]) -> Column:
@@ -70,19 +71,17 @@ def all_set(packed: Column, positions: list[Column]) -> Column:
     return hit
 
 
-def probe(df: DataFrame, c: Column, pair: tuple[Column, Column], spread, state: DataFrame, size: int, by: tuple[str, ...], out: str, packed_bits: int = PACKED_BITS) -> DataFrame:
+def probe(df: DataFrame, c: Column, pair: tuple[Column, Column], spread, state: DataFrame, size: int, by: tuple[str, ...], out: str, packed_bits: int = PACKED_BITS, packed: DataFrame | None = None) -> DataFrame:
     """df with a boolean column out: all positions of the row are set (in the filter of its group). Null elements are in no filter.
 
     Beyond packed_bits, or with groups, the distinct elements are exploded and joined by bit, and
-    those that meet all their positions come back in one more join.
+    those that meet all their positions come back in one more join. packed: the words, where they
+    are at hand. Nothing here depends on a row's place, so filters on df still reach its scan.
     """
     df = df.drop(out)
     if not by and size <= min(packed_bits, PACKED_BITS):
-        # a column that depends on the partition id stays where it is: a filter on the outcome would else
-        # be pushed below it, with a copy of both hashes for each position
-        stay = F.spark_partition_id().cast("long") * 0
-        hashed = df.withColumns({"__q_a": pair[0] + stay, "__q_b": pair[1] + stay})
-        hit = all_set(words(state, size).scalar(), spread(F.col("__q_a"), F.col("__q_b")))
+        hashed = df.withColumns({"__q_a": pair[0], "__q_b": pair[1]})
+        hit = all_set(words(gather(state, (), size) if packed is None else packed).scalar(), spread(F.col("__q_a"), F.col("__q_b")))
         return hashed.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__q_a", "__q_b")
     keys = df.where(c.isNotNull()).select(*by, c.alias("__q_e"), pair[0].alias("__q_x"), pair[1].alias("__q_y")).distinct()
     cells = positions(keys, (F.col("__q_x"), F.col("__q_y")), spread, by, F.col("__q_e"))
@@ -94,10 +93,18 @@ def probe(df: DataFrame, c: Column, pair: tuple[Column, Column], spread, state:
 
 # ------------------------------------------------------------------ interchange
 
+def single(by: tuple[str, ...]) -> None:
+    """JSON holds one sketch: groups would fall together."""
+    if by:
+        raise ValueError("grouped sketches have no JSON; export one group at a time, or use save()")
+
+
 def to_bytes(state: DataFrame, size: int) -> bytes:
-    """Bytes of the set, least significant bit first; collected, so of bounded size."""
-    packed = words(state, size).first()[0]
-    return b"".join((w % (1 << 64)).to_bytes(8, "little") for w in packed)[: capacity(size) // 8]
+    """Bytes of the set, least significant bit first. The words come one after another; the driver holds the result."""
+    out = bytearray(-(-size // 64) * 8)
+    for r in gather(state).toLocalIterator():
+        out[8 * r.w : 8 * r.w + 8] = (r.x % (1 << 64)).to_bytes(8, "little")
+    return bytes(out[: capacity(size) // 8])
 
 
 def export(state: DataFrame, size: int) -> dict:

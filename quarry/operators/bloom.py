@@ -34,8 +34,9 @@ class Filter:
     """What the filters share. Subclasses have params (with seed and spec), state and by, and say how many bits there are,
     what modulus the hashes take and how bits come from them."""
 
-    def __init__(self, params, state: DataFrame, by: tuple[str, ...] = ()):
-        self.params, self.state, self.by = params, state, tuple(by)
+    def __init__(self, params, state: DataFrame, by: tuple[str, ...] = (), packed: DataFrame | None = None):
+        """packed: the state's words, where a build has them at hand."""
+        self.params, self.state, self.by, self.packed = params, state, tuple(by), packed
 
     n_bits: int
 
@@ -53,7 +54,7 @@ class Filter:
     def probe(self, df: DataFrame, column: str, out: str = "has", packed_bits: int = PACKED_BITS) -> DataFrame:
         """df with a boolean column: perhaps in the filter, or certainly not."""
         c = element(column, dict(df.dtypes)[column])
-        return bits.probe(df, c, self.pair(c), self.spread, self.bits(), self.n_bits, self.by, out, packed_bits)
+        return bits.probe(df, c, self.pair(c), self.spread, self.bits(), self.n_bits, self.by, out, packed_bits, self.packed)
 
     def prefilter(self, df: DataFrame, column: str, **options) -> DataFrame:
         """The rows of df that may be in the filter."""
@@ -118,8 +119,10 @@ class BloomFilter(Filter):
         """Null elements are passed over."""
         empty = cls(params, df, by)
         c = element(column, dict(df.dtypes)[column])
-        rows = bits.positions(df.where(F.col(column).isNotNull()), empty.pair(c), empty.spread, by)
-        return cls(params, bits.distinct_bits(rows, by), by)
+        rows = bits.positions(df.where(F.col(column).isNotNull()), empty.pair(c), empty.spread, by).drop("i")
+        small = not by and empty.n_bits <= PACKED_BITS and not df.isStreaming
+        packed = bits.gather(rows, by, empty.n_bits if small else None)
+        return cls(params, bits.from_words(packed, by), by, packed if small else None)
 
     @classmethod
     def from_items(cls, df: DataFrame, column: str, rate: float, n: int | None = None, **more) -> BloomFilter:
@@ -140,6 +143,8 @@ class BloomFilter(Filter):
         return ((1 - math.exp(-x)) if reference else x) ** self.params.hashes
 
     def to_json(self) -> str:
+        """Of an ungrouped filter."""
+        bits.single(self.by)
         return json.dumps({"type": "BloomFilter", "_size": self.params.size, "_nbHashes": self.params.hashes, "_filter": bits.export(self.state, self.params.size), "_seed": seed_out(self.params.seed), "_hash": self.params.spec.name})
 
     @classmethod
@@ -198,6 +203,8 @@ class CountingBloomFilter(Filter):
         return (1 - math.exp(-self.params.hashes * self.n_items() / self.params.size)) ** self.params.hashes
 
     def to_json(self) -> str:
+        """Of an ungrouped filter."""
+        bits.single(self.by)
         cells = [[0, 0] for _ in range(self.params.size)]
         for r in self.state.toLocalIterator():
             cells[r.bit] = [int(r.cnt > 0), r.cnt]
@@ -262,7 +269,15 @@ class PartitionedBloomFilter(BloomFilter):
     def rate(self) -> float:
         return self.load() ** self.params.slices
 
+    def n_elements(self) -> int:
+        """Distinct elements that most likely set so many bits."""
+        p = self.params
+        full = self.set_bits() / (p.slices * p.slice_bits)
+        return p.capacity if full >= 1 else round(math.log1p(-full) / math.log1p(-1 / p.slice_bits)) if p.slice_bits > 1 else round(full)
+
     def to_json(self) -> str:
+        """Of an ungrouped filter."""
+        bits.single(self.by)
         m = self.params.slice_bits
         rows = self.slices()
         sets = [bits.export(rows.where(F.col("slice") == i).select(F.col("idx").alias("bit")), m) for i in range(self.params.slices)]
@@ -307,20 +322,47 @@ class ScalableBloomFilter(Filter):
         self.generations = generations
 
     @classmethod
-    def build(cls, df: DataFrame, column: str, params: ScalableParams = ScalableParams()) -> ScalableBloomFilter:
+    def build(cls, df: DataFrame, column: str, params: ScalableParams = ScalableParams(), n: int | None = None) -> ScalableBloomFilter:
         """All at once: distinct elements are dealt to the generations by hash, in the shares of their capacities.
 
-        No order and no global rank is needed; every generation expects as many elements as it holds.
+        No order and no global rank is needed; every generation expects as many elements as it
+        holds. Sized by n, or else by a count of the distinct elements.
         """
-        c = element(column, dict(df.dtypes)[column])
-        keys = df.where(F.col(column).isNotNull()).select(c.alias("e")).distinct()
-        plan = params.plan_for(keys.count())
-        place = params.spec.mod(params.spec.of(F.col("e"), params.seed + 3), sum(p.capacity for p in plan))
+        keys = cls._keys(df, column)
+        plan = params.plan_for(keys.count() if n is None else n)
+        return cls(params, cls._dealt(keys, params, plan, [p.capacity for p in plan]), len(plan))
+
+    @staticmethod
+    def _keys(df: DataFrame, column: str) -> DataFrame:
+        return df.where(F.col(column).isNotNull()).select(element(column, dict(df.dtypes)[column]).alias("e")).distinct()
+
+    @classmethod
+    def _dealt(cls, keys: DataFrame, params: ScalableParams, plan: list[PartitionedParams], room: list[int]) -> DataFrame:
+        """(generation, bit) of elements e that go to the generations by hash, in the shares of their room."""
+        place = params.spec.mod(params.spec.of(F.col("e"), params.seed + 3), max(1, sum(room)))
         generation = F.lit(len(plan) - 1)
         for i in reversed(range(len(plan) - 1)):
-            generation = F.when(place < sum(q.capacity for q in plan[: i + 1]), i).otherwise(generation)
-        state = cls._positions(keys.withColumn("generation", generation), params, plan)
-        return cls(params, state.select("generation", "bit").distinct(), len(plan))
+            generation = F.when(place < sum(room[: i + 1]), i).otherwise(generation)
+        return cls._positions(keys.withColumn("generation", generation), params, plan).select("generation", "bit").distinct()
+
+    def add(self, df: DataFrame, column: str) -> ScalableBloomFilter:
+        """With more elements: those that the filter doesn't have go to the room left in the last generation and to as many new ones as they need."""
+        new = self.probe(self._keys(df, column), "e", "__q_has").where("not __q_has").select("e")
+        n, last = new.count(), self.current
+        left = max(0, last.params.capacity - last.n_elements())
+        count = self.generations
+        while left + sum(p.capacity for p in self.params.plan(count)[self.generations :]) < n:
+            count += 1
+        plan = self.params.plan(count)
+        room = [0] * (self.generations - 1) + [left] + [p.capacity for p in plan[self.generations :]]
+        more = self._dealt(new, self.params, plan, room)
+        return ScalableBloomFilter(self.params, self.state.unionByName(more).distinct(), count)
+
+    def merge(self, other: ScalableBloomFilter) -> ScalableBloomFilter:
+        """The union, generation by generation. Generations may then be fuller than planned; rate() says how much that costs."""
+        if self.params != other.params:
+            raise ValueError("filters of other parameters can't be merged")
+        return ScalableBloomFilter(self.params, self.state.unionByName(other.state).distinct(), max(self.generations, other.generations))
 
     @staticmethod
     def _positions(rows: DataFrame, params: ScalableParams, plan: list[PartitionedParams]) -> DataFrame:
@@ -343,17 +385,17 @@ class ScalableBloomFilter(Filter):
         """
         c = element(column, dict(df.dtypes)[column])
         a, b = hash_twice(c, params.seed, params.spec)
-        plan = params.plan(24)
         rows = df.where(F.col(column).isNotNull()).select(F.col(order).alias("o"), a.alias("a"), b.alias("b"), F.lit(0).alias("shard"))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("o", kind="stable")
-            sets: list[set[int]] = [set()]
+            sets, plan = [set()], params.plan(1)
             for a, b in zip(pdf["a"].to_numpy().astype(np.uint64).tolist(), pdf["b"].to_numpy().astype(np.uint64).tolist(), strict=True):
                 p = plan[len(sets) - 1]
                 if len(sets[-1]) / p.bits >= 0.5:
                     sets.append(set())
-                    p = plan[len(sets) - 1]
+                    plan = params.plan(len(sets))
+                    p = plan[-1]
                 m = p.slice_bits
                 sets[-1].update(i * m + (a + i * b + i**3 - i // 6) % m for i in range(p.slices))
             return pd.DataFrame([(g, x) for g, s in enumerate(sets) for x in s], columns=["generation", "bit"])
@@ -376,8 +418,8 @@ class ScalableBloomFilter(Filter):
         got, c = df.drop(out), element(column, dict(df.dtypes)[column])
         if starts[-1] <= min(packed_bits, PACKED_BITS) and sum(f.params.slices for f in filters) <= TERMS:
             flat = self.state.select((F.col("bit") + F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("generation") + 1)).alias("bit"))
-            packed, stay = bits.words(flat, starts[-1]).scalar(), F.spark_partition_id().cast("long") * 0
-            pairs = {f"__q_{n}{i}": x + stay for i, f in enumerate(filters) for n, x in zip("ab", f.pair(c), strict=True)}
+            packed = bits.words(bits.gather(flat, (), starts[-1])).scalar()
+            pairs = {f"__q_{n}{i}": x for i, f in enumerate(filters) for n, x in zip("ab", f.pair(c), strict=True)}
             hit = F.lit(False)
             for i, f in reversed(list(enumerate(filters))):
                 hit = hit | bits.all_set(packed, [e + starts[i] for e in f.spread(F.col(f"__q_a{i}"), F.col(f"__q_b{i}"))])

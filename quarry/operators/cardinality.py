@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.hashing import SPECS, XXH64, HashSpec, element
 from quarry.functions.params import DEFAULT_SEED, hll_alpha
-from quarry.operators.bits import same_rows
+from quarry.operators.bits import same_rows, single
 from quarry.operators.bloom import seed_in, seed_out
 
 
@@ -93,6 +93,8 @@ class HyperLogLog:
         return self.params == other.params and same_rows(self.state, other.state)
 
     def to_json(self) -> str:
+        """Of an ungrouped sketch."""
+        single(self.by)
         registers = [0] * self.params.m
         for r in self.state.collect():  # m rows at most
             registers[r.register] = r["rank"]

@@ -100,9 +100,14 @@ class Bucket:
         return self.slots == other.slots
 
 
-def partner(i: int, fp: int, buckets: int) -> int:
+def partner(i: int, fp: int, buckets: int, spec: HashSpec = XXH64) -> int:
     """The other bucket of a fingerprint; its own inverse."""
-    return i ^ (xxh64_long(fp) & (buckets - 1))
+    return i ^ ((xxh64_long(fp) if spec.name == XXH64.name else spec.py(str(fp).encode(), 0)) & (buckets - 1))
+
+
+def turn(fp: Column, spec: HashSpec) -> Column:
+    """What partner() mixes into a bucket, as a column."""
+    return F.xxhash64(fp) if spec.name == XXH64.name else spec.of(fp.cast("string"), 0)
 
 
 class Table:
@@ -111,17 +116,23 @@ class Table:
     def __init__(self, p: CuckooParams, shard: int):
         self.p, self.buckets, self.rng = p, [Bucket(p.bucket_size) for _ in range(p.buckets)], random.Random(p.seed * 31 + shard)
 
+    def other(self, i: int, fp: int) -> int:
+        return partner(i, fp, self.p.buckets, self.p.spec)
+
+    def rows(self, shard: int) -> list[tuple[int, int, int, int]]:
+        return [(shard, b, s, x) for b, bucket in enumerate(self.buckets) for s, x in enumerate(bucket.slots) if x is not None]
+
     def add(self, fp: int, i: int, destructive: bool = False) -> bool:
         """Into one of its two buckets, moving others away if both are full. A failure undoes the moves unless destructive."""
-        for b in (i, partner(i, fp, self.p.buckets)):
+        for b in (i, self.other(i, fp)):
             if self.buckets[b].add(fp):
                 return True
-        b, undo = self.rng.choice((i, partner(i, fp, self.p.buckets))), []
+        b, undo = self.rng.choice((i, self.other(i, fp))), []
         for _ in range(self.p.max_kicks):
             slot = self.rng.randrange(self.p.bucket_size)
             old = self.buckets[b].swap(slot, fp)
             undo.append((b, slot, old))
-            fp, b = old, partner(b, old, self.p.buckets)
+            fp, b = old, self.other(b, old)
             if self.buckets[b].add(fp):
                 return True
         if not destructive:
@@ -130,7 +141,10 @@ class Table:
         return False
 
     def remove(self, fp: int, i: int) -> bool:
-        return self.buckets[i].remove(fp) or self.buckets[partner(i, fp, self.p.buckets)].remove(fp)
+        return self.buckets[i].remove(fp) or self.buckets[self.other(i, fp)].remove(fp)
+
+
+_STATE = "shard int, bucket long, slot int, fp long"
 
 
 class CuckooFilter:
@@ -145,28 +159,71 @@ class CuckooFilter:
         h = p.spec.of(c, p.seed)
         fp = F.pmod(F.shiftrightunsigned(h, 24), F.lit((1 << p.fp_bits) - 1).cast("long")) + 1
         first = h.bitwiseAND(F.lit(p.buckets - 1).cast("long"))
-        second = first.bitwiseXOR(F.xxhash64(fp).bitwiseAND(F.lit(p.buckets - 1).cast("long")))
+        second = first.bitwiseXOR(turn(fp, p.spec).bitwiseAND(F.lit(p.buckets - 1).cast("long")))
         return p.spec.mod(p.spec.of(c, p.seed + 1), p.shards).cast("int"), fp, first, second
 
     @classmethod
     def build(cls, df: DataFrame, column: str, order: str, params: CuckooParams, op: str | None = None, destructive: bool = False) -> CuckooFilter:
         """Adds (and with op '-': removes) elements in the given order. Each shard is one task of some 2^17 elements."""
-        shard, fp, first, _ = cls(params, df).locations(element(column, dict(df.dtypes)[column]))
-        sign = F.lit(True) if op is None else F.coalesce(F.col(op) != "-", F.lit(True))
-        rows = df.where(F.col(column).isNotNull()).select(shard.alias("shard"), fp.alias("fp"), first.alias("i"), sign.alias("plus"), F.col(order).alias("o"))
+        rows = cls._log(df, column, order, params, op)
 
         def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf, shard, rejected = pdf.sort_values("o", kind="stable"), int(pdf["shard"].iloc[0]), 0
-            table = Table(params, shard)
-            for fp, i, plus in zip(pdf["fp"].tolist(), pdf["i"].tolist(), pdf["plus"].tolist(), strict=True):
-                if plus:
-                    rejected += not table.add(fp, i, destructive)
-                else:
-                    table.remove(fp, i)
-            out = [(shard, b, s, x) for b, bucket in enumerate(table.buckets) for s, x in enumerate(bucket.slots) if x is not None]
-            return pd.DataFrame(out + [(shard, -1, -1, rejected)], columns=["shard", "bucket", "slot", "fp"])
+            shard = int(pdf["shard"].iloc[0])
+            return cls._replayed(Table(params, shard), shard, 0, pdf.sort_values("o", kind="stable"), destructive)
 
-        return cls(params, rows.groupBy("shard").applyInPandas(replay, "shard int, bucket long, slot int, fp long"))
+        return cls(params, rows.groupBy("shard").applyInPandas(replay, _STATE))
+
+    @classmethod
+    def _log(cls, df: DataFrame, column: str, order: str, params: CuckooParams, op: str | None) -> DataFrame:
+        """(shard, fp, i, plus, o) of the rows of a changelog; null elements are passed over."""
+        shard, fp, first, _ = cls(params, df).locations(element(column, dict(df.dtypes)[column]))
+        sign = F.lit(True) if op is None else F.coalesce(F.col(op) != "-", F.lit(True))
+        return df.where(F.col(column).isNotNull()).select(shard.alias("shard"), fp.alias("fp"), first.alias("i"), sign.alias("plus"), F.col(order).alias("o"))
+
+    @staticmethod
+    def _replayed(table: Table, shard: int, rejected: int, log: pd.DataFrame, destructive: bool) -> pd.DataFrame:
+        for fp, i, plus in zip(log["fp"].tolist(), log["i"].tolist(), log["plus"].tolist(), strict=True):
+            if plus:
+                rejected += not table.add(fp, i, destructive)
+            else:
+                table.remove(fp, i)
+        return pd.DataFrame(table.rows(shard) + [(shard, -1, -1, rejected)], columns=["shard", "bucket", "slot", "fp"])
+
+    def _then(self, log: DataFrame, destructive: bool = False) -> CuckooFilter:
+        """The filter after a log (shard, fp, i, plus, o). Each shard's table and log meet in one task."""
+        params, replayed = self.params, self._replayed
+
+        def go_on(held: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+            shard = int((held if len(held) else log)["shard"].iloc[0])
+            table, rejected = Table(params, shard), 0
+            for _, b, s, fp in held.itertuples(index=False, name=None):
+                if s < 0:
+                    rejected += fp
+                else:
+                    table.buckets[b].set(s, fp)
+            log = log.sort_values("o", kind="stable") if len(log) else pd.DataFrame({"fp": [], "i": [], "plus": []})
+            return replayed(table, shard, rejected, log, destructive)
+
+        return CuckooFilter(params, self.state.groupBy("shard").cogroup(log.groupBy("shard")).applyInPandas(go_on, _STATE))
+
+    def add(self, df: DataFrame, column: str, order: str, op: str | None = None, destructive: bool = False) -> CuckooFilter:
+        """With more elements in the given order; with op, '-' rows are removed. The number of shards stays."""
+        return self._then(self._log(df, column, order, self.params, op), destructive)
+
+    def remove(self, df: DataFrame, column: str) -> CuckooFilter:
+        """Without one copy of each row's element. Elements that were never added may take others with them."""
+        return self._then(self._log(df.withColumn("__q_o", F.lit(0)), column, "__q_o", self.params, None).withColumn("plus", F.lit(False)))
+
+    def merge(self, other: CuckooFilter) -> CuckooFilter:
+        """With the fingerprints of a filter of the same parameters; what finds no place counts as rejected."""
+        if self.params != other.params:
+            raise ValueError("filters of other parameters can't be merged")
+        more = other.state.where("slot >= 0").select("shard", "fp", F.col("bucket").alias("i"), F.lit(True).alias("plus"), F.struct("bucket", "slot").alias("o"))
+        more = more.withColumn("o", F.col("o.bucket") * self.params.bucket_size + F.col("o.slot"))
+        lost = other.state.where("slot < 0")
+        both = self._then(more)
+        state = both.state.where("slot >= 0").unionAll(both.state.where("slot < 0").unionAll(lost).groupBy("shard", "bucket", "slot").agg(F.sum("fp").alias("fp")))
+        return CuckooFilter(self.params, state)
 
     @classmethod
     def from_items(cls, df: DataFrame, column: str, order: str, rate: float, n: int | None = None, **more) -> CuckooFilter:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,12 @@ from pyspark.sql.window import Window
 
 from quarry.functions.hashing import SPECS, XXH64, HashSpec, element, from_pair, pair
 from quarry.functions.params import DEFAULT_SEED, check_rate
-from quarry.operators.bits import positions, same_rows
+from quarry.operators.bits import positions, same_rows, single
 from quarry.operators.bloom import seed_in, seed_out
 
+#: Totals that an exact top-k exports as JSON at most; save() of sources/store.py has no such bound.
+EXPORTED = 1 << 20
+
 
 @dataclass(frozen=True)
 class CMSParams:
@@ -83,6 +87,8 @@ class CountMinSketch:
         return self.params == other.params and same_rows(live(self.state), live(other.state))
 
     def to_json(self) -> str:
+        """Of an ungrouped sketch."""
+        single(self.by)
         p = self.params
         matrix = [[0] * p.columns for _ in range(p.rows)]
         for r in self.state.toLocalIterator():
@@ -105,7 +111,7 @@ class TopK:
     """The k elements of most weight: value, frequency, rank. Ties go to the element whose last occurrence came first.
 
     State: (by, value, frequency, last): exact totals, a monoid; so adding, merging and streaming are
-    union and sum. With a sketch the totals are its estimates instead.
+    union and sum. SketchedTopK keeps k rows and a sketch instead.
     """
 
     def __init__(self, k: int, state: DataFrame, by: tuple[str, ...] = ()):
@@ -121,11 +127,9 @@ class TopK:
         return cls(k, rows.groupBy(*by, "value").agg(F.sum("w").alias("frequency"), F.max("o").alias("last")), by)
 
     @classmethod
-    def from_sketch(cls, df: DataFrame, column: str, order: str, k: int, params: CMSParams, weight: str | None = None) -> TopK:
+    def from_sketch(cls, df: DataFrame, column: str, order: str, k: int, params: CMSParams, weight: str | None = None) -> SketchedTopK:
         """Ranked by the estimates of a count-min sketch."""
-        exact = cls.build(df, column, order, k, weight)
-        sketch = CountMinSketch.build(df, column, params, weight)
-        return cls(k, sketch.estimate(exact.state.drop("frequency"), "value", "frequency").select("value", "frequency", "last"))
+        return SketchedTopK.build(df, column, order, k, params, weight)
 
     def add(self, df: DataFrame, column: str, order: str, weight: str | None = None) -> TopK:
         return self.merge(TopK.build(df, column, order, self.k, weight, self.by))
@@ -147,13 +151,124 @@ class TopK:
     def clear(self) -> TopK:
         return TopK(self.k, self.state.limit(0), self.by)
 
+    def equals(self, other: TopK) -> bool:
+        return type(self) is type(other) and self.k == other.k and same_rows(self.state, other.state)
+
     def to_json(self) -> str:
-        return json.dumps({"type": "TopK", "_k": self.k, "_heap": [r.asDict() | {"last": str(r["last"])} for r in self.state.orderBy(F.desc("frequency"), "last").limit(self.k).collect()]})
+        """All totals, so that what is read back can be added to; refuses groups, and more than EXPORTED elements."""
+        single(self.by)
+        rows = self.state.select("value", "frequency", F.col("last").cast("string").alias("last")).limit(EXPORTED + 1).collect()
+        if len(rows) > EXPORTED:
+            raise ValueError(f"over {EXPORTED} totals; use save()")
+        return json.dumps({"type": "TopK", "_k": self.k, "_lastType": dict(self.state.dtypes)["last"], "_totals": [list(r) for r in rows]})
 
     @classmethod
     def from_json(cls, spark: SparkSession, text: str) -> TopK:
+        """What to_json() of an exact or a sketched top-k wrote."""
         x = json.loads(text)
-        return cls(x["_k"], spark.createDataFrame([(r["value"], r["frequency"], r["last"]) for r in x["_heap"]], "value string, frequency long, last string"))
+        held = lambda rows: spark.createDataFrame(rows, "value string, frequency long, last string").withColumn("last", F.col("last").cast(x["_lastType"]))
+        if "_sketch" not in x:
+            return TopK(x["_k"], held([tuple(r) for r in x["_totals"]]))
+        sketch = CountMinSketch.from_json(spark, json.dumps(x["_sketch"]))
+        return SketchedTopK(x["_k"], sketch, held([(e["value"], e["frequency"], e["last"]) for e in x["_heap"]["_content"]]))
+
+
+class SketchedTopK(TopK):
+    """Top-k of bounded state: a count-min sketch and the k elements of highest estimate, whatever the number of elements.
+
+    Adding estimates the k elements and those of the batch anew; an element that was once pushed out
+    comes back when it occurs again. State: (value, frequency, last), k rows at most.
+    """
+
+    def __init__(self, k: int, sketch: CountMinSketch, state: DataFrame):
+        super().__init__(k, state)
+        self.sketch = sketch
+
+    @classmethod
+    def build(cls, df: DataFrame, column: str, order: str, k: int, params: CMSParams, weight: str | None = None) -> SketchedTopK:
+        """Ranked by the estimates of a count-min sketch. Null elements are passed over."""
+        return cls._of(k, CountMinSketch.build(df, column, params, weight), cls._seen(df, column, order))
+
+    @staticmethod
+    def _seen(df: DataFrame, column: str, order: str) -> DataFrame:
+        rows = df.where(F.col(column).isNotNull()).select(element(column, dict(df.dtypes)[column]).alias("value"), F.col(order).alias("o"))
+        return rows.groupBy("value").agg(F.max("o").alias("last"))
+
+    @classmethod
+    def _of(cls, k: int, sketch: CountMinSketch, seen: DataFrame) -> SketchedTopK:
+        best = sketch.estimate(seen, "value", "frequency").orderBy(F.desc("frequency"), F.asc("last"), F.asc("value")).limit(k)
+        return cls(k, sketch, best.select("value", "frequency", "last"))
+
+    def _with(self, sketch: CountMinSketch, seen: DataFrame) -> SketchedTopK:
+        both = self.state.select("value", "last").unionByName(seen).groupBy("value").agg(F.max("last").alias("last"))
+        return self._of(self.k, self.sketch.merge(sketch), both)
+
+    def offer(self, df: DataFrame, column: str, order: str) -> SketchedTopK:
+        """With the elements of df as candidates beside the k held, without adding any weight."""
+        return self._with(CountMinSketch(self.sketch.params, self.sketch.state.limit(0)), self._seen(df, column, order))
+
+    def add(self, df: DataFrame, column: str, order: str, weight: str | None = None) -> SketchedTopK:
+        return self._with(CountMinSketch.build(df, column, self.sketch.params, weight), self._seen(df, column, order))
+
+    def merge(self, other: SketchedTopK) -> SketchedTopK:
+        return self._with(other.sketch, other.state.select("value", "last"))
+
+    def clear(self) -> SketchedTopK:
+        empty = CountMinSketch(self.sketch.params, self.sketch.state.limit(0))
+        return SketchedTopK(self.k, empty, self.state.limit(0))
+
+    def equals(self, other: TopK) -> bool:
+        return super().equals(other) and self.sketch.equals(other.sketch)
+
+    def heap(self) -> MinHeap:
+        """The k elements in a heap on the driver."""
+        heap = MinHeap()
+        for r in self.values().orderBy(F.desc("rank")).collect():  # k rows at most
+            heap.add({"value": r.value, "frequency": r.frequency})
+        return heap
+
+    def to_json(self) -> str:
+        """Sketch and heap, lowest first."""
+        p, last = self.sketch.params, {r.value: r.last for r in self.state.select("value", F.col("last").cast("string").alias("last")).collect()}
+        content = [e | {"last": last[e["value"]]} for e in self.heap().content]
+        body = {"_sketch": json.loads(self.sketch.to_json()), "_heap": {"_content": content}, "_lastType": dict(self.state.dtypes)["last"]}
+        return json.dumps({"type": "TopK", "_k": self.k, "_columns": p.columns, "_rows": p.rows, "_seed": seed_out(p.seed), **body})
+
+
+class MinHeap:
+    """Elements {value, frequency} by rising frequency; a new one stands before those of its frequency."""
+
+    def __init__(self, content: list[dict] | None = None):
+        self.content = list(content or [])
+
+    @property
+    def length(self) -> int:
+        return len(self.content)
+
+    def get(self, i: int) -> dict | None:
+        return self.content[i] if 0 <= i < len(self.content) else None
+
+    def add(self, x: dict) -> None:
+        self.content.insert(bisect_left(self.content, x["frequency"], key=lambda e: e["frequency"]), x)
+
+    def remove(self, i: int) -> None:
+        del self.content[i : i + 1]
+
+    def pop_min(self) -> dict | None:
+        return self.content.pop(0) if self.content else None
+
+    def index_of(self, value: str) -> int:
+        return next((i for i, e in enumerate(self.content) if e["value"] == value), -1)
+
+    def clear(self) -> None:
+        self.content = []
+
+    def to_json(self) -> str:
+        return json.dumps({"_content": self.content})
+
+    @classmethod
+    def from_json(cls, text: str) -> MinHeap:
+        return cls(json.loads(text)["_content"])
 
 
 def native_top_k(df: DataFrame, column: str, k: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.hashing import SPECS, XXH64, HashSpec
 from quarry.functions.params import DEFAULT_SEED, iblt_cells
-from quarry.operators.bits import same_rows
+from quarry.operators.bits import same_rows, single
 from quarry.operators.bloom import seed_in, seed_out
 
 LIMB = 7
@@ -19,7 +20,7 @@ LIMB = 7
 
 @dataclass(frozen=True)
 class IBLTParams:
-    """Cells for so many differences. An element is at most max_bytes of UTF-8."""
+    """Cells for so many differences. An element is at most max_bytes of UTF-8; fitting() takes that from the elements."""
 
     differences: int
     alpha: float = 2.0
@@ -28,6 +29,12 @@ class IBLTParams:
     seed: int = DEFAULT_SEED
     spec: HashSpec = XXH64
 
+    @classmethod
+    def fitting(cls, differences: int, *items: DataFrame, **more) -> IBLTParams:
+        """With room for the longest element of the given one-column frames, whatever its length."""
+        longest = max((df.agg(F.max(F.octet_length(F.col(df.columns[0]).cast("string")))).first()[0] or 0 for df in items), default=0)
+        return cls(differences, max_bytes=max(1, longest), **more)
+
     @property
     def size(self) -> int:
         return iblt_cells(self.differences, self.alpha, self.hashes)
@@ -126,9 +133,9 @@ class IBLT:
                 value = number.to_bytes(length, "big")
                 return value if p.check(value) == check else None
 
-            out, queue = [], [c for c in sorted(cells) if pure(c) is not None]
+            out, queue = [], deque(c for c in sorted(cells) if pure(c) is not None)
             while queue:
-                c = queue.pop(0)
+                c = queue.popleft()
                 if (value := pure(c)) is None:
                     continue
                 sign = cells[c][3]
@@ -160,6 +167,8 @@ class IBLT:
         return self.params == other.params and same_rows(live(self), live(other))
 
     def to_json(self) -> str:
+        """Of an ungrouped sketch."""
+        single(self.by)
         p = self.params
         rows = [r.asDict() for r in self.state.orderBy("cell").collect()]  # size rows at most
         return json.dumps({"type": "InvertibleBloomFilter", "_size": p.size, "_hashCount": p.hashes, "_differences": p.differences, "_alpha": p.alpha, "_maxBytes": p.max_bytes, "_elements": rows, "_seed": seed_out(p.seed), "_hash": p.spec.name})

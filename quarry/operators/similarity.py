@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.params import DEFAULT_SEED, hash_family
+from quarry.operators.bits import same_rows, single
 
 
 class MinHash:
@@ -33,6 +34,9 @@ class MinHash:
         least = [F.min(F.get("sig", F.lit(i))) for i in range(len(self.family))]
         return MinHash(self.family, self.state.unionByName(other.state).groupBy(*self.by).agg(F.array(*least).alias("sig")), self.by)
 
+    def equals(self, other: MinHash) -> bool:
+        return self.family == other.family and same_rows(self.state, other.state)
+
     def is_empty(self) -> bool:
         return self.state.isEmpty()
 
@@ -75,6 +79,8 @@ class MinHash:
         return both.select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("matches"))
 
     def to_json(self) -> str:
+        """Of one set's signature."""
+        single(self.by)
         first = self.state.first()
         return json.dumps({"type": "MinHash", "_nbHashes": len(self.family), "_hashFunctions": [dict(zip("abc", f, strict=True)) for f in self.family], "_signature": None if first is None else first.sig})
 

@@ -15,7 +15,8 @@ from quarry.functions.params import DEFAULT_SEED, xor_slots
 from quarry.operators.bits import same_rows
 from quarry.operators.bloom import seed_in, seed_out
 
-WIDTHS = (8, 16, 32, 64)
+#: Bits of a fingerprint and the type that holds it.
+WIDTHS = {8: "tinyint", 16: "smallint", 32: "int", 64: "bigint"}
 RETRIES = 100
 _U = np.uint64
 _P = [_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
@@ -42,7 +43,11 @@ class XorParams:
 
     def __post_init__(self):
         if self.width not in WIDTHS:
-            raise ValueError(f"the width must be one of {WIDTHS}")
+            raise ValueError(f"the width must be one of {[*WIDTHS]}")
+
+    @property
+    def schema(self) -> str:
+        return f"shard int, seed long, block long, prints array<{WIDTHS[self.width]}>"
 
 
 def peel(keys: np.ndarray, width: int) -> tuple[int, int, np.ndarray]:
@@ -102,12 +107,14 @@ class XorFilter:
             raise ValueError("an XOR filter needs one element at least")
         made = cls(params, -(-n // params.shard_keys), keys)
 
+        width = params.width // 8  # bytes
+
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             seed, block, table = peel(np.unique(pdf["k"].to_numpy().astype(np.int64).view(_U)), params.width)
-            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "seed": [seed], "block": [block], "prints": [table.view(np.int64).tolist()]})
+            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "seed": [seed], "block": [block], "prints": [table.astype(f"u{width}").view(f"i{width}").tolist()]})
 
         rows = keys.select(made._shard(F.col("e")).alias("shard"), made._key(F.col("e")).alias("k"))
-        made.state = rows.groupBy("shard").applyInPandas(one, "shard int, seed long, block long, prints array<long>")
+        made.state = rows.groupBy("shard").applyInPandas(one, params.schema)
         return made
 
     def probe(self, df: DataFrame, column: str, out: str = "has") -> DataFrame:
@@ -118,11 +125,10 @@ class XorFilter:
         got = df.drop(out).withColumns({"__q_shard": self._shard(c), "__q_key": self._key(c)}).join(tables, "__q_shard", "left")
         got = got.withColumn("__q_h", F.xxhash64("__q_seed", "__q_key"))
         h, block = F.col("__q_h"), F.col("__q_block")
-        slot = [F.get("__q_prints", (mod(F.shiftrightunsigned(h, 21 * i), block) + i * block).cast("int")) for i in range(3)]
+        slot = [F.get("__q_prints", (mod(F.shiftrightunsigned(h, 21 * i), block) + i * block).cast("int")).cast("long") for i in range(3)]
         want = h.bitwiseXOR(F.shiftrightunsigned(h, 32))
-        if self.params.width < 64:
-            want = want.bitwiseAND(F.lit((1 << self.params.width) - 1).cast("long"))
-        hit = want == slot[0].bitwiseXOR(slot[1]).bitwiseXOR(slot[2])
+        mask = F.lit(-1 if self.params.width == 64 else (1 << self.params.width) - 1).cast("long")
+        hit = want.bitwiseXOR(slot[0]).bitwiseXOR(slot[1]).bitwiseXOR(slot[2]).bitwiseAND(mask) == 0
         return got.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__q_shard", "__q_seed", "__q_block", "__q_prints", "__q_key", "__q_h")
 
     def semi_join(self, df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
@@ -139,7 +145,7 @@ class XorFilter:
     @classmethod
     def from_json(cls, spark: SparkSession, text: str) -> XorFilter:
         x = json.loads(text)
-        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        signed = lambda v: v - (1 << x["_bits"]) if v >> (x["_bits"] - 1) else v
         rows = [(r["shard"], r["_seed"], r["_blockLength"], [signed(seed_in(v)) for v in r["_filter"]]) for r in x["_filters"]]
         p = XorParams(x["_bits"], seed=seed_in(x["_seed"]), spec=SPECS[x.get("_hash", "xxh64")])
-        return cls(p, x["_shards"], spark.createDataFrame(rows, "shard int, seed long, block long, prints array<long>"))
+        return cls(p, x["_shards"], spark.createDataFrame(rows, p.schema))

@@ -8,24 +8,24 @@ exact operator.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.draws import random_int
 from quarry.functions.hashing import PORTABLE, hash_hex, hash_twice, indexes
-from quarry.functions.params import DEFAULT_SEED, generation_plan, hash_family
-from quarry.operators.bits import BitSet, high_bit
+from quarry.functions.params import DEFAULT_SEED, fingerprint_bits, generation_plan, hash_family, next_prime, xor_slots
+from quarry.operators.bits import BitSet, high_bit, xor_bytes
 from quarry.operators.bloom import BloomFilter, BloomParams, CountingBloomFilter, PartitionedBloomFilter, PartitionedParams, ScalableBloomFilter, ScalableParams
 from quarry.operators.cardinality import HLLParams, HyperLogLog, native_hll, native_hll_estimate
-from quarry.operators.cuckoo import CuckooFilter, CuckooParams, hex_prefix_location
-from quarry.operators.frequency import CMSParams, CountMinSketch, TopK
+from quarry.operators.cuckoo import CuckooFilter, CuckooParams, hex_prefix_location, turn
+from quarry.operators.frequency import CMSParams, CountMinSketch, MinHeap, TopK
 from quarry.operators.reconcile import IBLT, IBLTParams
 from quarry.operators.similarity import MinHash
 from quarry.operators.xor_filter import XorFilter, XorParams
-from quarry.sources.store import from_json
-from quarry.streaming.sketches import drain, read_files, windowed
+from quarry.sources.store import from_json, scratch
+from quarry.streaming.sketches import drain_to, read_files, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -261,6 +261,61 @@ def scalable_ordered_semi_join(spark, d):
     return f.semi_join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", keys, "c_custkey").select("o_orderkey", "o_custkey")
 
 
+SCALABLE = ScalableParams(128, 0.01, spec=PORTABLE)
+_PLAN = SCALABLE.plan_for(2_000)
+_ROOM = [p.capacity for p in _PLAN]
+
+
+def _scalable_cells(source: str, x: str, generation: str) -> str:
+    """(x, generation, i, bit) of all positions of the rows of source in the generation that `generation` names (ALL: in every one)."""
+    parts = [f"SELECT {x}, {g} AS generation, i, i * {p.slice_bits} + idx AS bit FROM {cells(source if generation == 'ALL' else f'(SELECT * FROM {source} WHERE {generation} = {g})', x, p.slice_bits, p.slices, x)}" for g, p in enumerate(_PLAN)]
+    return " UNION ALL ".join(parts)
+
+
+_DEALT = f"(SELECT c_custkey, CASE {' '.join(f'WHEN place < {sum(_ROOM[: g + 1])} THEN {g}' for g in range(len(_ROOM)))} END AS g FROM (SELECT c_custkey, {h(DEFAULT_SEED + 3, 'c_custkey')} % {sum(_ROOM)} AS place FROM {SEGMENT}))"
+_SCALABLE_BITS = f"SELECT DISTINCT generation, bit FROM ({_scalable_cells(_DEALT, 'c_custkey', 'g')})"
+
+
+def _scalable(spark, d):
+    return ScalableBloomFilter.build(_building(spark, d), "c_custkey", SCALABLE, n=2_000)
+
+
+@query(_SCALABLE_BITS)
+def scalable_bits(spark, d):
+    return _scalable(spark, d).state.select(F.col("generation").cast("int").alias("generation"), "bit")
+
+
+@query(f"""WITH s AS ({_SCALABLE_BITS}), c AS ({_scalable_cells('(SELECT DISTINCT o_custkey FROM orders)', 'o_custkey', 'ALL')}),
+n AS (SELECT c.o_custkey, c.generation, count(*) AS found FROM c JOIN s USING (generation, bit) GROUP BY ALL),
+k AS (SELECT o_custkey, generation, count(*) AS asked FROM c GROUP BY ALL)
+SELECT o_custkey, bool_or(coalesce(found, 0) = asked) AS has FROM k LEFT JOIN n USING (o_custkey, generation) GROUP BY o_custkey""")
+def scalable_probe(spark, d):
+    """What the filter itself says, false positives included."""
+    return _scalable(spark, d).probe(t(spark, d, "orders").select("o_custkey").distinct(), "o_custkey")
+
+
+_BOUND = "SELECT {what} AS what, count(*) AS members, count(*) AS found, true AS few_others FROM {source}"
+
+
+def _found(what: str, f, members: DataFrame, others: DataFrame, column: str, most: float) -> DataFrame:
+    """One row: of the members all must be found, of the others at most a share `most`."""
+    marked = f.probe(members.select(column, F.lit(1).alias("member")).unionAll(others.select(column, F.lit(0).alias("member"))), column)
+    yes = lambda m: F.count_if((F.col("member") == m) & F.col("has"))
+    return marked.agg(F.lit(what).alias("what"), F.count_if(F.col("member") == 1).alias("members"), yes(1).alias("found"), (yes(0) <= most * F.count_if(F.col("member") == 0)).alias("few_others"))
+
+
+def _strangers(spark, n: int, column: str) -> DataFrame:
+    return spark.range(10**9, 10**9 + n).select(F.col("id").alias(column))
+
+
+@query(_BOUND.format(what="'scalable'", source="(SELECT DISTINCT o_custkey FROM orders)"))
+def scalable_added(spark, d):
+    """Half of the keys at once, the other half added: all are found, strangers seldom."""
+    keys = t(spark, d, "orders").select("o_custkey").distinct()
+    f = ScalableBloomFilter.build(keys.where("o_custkey % 2 = 0"), "o_custkey", ScalableParams(128, 0.001)).add(keys.where("o_custkey % 2 = 1"), "o_custkey")
+    return _found("scalable", f, keys, _strangers(spark, 20_000, "o_custkey"), "o_custkey", 0.02)
+
+
 # ------------------------------------------------------------------ XOR and cuckoo
 
 _PART_KEYS = "(SELECT p_partkey FROM part WHERE p_size > 25)"
@@ -290,6 +345,64 @@ def cuckoo_after_delete(spark, d):
     return f.probe(keys, "p_partkey").where("has").drop("has").join(gone, "p_partkey", "left_anti").distinct()
 
 
+@query("SELECT width, members, members AS found, true AS few_others FROM (SELECT count(*) AS members FROM part WHERE p_size > 25), (VALUES (8), (16), (32), (64)) w(width)")
+def xor_found(spark, d):
+    """What the filters themselves say: all keys, and of strangers about one in 2^width."""
+    keys, out = t(spark, d, "part").where("p_size > 25").select("p_partkey"), None
+    for width in (8, 16, 32, 64):
+        one = _found("", XorFilter.build(keys, "p_partkey", XorParams(width)), keys, _strangers(spark, 20_000, "p_partkey"), "p_partkey", 0.007 if width == 8 else 0.0005)
+        one = one.select(F.lit(width).alias("width"), "members", "found", "few_others")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query(f"""SELECT shard::INTEGER AS shard, ((1.23 * n + 32)::INTEGER // 3)::BIGINT AS block, (((1.23 * n + 32)::INTEGER // 3) * 3)::BIGINT AS slots
+FROM (SELECT shard, count(*) AS n FROM (SELECT {h(DEFAULT_SEED + 1, 'p_partkey')} % 1 AS shard FROM part WHERE p_size > 25) GROUP BY shard)""".replace("(1.23 * n + 32)::INTEGER", "floor(1.23 * n + 32)::INTEGER"))
+def xor_geometry(spark, d):
+    """Shards, block length and number of slots."""
+    f = XorFilter.build(t(spark, d, "part").where("p_size > 25"), "p_partkey", XorParams(8, spec=PORTABLE))
+    return f.state.select("shard", "block", F.size("prints").cast("long").alias("slots"))
+
+
+CUCKOO = CuckooParams(256, 12, 4, 500, 4, spec=PORTABLE)
+
+
+def _prints(where: str) -> str:
+    """(shard, fp, low, high, n): fingerprints with their two buckets, whichever of the two holds them."""
+    return f"""SELECT shard, fp, least(a, b) AS low, greatest(a, b) AS high, count(*) AS n FROM (
+  SELECT *, xor(a, {h(0, 'fp')} & {CUCKOO.buckets - 1}) AS b FROM (
+    SELECT ({h(DEFAULT_SEED + 1, 'p_partkey')} % {CUCKOO.shards})::INTEGER AS shard, (x >> 24) % {(1 << CUCKOO.fp_bits) - 1} + 1 AS fp, x & {CUCKOO.buckets - 1} AS a
+    FROM (SELECT p_partkey, {h(DEFAULT_SEED, 'p_partkey')} AS x FROM part WHERE {where}))) GROUP BY ALL"""
+
+
+def _held_prints(f: CuckooFilter) -> DataFrame:
+    other = F.col("bucket").bitwiseXOR(turn(F.col("fp"), f.params.spec).bitwiseAND(F.lit(f.params.buckets - 1).cast("long")))
+    rows = f.state.where("slot >= 0").select("shard", "fp", F.least("bucket", other).alias("low"), F.greatest("bucket", other).alias("high"))
+    return rows.groupBy("shard", "fp", "low", "high").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_prints("p_size > 25"))
+def cuckoo_fingerprints(spark, d):
+    """The filter's whole content: every fingerprint is in one of its two buckets, none is lost by moves."""
+    return _held_prints(CuckooFilter.build(t(spark, d, "part").where("p_size > 25"), "p_partkey", "p_partkey", CUCKOO))
+
+
+@query(_prints("p_size > 25 AND p_partkey % 4 <> 0"))
+def cuckoo_added_and_removed(spark, d):
+    """A filter of a part of the keys, one merged in, more added, some removed."""
+    keys = t(spark, d, "part").where("p_size > 25")
+    build = lambda c: CuckooFilter.build(keys.where(c), "p_partkey", "p_partkey", CUCKOO)
+    f = build("p_partkey % 3 = 0").merge(build("p_partkey % 3 = 1")).add(keys.where("p_partkey % 3 = 2"), "p_partkey", "p_partkey")
+    return _held_prints(f.remove(keys.where("p_partkey % 4 = 0"), "p_partkey"))
+
+
+@query(_BOUND.format(what="'cuckoo'", source="part WHERE p_size > 25"))
+def cuckoo_found(spark, d):
+    """What the filter itself says."""
+    keys = t(spark, d, "part").where("p_size > 25").select("p_partkey")
+    return _found("cuckoo", CuckooFilter.from_items(keys, "p_partkey", "p_partkey", 0.001), keys, _strangers(spark, 20_000, "p_partkey"), "p_partkey", 0.0025)
+
+
 @query(f"SELECT p_partkey, substr(lower(to_hex(x)), 1, 4) AS fp, x % 1000 AS first, xor(x, {h(DEFAULT_SEED, 'substr(lower(to_hex(x)), 1, 4)')}) % 1000 AS second FROM (SELECT p_partkey, {h(DEFAULT_SEED, 'p_partkey')} AS x FROM part)")
 def cuckoo_locations(spark, d):
     fp, first, second = hex_prefix_location(F.col("p_partkey").cast("string"), 1000, 4, spec=PORTABLE)
@@ -353,6 +466,41 @@ def topk_cms(spark, d):
     return TopK.from_sketch(_lines(spark, d), "l_partkey", "seq", 25, CMS, "w").values()
 
 
+_TOP = """SELECT value, frequency, rank FROM (SELECT l_partkey::VARCHAR AS value, sum(l_quantity::BIGINT)::BIGINT AS frequency,
+  row_number() OVER (ORDER BY sum(l_quantity::BIGINT) DESC, max(l_orderkey * 10 + l_linenumber), l_partkey::VARCHAR)::INTEGER AS rank FROM lineitem GROUP BY l_partkey) WHERE rank <= 15"""
+
+
+@query(_TOP)
+def topk_json_goes_on(spark, d):
+    """Totals of a half exported and read back, then the other half added."""
+    even, odd = (_lines(spark, d).where(f"l_suppkey % 2 = {k}") for k in (0, 1))
+    return from_json(spark, TopK.build(even, "l_partkey", "seq", 15, "w").to_json()).add(odd, "l_partkey", "seq", "w").values()
+
+
+@query(f"""SELECT value, frequency, rank FROM (SELECT l_partkey::VARCHAR AS value, estimate AS frequency,
+  row_number() OVER (ORDER BY estimate DESC, last, l_partkey::VARCHAR)::INTEGER AS rank
+  FROM ({_EST}) JOIN (SELECT l_partkey, {_LAST} AS last FROM lineitem GROUP BY 1) USING (l_partkey)) WHERE rank <= 25""")
+def topk_sketch_json_goes_on(spark, d):
+    """A sketch and its heap exported and read back, then all elements offered again with the other half's weights."""
+    lines = _lines(spark, d)
+    held = from_json(spark, TopK.from_sketch(lines.where("l_suppkey % 2 = 0"), "l_partkey", "seq", 25, CMS, "w").to_json())
+    return held.add(lines.where("l_suppkey % 2 = 1"), "l_partkey", "seq", "w").offer(lines, "l_partkey", "seq").values()
+
+
+@query("""SELECT place::INTEGER AS place, value, frequency FROM (SELECT *, row_number() OVER (ORDER BY frequency, value DESC) - 1 AS place
+  FROM (SELECT p_brand AS value, count(*) AS frequency FROM part GROUP BY p_brand ORDER BY frequency DESC, value LIMIT 5))""")
+def min_heap(spark, d):
+    """The heap of the five largest brands, lowest first, through JSON."""
+    heap = MinHeap()
+    for r in t(spark, d, "part").groupBy("p_brand").count().orderBy("p_brand").collect():  # one row a brand
+        if heap.length < 5 or r["count"] > heap.get(0)["frequency"]:
+            heap.add({"value": r.p_brand, "frequency": r["count"]})
+            if heap.length > 5:
+                heap.pop_min()
+    back = MinHeap.from_json(heap.to_json())
+    return spark.createDataFrame([(i, e["value"], e["frequency"]) for i, e in enumerate(back.content)], "place int, value string, frequency long")
+
+
 # ------------------------------------------------------------------ distinct counts
 
 HLL = HLLParams(256, spec=PORTABLE)
@@ -425,29 +573,48 @@ def minhash_pairs(spark, d):
     return _minhash(spark, d).candidates(2)
 
 
-DOC_FAMILY = hash_family(32, 1_000_003)
-_DOC_X = f"(SELECT DISTINCT doc_id AS k, {h(1, 'g')} % 1000003 AS x FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))))"
-_DOC_SIGS = "SELECT k, [" + ", ".join(f"min(({a} * x + {b}) % {c})" for a, b, c in DOC_FAMILY) + "]::BIGINT[] AS sig FROM x GROUP BY k"
+#: Twenty bands of three functions: two sets of similarity 0.8 share none once in two million times.
+DOC_FAMILY = hash_family(60, 2_000_000_000)
+_SHINGLES = f"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT DISTINCT doc_id, {h(1, 'g')} AS x FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w)))"""
 
 
-@query(f"""WITH x AS {_DOC_X}, s AS ({_DOC_SIGS}), r AS (SELECT sig, min(k) AS k FROM s GROUP BY sig),
-band AS (SELECT k, i, sig[i * 4 + 1:i * 4 + 4] AS part FROM (SELECT k, sig, unnest(range(8)) AS i FROM r)),
-p AS (SELECT DISTINCT a.k AS a, b.k AS b FROM band a JOIN band b ON a.i = b.i AND a.part = b.part AND a.k < b.k
-  UNION ALL SELECT r.k, s.k FROM s JOIN r USING (sig) WHERE s.k <> r.k),
-n AS (SELECT k, count(*) AS n FROM x GROUP BY k),
-j AS (SELECT p.a, p.b, count(*) AS shared FROM p JOIN x xa ON xa.k = p.a JOIN x xb ON xb.k = p.b AND xa.x = xb.x GROUP BY p.a, p.b)
-SELECT a, b, shared, na.n + nb.n - shared AS union_size FROM j JOIN n na ON na.k = a JOIN n nb ON nb.k = b WHERE 10 * shared >= 8 * (na.n + nb.n - shared)""")
+@query(f"""WITH {_SHINGLES}, s AS (SELECT doc_id, count(*) AS n, md5(string_agg(x::VARCHAR, ',' ORDER BY x)) AS name FROM x GROUP BY doc_id),
+c AS (SELECT name, min(doc_id) AS class_id, any_value(n) AS n FROM s GROUP BY name), y AS (SELECT class_id, x, n FROM c JOIN x ON x.doc_id = c.class_id),
+p AS (SELECT a.class_id, count(*) AS shared FROM y a JOIN y b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+l AS (SELECT class_id, count(*) AS n_links FROM p GROUP BY class_id)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM s JOIN c USING (name) LEFT JOIN l USING (class_id)""")
 def doc_near_duplicates(spark, d):
-    """Pairs of documents of exact Jaccard similarity 0.8 or more among those that share a band of their signatures."""
-    w = F.col("w")
-    grams = t(spark, d, "documents").select(F.col("doc_id").alias("k"), F.split("text", " ").alias("w")).where(F.size(w) >= 3)
-    grams = grams.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))).alias("g"))
-    x = grams.select("k", (PORTABLE.of(F.col("g"), 1) % 1_000_003).alias("x")).distinct()
-    pairs = MinHash.build(x, "x", DOC_FAMILY, ("k",)).candidates(4)
-    sizes = x.groupBy("k").count()
-    both = pairs.join(x.withColumnRenamed("k", "a"), "a").join(x.select(F.col("k").alias("b"), "x"), ["b", "x"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    sized = both.join(sizes.select(F.col("k").alias("a"), F.col("count").alias("na")), "a").join(sizes.select(F.col("k").alias("b"), F.col("count").alias("nb")), "b")
-    return sized.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("union_size")).where(10 * F.col("shared") >= 8 * F.col("union_size"))
+    """Of every document its class and the class's links: the other classes of Jaccard similarity 0.8 or more.
+
+    Sets of five-word shingles of whole texts (fewer words: all of them; none: the empty shingle),
+    A-Z lower-cased. Documents of equal sets are one class, named by its least id. Candidates share
+    a band of their MinHash signatures; each is decided by its sets.
+    """
+    text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: F.length(x) > 0)
+    words = t(spark, d, "documents").select("doc_id", w.alias("w"))
+    grams = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("g"))
+    x = grams.select("doc_id", PORTABLE.of(F.col("g"), 1).alias("x")).distinct()
+    named = x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("x")).cast("array<string>"), ",")).alias("name"))
+    classes = named.groupBy("name").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
+    sets = x.join(classes.select(F.col("class_id").alias("doc_id"), "n"), "doc_id").withColumnRenamed("doc_id", "class_id")
+    pairs = MinHash.build(sets.withColumn("x", F.col("x") % 2_000_000_000), "x", DOC_FAMILY, ("class_id",)).candidates(3).select("a", "b")
+    one = lambda c: sets.select(F.col("class_id").alias(c), "x", F.col("n").alias(f"n{c}"))
+    shared = pairs.join(one("a"), "a").join(one("b"), ["b", "x"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    links = shared.where(9 * F.col("shared") >= 4 * (F.col("na") + F.col("nb"))).select(F.explode(F.array("a", "b")).alias("class_id"))
+    links = links.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    members = named.join(classes.select("name", "class_id"), "name").join(links, "class_id", "left")
+    return members.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+@query(f"SELECT k, fn::INTEGER AS fn, sig[fn + 1] AS min_hash FROM (SELECT k, sig, unnest(range({len(FAMILY)})) AS fn FROM ({_SIGS})) WHERE k = (SELECT min(l_suppkey) FROM lineitem)")
+def minhash_json(spark, d):
+    """One set's signature through JSON."""
+    s = _minhash(spark, d)
+    least = s.state.agg(F.min("k")).first()[0]
+    one = MinHash(FAMILY, s.state.where(F.col("k") == least).select("sig"))
+    return from_json(spark, one.to_json()).state.select(F.lit(least).alias("k"), F.posexplode("sig").alias("fn", "min_hash"))
 
 
 # ------------------------------------------------------------------ reconciliation
@@ -473,13 +640,26 @@ def iblt_diff(spark, d):
     """Two overlapping sets reconciled through tables sized for the number of their differences."""
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("e"))
     n = orders.where("(o_orderkey % 50 = 7) <> (o_orderkey % 60 = 11)".replace("o_orderkey", "e")).count()
-    p = IBLTParams(max(60, n), 2.0, 4, max_bytes=14)
+    p = IBLTParams.fitting(max(60, n), orders, alpha=2.0, hashes=4)
     a, b = (IBLT.build(orders.where(c), "e", p) for c in ("e % 50 <> 7", "e % 60 <> 11"))
     return a.subtract(b).decode()
 
 
 # ------------------------------------------------------------------ state, interchange, streams
 
+@query("""SELECT 'abs' AS what, sum(abs(c_nationkey - 12))::BIGINT AS value FROM customer UNION ALL SELECT 'zeros', count(*) FROM customer
+UNION ALL SELECT 'drawn', count(*) FROM customer UNION ALL SELECT 'prime', 211 UNION ALL SELECT 'slots', 1260 UNION ALL SELECT 'fingerprint_bits', 10 UNION ALL SELECT 'xor', 2""")
+def utilities(spark, d):
+    """Allocation, absolute values, draws within bounds, primes, sizes, XOR of byte strings."""
+    customers = t(spark, d, "customer")
+    zeros = customers.select(F.explode(F.array_repeat(F.lit(0), 1)).alias("z")).where("z = 0")
+    drawn = customers.select(random_int(3, 6, 1).alias("x")).where("x BETWEEN 3 AND 6")
+    one = lambda name, df: df.select(F.lit(name).alias("what"), F.col(df.columns[0]).cast("long").alias("value"))
+    fixed = [("prime", next_prime(200)), ("slots", xor_slots(1000)), ("fingerprint_bits", fingerprint_bits(4, 0.01)), ("xor", int.from_bytes(xor_bytes(b"\0\3", b"\1"), "big"))]
+    out = one("abs", customers.agg(F.sum(F.abs(F.col("c_nationkey") - 12)))).unionAll(one("zeros", zeros.agg(F.count(F.lit(1))))).unionAll(one("drawn", drawn.agg(F.count(F.lit(1)))))
+    return out.unionAll(spark.createDataFrame(fixed, "what string, value long"))
+
+
 @query("SELECT * FROM (VALUES ('bloom_same', true), ('bloom_other', false), ('cms_same', true), ('hll_same', true), ('iblt_other', false)) v(what, equal)")
 def state_equality(spark, d):
     orders, some = t(spark, d, "orders"), t(spark, d, "orders").where("o_orderkey % 2 = 0")
@@ -496,7 +676,7 @@ def state_equality(spark, d):
     return spark.createDataFrame(rows, "what string, equal boolean")
 
 
-@query("SELECT * FROM (VALUES ('BloomFilter', true), ('CountMinSketch', true), ('CountingBloomFilter', true), ('CuckooFilter', true), ('HyperLogLog', true), ('InvertibleBloomFilter', true), ('PartitionedBloomFilter', true), ('XorFilter', true)) v(type, same)")
+@query("SELECT * FROM (VALUES ('BloomFilter', true), ('CountMinSketch', true), ('CountingBloomFilter', true), ('CuckooFilter', true), ('HyperLogLog', true), ('InvertibleBloomFilter', true), ('MinHash', true), ('PartitionedBloomFilter', true), ('ScalableBloomFilter', true), ('SketchedTopK', true), ('TopK', true), ('XorFilter', true)) v(type, same)")
 def json_roundtrip(spark, d):
     keys = _building(spark, d)
     made = {
@@ -508,6 +688,10 @@ def json_roundtrip(spark, d):
         "InvertibleBloomFilter": IBLT.build(keys, "c_custkey", IBLTParams(20, 1.5, 3)),
         "HyperLogLog": HyperLogLog.build(keys, "c_custkey", HLLParams(64)),
         "CountMinSketch": CountMinSketch.build(keys, "c_custkey", CMSParams(100, 3)),
+        "ScalableBloomFilter": ScalableBloomFilter.build(keys, "c_custkey"),
+        "TopK": TopK.build(keys, "c_nationkey", "c_custkey", 5),
+        "SketchedTopK": TopK.from_sketch(keys, "c_nationkey", "c_custkey", 5, CMSParams(100, 3)),
+        "MinHash": MinHash.build(keys, "c_custkey", FAMILY),
     }
     return spark.createDataFrame([(k, from_json(spark, s.to_json()).equals(s)) for k, s in made.items()], "type string, same boolean")
 
@@ -517,7 +701,7 @@ def stream_hll_windows(spark, d):
     """Registers of each hour, kept up to date by a stream."""
     stream = windowed(read_files(spark, d, "events.parquet"), "ts", "1 hour", "1 hour")
     state = HyperLogLog.build(stream, "user_id", HLL, ("window_start",)).state
-    out = drain(state, f"q_{uuid.uuid4().hex}")
+    out = drain_to(state, scratch(spark))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "register", "rank")
 
 
@@ -525,7 +709,7 @@ def stream_hll_windows(spark, d):
 def stream_topk_totals(spark, d):
     """Top-k totals kept by a stream, the basis of its ranking."""
     state = TopK.build(read_files(spark, d, "events.parquet"), "user_id", "event_id", 5, by=("event_type",)).state
-    return drain(state, f"q_{uuid.uuid4().hex}").select("event_type", "value", "frequency")
+    return drain_to(state, scratch(spark)).select("event_type", "value", "frequency")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
@@ -27,6 +30,21 @@ TYPES = {
 PARAMS = {c.__name__: c for c in (bloom.BloomParams, bloom.PartitionedParams, bloom.ScalableParams, xor_filter.XorParams, cuckoo.CuckooParams, reconcile.IBLTParams, cardinality.HLLParams, frequency.CMSParams)}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in what spark.checkpoint.dir names, deleted when the session's JVM ends; in a local session without that setting a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="quarry-")
+    path = f"{top}/quarry-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def from_json(spark: SparkSession, text: str):
     """Any exported sketch."""
     kind = json.loads(text).get("type")
@@ -41,8 +59,10 @@ def _plain(value):
 
 def save(sketch, path: str) -> None:
     """Write a sketch's state and parameters; the state stays distributed, whatever its size."""
-    kind = next(k for k, c in TYPES.items() if type(sketch) is c)
-    head = {"type": kind, "by": list(getattr(sketch, "by", ()))}
+    if type(sketch) is frequency.SketchedTopK:  # its sketch beside it
+        save(sketch.sketch, f"{path}/sketch")
+    kind = next(k for k, c in TYPES.items() if isinstance(sketch, c) and (type(sketch) is c or c is frequency.TopK))
+    head = {"type": kind, "sketched": type(sketch) is frequency.SketchedTopK, "by": list(getattr(sketch, "by", ()))}
     if (p := getattr(sketch, "params", None)) is not None:
         head |= {"params": type(p).__name__, "values": {f.name: _plain(getattr(p, f.name)) for f in fields(p)}}
     head |= {k: getattr(sketch, k) for k in ("k", "family", "shards", "generations") if hasattr(sketch, k)}
@@ -56,6 +76,8 @@ def load(spark: SparkSession, path: str):
     head = json.loads(spark.read.text(f"{path}/head").first()[0])
     state, by = spark.read.parquet(f"{path}/state"), tuple(head["by"])
     kind = TYPES[head["type"]]
+    if kind is frequency.TopK and head.get("sketched"):
+        return frequency.SketchedTopK(head["k"], load(spark, f"{path}/sketch"), state)
     if kind is frequency.TopK:
         return kind(head["k"], state, by)
     if kind is similarity.MinHash:

@@ -49,6 +49,17 @@ def drain(state: DataFrame, name: str, mode: str = "complete", checkpoint: str |
     return state.sparkSession.table(name)
 
 
+def drain_to(state: DataFrame, path: str) -> DataFrame:
+    """Run a streaming state over all that is there into a Parquet table of states of any size; the last batch's whole state stands there at the end."""
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/state")
+
+    writer = state.writeStream.outputMode("complete").foreachBatch(keep).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination()
+    return state.sparkSession.read.schema(state.schema).parquet(f"{path}/state")
+
+
 def upsert(stream: DataFrame, build, path: str, checkpoint: str):
     """Fold a stream into a stored sketch, batch by batch: build(batch) makes a sketch, the stored one is merged with it.
 

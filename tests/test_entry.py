@@ -31,3 +31,12 @@ def test_query(spark, sf, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_a_library_of_the_corpus_operators(tmp_path):
+    """The sketch queries stay where what the other subpackage needs is missing."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['tokenizers'] = None; import __spark_entry__ as e; assert set(e.queries()) == set(e._plans.queries()) == set(e.oracle_sql())"
+    subprocess.run([sys.executable, "-c", code], cwd=entry.__file__.rsplit("/", 1)[0], check=True, timeout=120)

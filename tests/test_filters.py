@@ -130,6 +130,38 @@ def test_scalable_growth(spark):
     assert share(g, df) == 1.0 and g.capacity() >= len(names) and g.rate()["any"] < 0.01
 
 
+def test_scalable_grows_after_the_build(spark):
+    """Added in three parts, and many times over: no false negatives, rates as planned, generations as needed."""
+    f = ScalableBloomFilter.build(items(spark, 0, 100), "e", ScalableParams(128, 0.001))
+    assert f.generations == 1
+    for lo, hi in ((100, 130), (130, 4000), (0, 4000)):
+        before = f.generations
+        f = f.add(items(spark, lo, hi), "e")
+        assert f.generations >= before
+    assert share(f, items(spark, 0, 4000)) == 1.0 and f.capacity() >= 4000 and share(f, items(spark, 10_000, 30_000)) <= 0.02
+    assert all(g.load() < 0.6 for g in f.filters()) and f.generations == len(ScalableParams(128, 0.001).plan_for(4000))
+    g = f.merge(ScalableBloomFilter.build(items(spark, 5000, 5200), "e", ScalableParams(128, 0.001)))
+    assert share(g, items(spark, 0, 4000)) == 1.0 == share(g, items(spark, 5000, 5200)) and g.generations == f.generations
+    with pytest.raises(ValueError):
+        f.merge(ScalableBloomFilter.build(items(spark, 0, 9), "e", ScalableParams(128, 0.01)))
+
+
+def test_ordered_growth_has_no_last_generation(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(3000)], "seq long, e string")
+    f = ScalableBloomFilter.build_ordered(df, "e", "seq", ScalableParams(1, 0.5, 0.9))
+    assert share(f, df) == 1.0 and f.generations == len(list(f.filters()))
+
+
+def test_filters_reach_the_scan_below_a_probe(spark, tmp_path):
+    df = items(spark, 0, 100).withColumn("id", F.col("e").cast("long"))
+    df.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for f in (BloomFilter.build(df, "e", BloomParams(2000, 4)), ScalableBloomFilter.build(df, "e", ScalableParams(2000, 0.01))):
+        plan = f.probe(stored, "e").where("has AND id = 5")._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(id,5)" in plan
+        assert [r.e for r in f.probe(stored, "e").where("has AND id = 5").collect()] == ["5"]
+
+
 def test_scalable_of_one_generation(spark):
     """Few enough positions for the packed path."""
     f = ScalableBloomFilter.build(items(spark, 0, 1000), "e", ScalableParams(2000, 0.01))
@@ -183,15 +215,30 @@ def test_cuckoo_changelog(spark):
     assert f.length() == 1 and CuckooFilter.build(spark.createDataFrame([], "seq long, e string"), "e", "seq", CuckooParams(4, 8)).rate() == 0.0
 
 
+def test_cuckoo_goes_on(spark):
+    """Added to, removed from and merged after the build, over several shards, one of them new."""
+    seq = lambda df: df.withColumn("seq", F.col("e").cast("long"))
+    p = CuckooParams(256, 14, shards=3)
+    f = CuckooFilter.build(seq(items(spark, 0, 1)), "e", "seq", p).add(seq(items(spark, 1, 900)), "e", "seq")
+    g = f.merge(CuckooFilter.build(seq(items(spark, 900, 1500)), "e", "seq", p)).remove(items(spark, 0, 500), "e")
+    assert f.length() == 900 and g.length() == 1000 and g.load().first().n_rejected == 0
+    assert share(g, items(spark, 500, 1500)) == 1.0 and share(g, items(spark, 0, 500)) <= at_most(p.rate(), 500) and g.equals(CuckooFilter(p, g.state))
+    full = CuckooFilter.build(seq(items(spark, 0, 40)), "e", "seq", CuckooParams(4, 8, 2, 5))
+    both = full.merge(full)
+    assert both.load().first().n_rejected + both.length() == 80
+    with pytest.raises(ValueError):
+        f.merge(full)
+
+
 @pytest.mark.parametrize("destructive", [False, True])
 def test_cuckoo_rollback(destructive):
-    t = Table(CuckooParams(2, 8, bucket_size=1, max_kicks=20), 0)
-    assert t.add(3, 0) and t.add(5, 0) or True
+    """A full table rejects; without destructive it stays as it was, with it the moves stay."""
+    t = Table(CuckooParams(2, 8, bucket_size=1, max_kicks=3), 0)
+    for b, fp in enumerate((3, 5)):
+        t.buckets[b].set(0, fp)
     before = [list(b.slots) for b in t.buckets]
-    full = all(b.length == 1 for b in t.buckets)
-    if full:
-        assert not t.add(9, 0, destructive)
-        assert ([list(b.slots) for b in t.buckets] == before) or destructive
+    assert not t.add(9, 0, destructive)
+    assert ([list(b.slots) for b in t.buckets] == before) != destructive
 
 
 def test_cuckoo_params():

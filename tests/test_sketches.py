@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators.cardinality import HLLParams, HyperLogLog, native_hll, native_hll_estimate
-from quarry.operators.frequency import CMSParams, CountMinSketch, TopK, native_cms, native_top_k
+from quarry.operators.bloom import BloomFilter, BloomParams, CountingBloomFilter, PartitionedBloomFilter, PartitionedParams
+from quarry.operators.frequency import CMSParams, CountMinSketch, MinHeap, TopK, native_cms, native_top_k
 from quarry.operators.reconcile import IBLT, IBLTParams, exact_difference
 from quarry.operators.similarity import MinHash
 from quarry.sources.store import from_json, load, save
@@ -83,6 +84,59 @@ def test_topk_weights_merge_clear(spark):
         TopK.build(w, "e", "seq", 0)
 
 
+def test_topk_json_goes_on(spark):
+    """What is read back knows the totals outside the k best, and their order of time."""
+    first, more = words(spark, *["a"] * 2, *["b"] * 2, "c"), words(spark, "c", "c")
+    more = more.withColumn("seq", F.col("seq") + 10)
+    t = TopK.build(first, "e", "seq", 2)
+    back = from_json(spark, t.to_json())
+    assert back.equals(t) and ranks(back.add(more, "e", "seq")) == ranks(t.add(more, "e", "seq")) == [("c", 3, 1), ("a", 2, 2)]
+    late = words(spark, *["x"] * 11, "y").where("seq IN (2, 10) OR e = 'y'")
+    assert ranks(from_json(spark, TopK.build(late.where("seq <> 2").unionAll(late.where("seq = 2")), "e", "seq", 1).to_json()))[0] == ("x", 2, 1)
+    two = spark.createDataFrame([("p", 10), ("q", 9)], "e string, seq long")
+    assert [r[0] for r in ranks(from_json(spark, TopK.build(two, "e", "seq", 2).to_json()))] == ["q", "p"]  # 9 comes before 10
+
+
+def test_sketched_topk_holds_k_rows(spark):
+    df = words(spark, *(str(i % 17) for i in range(400)))
+    t = TopK.from_sketch(df, "e", "seq", 5, CMSParams(50_000, 3))
+    assert t.state.count() == 5 and [e["frequency"] for e in t.heap().content] == sorted(e["frequency"] for e in t.heap().content)
+    more = words(spark, *["16"] * 9, *["new"] * 40).withColumn("seq", F.col("seq") + 1000)
+    whole = TopK.build(df.unionAll(more), "e", "seq", 5)
+    for s in (t, from_json(spark, t.to_json())):
+        assert ranks(s.add(more, "e", "seq")) == ranks(whole) == ranks(s.merge(TopK.from_sketch(more, "e", "seq", 5, CMSParams(50_000, 3))))
+    assert from_json(spark, t.to_json()).equals(t) and ranks(t.clear()) == [] and t.clear().sketch.params == t.sketch.params
+
+
+def test_min_heap():
+    h = MinHeap()
+    for v, n in (("a", 3), ("b", 1), ("c", 2)):
+        h.add({"value": v, "frequency": n})
+    assert h.length == 3 and h.get(0)["value"] == "b" and h.get(9) is None and h.index_of("c") == 1 and h.index_of("z") == -1
+    assert MinHeap.from_json(h.to_json()).content == h.content and h.pop_min()["value"] == "b"
+    h.remove(0)
+    assert [e["value"] for e in h.content] == ["a"]
+    h.clear()
+    assert h.length == 0 and h.pop_min() is None
+
+
+def test_grouped_sketches_have_no_json(spark):
+    df = words(spark, "a", "b").withColumn("g", F.col("seq"))
+    made = (
+        BloomFilter.build(df, "e", BloomParams(100, 2), ("g",)),
+        CountingBloomFilter.build(df, "e", BloomParams(100, 2), ("g",)),
+        PartitionedBloomFilter.build(df, "e", PartitionedParams.create(10, 0.1), ("g",)),
+        CountMinSketch.build(df, "e", CMSParams(20, 2), by=("g",)),
+        TopK.build(df, "e", "seq", 2, by=("g",)),
+        HyperLogLog.build(df, "e", HLLParams(16), ("g",)),
+        MinHash.build(df, "seq", MinHash.make_family(4, 100), ("g",)),
+        IBLT.build(df, "e", IBLTParams(10), ("g",)),
+    )
+    for s in made:
+        with pytest.raises(ValueError, match="grouped"):
+            s.to_json()
+
+
 def test_topk_sketch_is_exact_when_wide(spark):
     df = words(spark, *(str(i % 17) for i in range(400)))
     assert ranks(TopK.from_sketch(df, "e", "seq", 5, CMSParams(50_000, 3))) == ranks(TopK.build(df, "e", "seq", 5))
@@ -187,6 +241,14 @@ def test_iblt_difference(spark, seed):
     assert values(diff.decode()) == values(exact_difference(a, b, "e"))
 
 
+def test_iblt_of_long_elements(spark):
+    a, b = words(spark, "x" * 1000, '{"data": "' + "é" * 300 + '"}', "s"), words(spark, "s", "y" * 77)
+    p = IBLTParams.fitting(10, a.select("e"), b.select("e"), alpha=3.0, hashes=4)
+    assert p.max_bytes == 1000
+    diff = IBLT.build(a, "e", p).subtract(IBLT.build(b, "e", p))
+    assert values(diff.decode()) == values(exact_difference(a, b, "e")) and from_json(spark, diff.to_json()).equals(diff)
+
+
 def test_iblt_overload_is_reported(spark):
     t = IBLT.build(spark.range(5000).select(F.col("id").cast("string").alias("e")), "e", IBLTParams(10, 1.5, 3))
     assert t.decode_status()["success"] is False
@@ -200,3 +262,6 @@ def test_store(spark, tmp_path):
     t = TopK.build(df, "e", "seq", 3)
     save(t, str(tmp_path / "t"))
     assert ranks(load(spark, str(tmp_path / "t"))) == ranks(t)
+    s = TopK.from_sketch(df, "e", "seq", 3, CMSParams(100, 2))
+    save(s, str(tmp_path / "s"))
+    assert load(spark, str(tmp_path / "s")).equals(s)

@@ -8,7 +8,7 @@ from quarry.operators.cardinality import HLLParams, HyperLogLog
 from quarry.operators.cuckoo import CuckooFilter, CuckooParams
 from quarry.operators.frequency import CMSParams, CountMinSketch
 from quarry.sources.store import load
-from quarry.streaming.sketches import cuckoo_stream, drain, read_files, sessions, upsert, windowed
+from quarry.streaming.sketches import cuckoo_stream, drain, drain_to, read_files, sessions, upsert, windowed
 
 
 def test_monoids(spark, sf):
@@ -22,6 +22,12 @@ def test_monoids(spark, sf):
         assert same_rows(drain(build(stream()), f"m_{name}"), build(batch))
 
 
+def test_drain_to_a_table(spark, sf, tmp_path):
+    build = lambda df: CountMinSketch.build(df, "user_id", CMSParams(50, 3)).state
+    got = drain_to(build(read_files(spark, sf, "events.parquet")), str(tmp_path / "out"))
+    assert same_rows(got, build(spark.read.parquet(f"{sf}/events.parquet")))
+
+
 def test_windows_and_sessions(spark, sf):
     stream = windowed(read_files(spark, sf, "events.parquet"), "ts", "1 hour", "1 hour")
     got = drain(HyperLogLog.build(stream, "user_id", HLLParams(64), ("window_start",)).state, "w")
