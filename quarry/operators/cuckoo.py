@@ -194,17 +194,20 @@ class CuckooFilter:
         params, replayed = self.params, self._replayed
 
         def go_on(held: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-            shard = int((held if len(held) else log)["shard"].iloc[0])
+            shard = int((held if len(held) else log).iloc[0, 0])
             table, rejected = Table(params, shard), 0
             for _, b, s, fp in held.itertuples(index=False, name=None):
                 if s < 0:
                     rejected += fp
                 else:
                     table.buckets[b].set(s, fp)
-            log = log.sort_values("o", kind="stable") if len(log) else pd.DataFrame({"fp": [], "i": [], "plus": []})
-            return replayed(table, shard, rejected, log, destructive)
+            log = pd.DataFrame(log.to_numpy(), columns=names) if len(log) else pd.DataFrame(columns=names)
+            return replayed(table, shard, rejected, log.sort_values("o", kind="stable"), destructive)
 
-        return CuckooFilter(params, self.state.groupBy("shard").cogroup(log.groupBy("shard")).applyInPandas(go_on, _STATE))
+        # other names: a filter can be merged with itself, and then both sides come from one state
+        names = ["shard", "fp", "i", "plus", "o"]
+        renamed = log.select(*names).toDF(*(f"log_{c}" for c in names))
+        return CuckooFilter(params, self.state.groupBy("shard").cogroup(renamed.groupBy("log_shard")).applyInPandas(go_on, _STATE))
 
     def add(self, df: DataFrame, column: str, order: str, op: str | None = None, destructive: bool = False) -> CuckooFilter:
         """With more elements in the given order; with op, '-' rows are removed. The number of shards stays."""
