@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+from quarry.llm.common import tidy
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
 
 #: Ids are kept as little-endian unsigned 32-bit integers.
@@ -199,7 +201,7 @@ def encode(docs: DataFrame, name: str, text_col: str = "text", ids_col: str = "i
                 new += [pa.array([x[k] for x in both], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(f.name for f in more)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *more]))
 
 
 def decode(df: DataFrame, name: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -214,4 +216,4 @@ def decode(df: DataFrame, name: str, ids_col: str = "ids", out_col: str = "decod
             got = [None if x is None else decode_bytes(x, name) for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, out_col])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())]))

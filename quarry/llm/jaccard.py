@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import settle
+from quarry.llm.common import settle, tidy
 from quarry.llm.components import components
 from quarry.llm.shingles import U64, shingle_set
 
@@ -51,7 +51,7 @@ def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U64), *found]).view(np.int64))], names=["x"])
 
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0).select(text_col)
-    got = some.mapInArrow(run, "x long").groupBy("x").count().where("count > 2").orderBy(F.desc("count"), "x").limit(COMMON).toArrow()
+    got = some.mapInArrow(tidy(run), "x long").groupBy("x").count().where("count > 2").orderBy(F.desc("count"), "x").limit(COMMON).toArrow()
     x, count = got.column("x").to_numpy().view(U64), got.column("count").to_numpy()
     order = np.argsort(x)
     return x[order], count[order]
@@ -79,7 +79,7 @@ def prefixes(docs: DataFrame, fingerprint: Callable[[np.ndarray], np.uint64], wo
             new = (pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()))))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *new], names=[f.name for f in fields])
 
-    return docs.select(*keys, text_col).mapInArrow(run, T.StructType(fields))
+    return docs.select(*keys, text_col).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def _held_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
@@ -155,7 +155,7 @@ def _short_runs(rows: DataFrame) -> DataFrame:
             yield from pairs(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(run, "kind int, u long, v long, n long, at long")
+    return rows.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(tidy(run), "kind int, u long, v long, n long, at long")
 
 
 def _with_pivots(rows: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def _across_labels(rows: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], names=["u", "v"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(parts, "x", "i", "j").sortWithinPartitions("x", "i", "j").mapInArrow(run, "u long, v long")
+    return cells.repartition(parts, "x", "i", "j").sortWithinPartitions("x", "i", "j").mapInArrow(tidy(run), "u long, v long")
 
 
 def _alike_pairs(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _alike_pairs(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
     first, second = texts.select(F.col("node").alias("u"), F.col("t").alias("tu")), texts.select(F.col("node").alias("v"), F.col("t").alias("tv"))
-    return pairs.join(first.hint("merge"), "u").join(second.hint("merge"), "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    return pairs.join(first.hint("merge"), "u").join(second.hint("merge"), "v").select("u", "v", "tu", "tv").mapInArrow(tidy(run), "u long, v long")
 
 
 def near_sets(docs: DataFrame, fingerprint: Callable[[np.ndarray], np.uint64], close: Callable[[DataFrame], DataFrame], words: int, keys: list[str], text_col: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.bpe import IDS, TOGETHER, Encoder, small_batches
-from quarry.llm.common import settle
+from quarry.llm.common import settle, tidy
 
 BIN = np.int64(1) << 32
 
@@ -48,7 +48,7 @@ def cut(docs: DataFrame, capacity: int = 2048, name: str = "byte_bpe_50k.json",
             arrays = [b.column(0).take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays([*arrays, *with_ids * [pa.array(out, pa.binary())]], names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import tidy
+
 SYMBOLS, DIGITS, ENDS = "#*$%&|<>", "0123456789", ".!?:;\"'”»"
 FEATURES = ("distinct_words", "distinct_triples", "equal_neighbours", "symbols", "shouts", "upper_words", "digits", "word_length", "log_words", "ends", "repeated_line", "long_words")
 #: Training documents at most (the labelled ids of least hash), and lines of one: longer documents are left out of training whole.
@@ -171,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())]
-    got = picked.mapInArrow(run, T.StructType(fields)).where("length(x) > 0").collect()
+    got = picked.mapInArrow(tidy(run), T.StructType(fields)).where("length(x) > 0").collect()
     got.sort(key=lambda r: (r.id, r.x))
     return fit([(np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)), r.y) for r in got])
 
@@ -202,4 +204,4 @@ def score(docs: DataFrame, model: Model, out_col: str = "score", text_col: str =
                 at += n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarry.llm.common import settle
+from quarry.llm.common import settle, tidy
 
 HASH, BUCKET, PART, START, PLACE, TO = "__q_hash", "__q_bucket", "__q_part", "__q_start", "__q_place", "__q_to"
 #: A power of two above any number of parts that one bucket is split into; buckets whose sizes are added up together.
@@ -102,7 +102,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket
         if held:
             yield from permute(held)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

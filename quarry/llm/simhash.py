@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import settle
+from quarry.llm.common import settle, tidy
 from quarry.llm.components import components
 from quarry.llm.jaccard import near_sets
 from quarry.llm.shingles import U64, shingle_hashes
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
             f = np.array([fingerprint(shingle_hashes(x.as_py(), words)) for x in b.column(1)], U64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], names=["id", "f0"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(tidy(run), T.StructType(fields))
 
 
 class Ring:
@@ -211,7 +211,7 @@ def _in_runs(distinct: DataFrame, radius: int, chain: int, most: int) -> DataFra
             yield from out(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.select("f0").mapInArrow(spread, keyed).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(links, "kind int, u long, v long").distinct()
+    return distinct.select("f0").mapInArrow(tidy(spread), keyed).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(links), "kind int, u long, v long").distinct()
 
 
 def link_fingerprints(distinct: DataFrame, radius: int, chain: int | None = None, most: int = LONG_RUN) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import settle
+from quarry.llm.common import settle, tidy
 
 U64 = np.uint64
 GRAM = 32
@@ -138,7 +138,7 @@ def _first_digits(docs: DataFrame, window: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=_PLACES.names)
 
-    return docs.select("cid", "sha", "text").mapInArrow(run, _PLACES)
+    return docs.select("cid", "sha", "text").mapInArrow(tidy(run), _PLACES)
 
 
 def _known_digits(docs: DataFrame, window: int) -> np.ndarray:
@@ -156,7 +156,7 @@ def _apart(digits: DataFrame, known: np.ndarray) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.isin(b.column(0).to_numpy(), sent.value))], names=[*b.schema.names, "known"])
 
-    return digits.mapInArrow(run, T.StructType([*_PLACES.fields, T.StructField("known", T.BooleanType())]))
+    return digits.mapInArrow(tidy(run), T.StructType([*_PLACES.fields, T.StructField("known", T.BooleanType())]))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str, most: int, size) -> Iterator[pa.Table]:
@@ -234,7 +234,7 @@ def _repeated(digits: DataFrame, most: int) -> DataFrame:
 
     parts = int(digits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.when(F.col("known"), F.xxhash64("cid", "place")).otherwise(0)
-    return digits.repartition(parts, "digit", salt).sortWithinPartitions("digit").mapInArrow(run, "cid long, place int, hot boolean")
+    return digits.repartition(parts, "digit", salt).sortWithinPartitions("digit").mapInArrow(tidy(run), "cid long, place int, hot boolean")
 
 
 CONTEXT = T.StructType([T.StructField(n, k) for n, k in (("digit", T.LongType()), ("doc", T.LongType()), ("start", T.IntegerType()), ("before", T.IntegerType()), ("windows", T.IntegerType()), ("context", T.BinaryType()))])
@@ -325,7 +325,7 @@ def _contexts(found: DataFrame, window: int) -> DataFrame:
         if rows:
             yield out(rows)
 
-    return found.mapInArrow(run, CONTEXT)
+    return found.mapInArrow(tidy(run), CONTEXT)
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -414,7 +414,7 @@ def _ranges(contexts: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=RANGES.names)
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(parts, "digit").sortWithinPartitions("digit").mapInArrow(run, RANGES)
+    return contexts.repartition(parts, "digit").sortWithinPartitions("digit").mapInArrow(tidy(run), RANGES)
 
 
 def union_of(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -499,4 +499,4 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
                     o.append(x)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(fields) - 4], pa.array(kept, pa.string() if digest_col or as_text else pa.binary()), *(pa.array(o, pa.int64()) for o in numbers)], names=[f.name for f in fields])
 
-    return rows.mapInArrow(cut, T.StructType(fields))
+    return rows.mapInArrow(tidy(cut), T.StructType(fields))

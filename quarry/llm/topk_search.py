@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import settle
+from quarry.llm.common import settle, tidy
 
 #: Levels of a component's grid (256 at most), vectors of a stored block, queries that are bounded together, candidates that a task holds before it prunes them.
 LEVELS, BLOCK, TOGETHER, HELD = 64, 2048, 256, 1 << 20
@@ -73,7 +73,7 @@ def _pack(stored: DataFrame, cells: bool) -> DataFrame:
                     low, width, data = approximate(v) if cells else (v[:0], v[:0], v)
                     yield pa.RecordBatch.from_pylist([{"m": m, "rows": part.column(0).to_numpy().tobytes(), "ids": part.column(1).to_numpy().tobytes(), "low": low.tobytes(), "width": width.tobytes(), "cells": data.tobytes()}], pa.schema([("m", pa.int32()), *((n, pa.binary()) for n in ("rows", "ids", "low", "width", "cells"))]))
 
-    return stored.select("row", "id", "v").mapInArrow(run, _BLOCKS)
+    return stored.select("row", "id", "v").mapInArrow(tidy(run), _BLOCKS)
 
 
 class _Asked:
@@ -140,7 +140,7 @@ def _scan(dealt: DataFrame, k: int) -> DataFrame:
         for a in asked.values():
             yield from a.out()
 
-    return dealt.mapInArrow(run, "query long, row long, low double, high double")
+    return dealt.mapInArrow(tidy(run), "query long, row long, low double, high double")
 
 
 def _exact(pairs: DataFrame, stored: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def _exact(pairs: DataFrame, stored: DataFrame) -> DataFrame:
 
     # the queries' vectors first: one of them goes to many candidates, so sorted joins that Spark can split
     both = pairs.join(stored.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q")).hint("merge"), "query").join(stored.hint("merge"), "row")
-    return both.select("query", "row", "query_id", "id", "q", "v").mapInArrow(run, "query long, row long, query_id long, id long, score long")
+    return both.select("query", "row", "query_id", "id", "q", "v").mapInArrow(tidy(run), "query long, row long, query_id long, id long, score long")
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block_bytes: int = 16 << 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
