@@ -71,6 +71,14 @@ def all_set(packed: Column, positions: list[Column]) -> Column:
     return hit
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with these columns, which a filter on what is made of them doesn't compute again for each use.
+
+    As a generator's output they stay where they are, while filters on df's own columns pass below.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def probe(df: DataFrame, c: Column, pair: tuple[Column, Column], spread, state: DataFrame, size: int, by: tuple[str, ...], out: str, packed_bits: int = PACKED_BITS, packed: DataFrame | None = None) -> DataFrame:
     """df with a boolean column out: all positions of the row are set (in the filter of its group). Null elements are in no filter.
 
@@ -80,7 +88,7 @@ def probe(df: DataFrame, c: Column, pair: tuple[Column, Column], spread, state:
     """
     df = df.drop(out)
     if not by and size <= min(packed_bits, PACKED_BITS):
-        hashed = df.withColumns({"__q_a": pair[0], "__q_b": pair[1]})
+        hashed = computed_once(df, {"__q_a": pair[0], "__q_b": pair[1]})
         hit = all_set(words(gather(state, (), size) if packed is None else packed).scalar(), spread(F.col("__q_a"), F.col("__q_b")))
         return hashed.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__q_a", "__q_b")
     keys = df.where(c.isNotNull()).select(*by, c.alias("__q_e"), pair[0].alias("__q_x"), pair[1].alias("__q_y")).distinct()
