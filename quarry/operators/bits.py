@@ -90,7 +90,7 @@ def probe(df: DataFrame, c: Column, pair: tuple[Column, Column], spread, state:
     if not by and size <= min(packed_bits, PACKED_BITS):
         hashed = computed_once(df, {"__q_a": pair[0], "__q_b": pair[1]})
         hit = all_set(words(gather(state, (), size) if packed is None else packed).scalar(), spread(F.col("__q_a"), F.col("__q_b")))
-        return hashed.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__q_a", "__q_b")
+        return hashed.withColumn(out, c.isNotNull() & F.coalesce(hit, F.lit(False))).drop("__q_a", "__q_b")
     keys = df.where(c.isNotNull()).select(*by, c.alias("__q_e"), pair[0].alias("__q_x"), pair[1].alias("__q_y")).distinct()
     cells = positions(keys, (F.col("__q_x"), F.col("__q_y")), spread, by, F.col("__q_e"))
     k = len(spread(F.lit(0), F.lit(0)))

@@ -423,7 +423,7 @@ class ScalableBloomFilter(Filter):
             hit = F.lit(False)
             for i, f in reversed(list(enumerate(filters))):
                 hit = hit | bits.all_set(packed, [e + starts[i] for e in f.spread(F.col(f"__q_a{i}"), F.col(f"__q_b{i}"))])
-            return bits.computed_once(got, pairs).withColumn(out, F.coalesce(hit, F.lit(False))).drop(*pairs)
+            return bits.computed_once(got, pairs).withColumn(out, c.isNotNull() & F.coalesce(hit, F.lit(False))).drop(*pairs)
         asked = got.where(c.isNotNull()).select(c.alias("e")).distinct().withColumn("generation", F.explode(F.sequence(F.lit(0), F.lit(self.generations - 1))))
         cells = self._positions(asked, self.params, [f.params for f in filters]).join(self.state, ["generation", "bit"], "left_semi")
         hits = cells.groupBy("e", "generation").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k")).where("n = k").select(F.col("e").alias("__q_e")).distinct().withColumn(out, F.lit(True))

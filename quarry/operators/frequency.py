@@ -13,11 +13,13 @@ from pyspark.sql.window import Window
 
 from quarry.functions.hashing import SPECS, XXH64, HashSpec, element, from_pair, pair
 from quarry.functions.params import DEFAULT_SEED, check_rate
-from quarry.operators.bits import positions, same_rows, single
+from quarry.operators.bits import computed_once, positions, same_rows, single
 from quarry.operators.bloom import seed_in, seed_out
 
 #: Totals that an exact top-k exports as JSON at most; save() of sources/store.py has no such bound.
 EXPORTED = 1 << 20
+#: Cells up to which a sketch is packed into one value that all tasks get: two megabytes.
+PACKED_CELLS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -69,10 +71,29 @@ class CountMinSketch:
         both = self.state.unionByName(other.state)
         return CountMinSketch(self.params, both.groupBy(*self.by, "row", "col").agg(F.sum("cnt").alias("cnt")), self.by)
 
-    def estimate(self, keys: DataFrame, column: str, out: str = "estimate") -> DataFrame:
-        """keys with the estimated weight of each element; null elements have 0."""
+    def cells(self) -> DataFrame:
+        """One row, one column: all counts, row after row."""
+        n = self.params.rows * self.params.columns
+        none = self.state.sparkSession.range(0, n, 1, 1).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x"))
+        held = self.state.select((F.col("row").cast("long") * self.params.columns + F.col("col")).alias("w"), F.col("cnt").alias("x"))
+        rows = held.unionAll(none).groupBy("w").agg(F.sum("x").alias("x"))
+        return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("cells"))
+
+    def estimate(self, keys: DataFrame, column: str, out: str = "estimate", packed_cells: int = PACKED_CELLS) -> DataFrame:
+        """keys with the estimated weight of each element; null elements have 0.
+
+        A sketch of up to packed_cells cells comes as one value to all tasks; a larger one, or one
+        with groups, is joined by cell.
+        """
         c = element(column, dict(keys.dtypes)[column])
-        keys = keys.drop(out).withColumn("__q_e", c)
+        p, keys = self.params, keys.drop(out)
+        if not self.by and p.rows * p.columns <= min(packed_cells, PACKED_CELLS):
+            a, b = pair(c, p.columns, p.seed, p.spec)
+            packed = self.cells().scalar()
+            found = [F.get(packed, (e + i * p.columns).cast("int")) for i, e in enumerate(from_pair(F.col("__q_a"), F.col("__q_b"), p.columns, p.rows))]
+            least = F.least(*found) if p.rows > 1 else found[0]
+            return computed_once(keys, {"__q_a": a, "__q_b": b}).withColumn(out, F.coalesce(F.when(c.isNotNull(), least), F.lit(0).cast("long"))).drop("__q_a", "__q_b")
+        keys = keys.withColumn("__q_e", c)
         cells = self._cells(keys.where("__q_e is not null").select(*self.by, "__q_e").distinct(), F.col("__q_e"), F.col("__q_e"))
         found = cells.join(self.state, [*self.by, "row", "col"], "left").groupBy(*self.by, "__q_e").agg(F.min(F.coalesce("cnt", F.lit(0))).alias(out))
         joined = keys.join(found, [*self.by, "__q_e"], "left")

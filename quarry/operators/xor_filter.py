@@ -129,7 +129,7 @@ class XorFilter:
         want = h.bitwiseXOR(F.shiftrightunsigned(h, 32))
         mask = F.lit(-1 if self.params.width == 64 else (1 << self.params.width) - 1).cast("long")
         hit = want.bitwiseXOR(slot[0]).bitwiseXOR(slot[1]).bitwiseXOR(slot[2]).bitwiseAND(mask) == 0
-        return got.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__q_shard", "__q_seed", "__q_block", "__q_prints", "__q_key", "__q_h")
+        return got.withColumn(out, c.isNotNull() & F.coalesce(hit, F.lit(False))).drop("__q_shard", "__q_seed", "__q_block", "__q_prints", "__q_key", "__q_h")
 
     def semi_join(self, df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
         return self.probe(df, column, "__q_has").where("__q_has").drop("__q_has").join(keys.select(F.col(key).alias(column)), column, "left_semi")

@@ -117,6 +117,16 @@ def test_partitioned(spark):
     assert 0.4 < f.load() < 0.6 and f.slices().agg(F.max("idx")).first()[0] < 14_378
 
 
+def test_null_is_in_no_filter(spark):
+    """Not even in one whose bits are all set."""
+    full = lambda n: spark.range(n).withColumnRenamed("id", "bit")
+    df = spark.createDataFrame([("a",), (None,)], "e string")
+    p = PartitionedParams.create(4, 0.1)
+    all_set = (BloomFilter(BloomParams(64, 3), full(64)), PartitionedBloomFilter(p, full(p.slices * p.slice_bits)), ScalableBloomFilter(ScalableParams(4, 0.1), full(200).withColumn("generation", F.lit(0)), 1))
+    for f in all_set:
+        assert {r.e: r.has for r in f.probe(df, "e").collect()} == {"a": True, None: False}
+
+
 def test_scalable_growth(spark):
     """10,243 insertions into a filter of 128 at 0.0001 make six generations."""
     names = ["alice", "bob", "carl", *map(str, range(10_240))]

@@ -47,6 +47,13 @@ def test_cms_bound(spark):
     assert sum(r.estimate - r["count"] > 0.005 * len(draws) for r in got) / len(got) <= 0.03
 
 
+def test_cms_packed_and_joined_estimates_agree(spark):
+    df = spark.createDataFrame([(f"k{i % 37}", 1 + i % 5) for i in range(300)] + [(None, 2)], "e string, w long")
+    s = CountMinSketch.build(df, "e", CMSParams(31, 3), "w")
+    got = [sorted(map(tuple, s.estimate(df, "e", packed_cells=n).collect()), key=repr) for n in (1 << 18, 0)]
+    assert got[0] == got[1]
+
+
 def test_cms_refuses_bad_weights(spark):
     df = spark.createDataFrame([("a", -1)], "e string, w long")
     with pytest.raises(Exception, match="positive"):
