@@ -19,7 +19,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Large stars link the larger neighbours of a node to its least one, small stars the smaller
     ones; both keep the components. Rounds are written to the shared folder and end when one
     changes nothing. Joins go by node with both sides read from tables, so that Spark can split a
-    hot node. Self-loops and repeated edges are allowed.
+    hot node. Self-loops and repeated edges are allowed. The number of rounds grows with the
+    logarithm of the longest path; more than max_rounds of them raise.
     """
     edges = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     seen = None

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, quality_crf, simhash, url_filter
+from quarry.llm import bpe, jaccard, quality_crf, simhash, url_filter
 from quarry.llm import queries as Q
 from quarry.llm.components import components
 from quarry.llm.line_dedup import dedup_lines
@@ -25,6 +25,7 @@ from quarry.llm.substring_dedup import anchors, remove_repeats, union_of
 from quarry.llm.topk_search import top_k
 
 from . import fixtures as X
+from . import test_jaccard as J
 
 
 @pytest.fixture(scope="module")
@@ -196,6 +197,21 @@ def test_simhash_components(spark, docs, none, chain):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_runs_over_many_gathered_pieces(spark, docs, monkeypatch):
+    """Tasks gather rows in pieces; runs that lie across pieces, or are longer than one, lose nothing."""
+    monkeypatch.setattr(simhash, "GATHER", 16)
+    monkeypatch.setattr(simhash, "LONG_RUN", 6)
+    monkeypatch.setattr(jaccard, "GATHER", 16)
+    monkeypatch.setattr(jaccard, "ALL", 3)
+    monkeypatch.setattr(jaccard, "CELL", 4)
+    got = [(r.id, format(r.f0 % 2**64, "016x"), r.component_id) for r in simhash.near_duplicates(docs, chain=1).collect()]
+    assert X.multiset(got) == X.multiset(X.simhash_components(X.ROWS))
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(i, " ".join(J.edited(rng, base, rng.choice([0, 1, 2, 3])) + [f"own{i}-{k}" for k in range(rng.choice([0, 0, 3, 40]))])) for i in range(90)]
+    assert sorted(r.doc_id for r in simhash.keep_one(X.documents(spark, rows)).collect()) == J.kept(rows)[0]
+
+
 @pytest.mark.parametrize(("radius", "chain"), [(4, 1), (4, 2), (4, 3), (4, 4), (4, 5), (8, 3), (2, 2)])
 def test_pigeonring_loses_nothing(radius, chain):
     """Every pair within the radius shares a key of a start from which the chain holds."""
