@@ -19,8 +19,9 @@ from quarry.functions.params import DEFAULT_SEED, fingerprint_bits, generation_p
 from quarry.operators.bits import BitSet, high_bit, xor_bytes
 from quarry.operators.bloom import BloomFilter, BloomParams, CountingBloomFilter, PartitionedBloomFilter, PartitionedParams, ScalableBloomFilter, ScalableParams
 from quarry.operators.cardinality import HLLParams, HyperLogLog, native_hll, native_hll_estimate
-from quarry.operators.cuckoo import CuckooFilter, CuckooParams, hex_prefix_location, turn
+from quarry.operators.cuckoo import Bucket, CuckooFilter, CuckooParams, hex_prefix_location, turn
 from quarry.operators.frequency import CMSParams, CountMinSketch, MinHeap, TopK
+from quarry.operators.interfaces import with_seed
 from quarry.operators.reconcile import IBLT, IBLTParams
 from quarry.operators.similarity import MinHash
 from quarry.operators.xor_filter import XorFilter, XorParams
@@ -364,7 +365,7 @@ def xor_geometry(spark, d):
     return f.state.select("shard", "block", F.size("prints").cast("long").alias("slots"))
 
 
-CUCKOO = CuckooParams(256, 12, 4, 500, 4, spec=PORTABLE)
+CUCKOO = CuckooParams(1024, 12, 4, 500, 4, spec=PORTABLE)
 
 
 def _prints(where: str) -> str:
@@ -696,6 +697,124 @@ def json_roundtrip(spark, d):
     return spark.createDataFrame([(k, from_json(spark, s.to_json()).equals(s)) for k, s in made.items()], "type string, same boolean")
 
 
+# What JSON gives back, compared with states that SQL computes.
+
+@query(_BITS)
+def bloom_json(spark, d):
+    return from_json(spark, _bloom(spark, d).to_json()).state
+
+
+@query(_CELLS.replace("GROUP BY idx", "GROUP BY idx HAVING sum(w) <> 0"))
+def counting_json(spark, d):
+    return from_json(spark, CountingBloomFilter.build(_changelog(spark, d), "o_custkey", COUNTING, op="op").to_json()).state
+
+
+@query(_SLICES)
+def partitioned_json(spark, d):
+    return from_json(spark, _partitioned(spark, d).to_json()).slices()
+
+
+@query(_SCALABLE_BITS)
+def scalable_json(spark, d):
+    return from_json(spark, _scalable(spark, d).to_json()).state.select(F.col("generation").cast("int").alias("generation"), "bit")
+
+
+@query(_prints("p_size > 25"))
+def cuckoo_json(spark, d):
+    f = CuckooFilter.build(t(spark, d, "part").where("p_size > 25"), "p_partkey", "p_partkey", CUCKOO)
+    return _held_prints(from_json(spark, f.to_json()))
+
+
+@query(_BOUND.format(what="'xor'", source="part WHERE p_size > 25"))
+def xor_json(spark, d):
+    """A filter read back still finds all keys and few strangers."""
+    keys = t(spark, d, "part").where("p_size > 25").select("p_partkey")
+    f = from_json(spark, XorFilter.build(keys, "p_partkey", XorParams(16, shard_keys=500)).to_json())
+    return _found("xor", f, keys, _strangers(spark, 20_000, "p_partkey"), "p_partkey", 0.0005)
+
+
+@query(_CMS)
+def cms_json(spark, d):
+    return from_json(spark, CountMinSketch.build(_lines(spark, d), "l_partkey", CMS, "w").to_json()).state
+
+
+@query(_registers("events", "user_id"))
+def hll_json(spark, d):
+    return from_json(spark, HyperLogLog.build(t(spark, d, "events"), "user_id", HLL).to_json()).state
+
+
+@query(_iblt_sql())
+def iblt_json(spark, d):
+    s = IBLT.build(t(spark, d, "orders").where("o_orderkey % 50 <> 7").select(F.col("o_orderkey").alias("e")), "e", IB)
+    return from_json(spark, s.to_json()).state
+
+
+@query("SELECT DISTINCT p_size::BIGINT AS bit FROM part WHERE p_size >= 0 AND p_size < 64")
+def bitset_json(spark, d):
+    return BitSet.from_json(spark, BitSet.of(t(spark, d, "part"), "p_size", 64).to_json()).state
+
+
+# ------------------------------------------------------------------ parameters, seeds, small structures
+
+@query(f"SELECT DISTINCT idx AS bit FROM {cells(SEGMENT, 'c_custkey', BLOOM.size, BLOOM.hashes, seed=7)}")
+def bloom_bits_of_a_seed(spark, d):
+    """Another seed, another state."""
+    return BloomFilter.build(_building(spark, d), "c_custkey", with_seed(BLOOM, 7)).state
+
+
+@query("""SELECT error, accuracy, ceil(exp(1) / error)::BIGINT AS columns, greatest(1, ceil(round(ln(1 / (1 - accuracy)), 9)))::BIGINT AS rows, greatest(1, ceil(ln(1 / accuracy)))::BIGINT AS rows_reference
+FROM (VALUES (0.001::DOUBLE, 0.999::DOUBLE), (0.01, 0.9), (0.05, 0.5), (0.00001, 0.99)) v(error, accuracy)""")
+def cms_params(spark, d):
+    rows = []
+    for error, accuracy in ((0.001, 0.999), (0.01, 0.9), (0.05, 0.5), (0.00001, 0.99)):
+        p, q = CMSParams.create(error, accuracy), CMSParams.create(error, accuracy, reference=True)
+        rows.append((error, accuracy, p.columns, p.rows, q.rows))
+    return spark.createDataFrame(rows, "error double, accuracy double, columns long, rows long, rows_reference long")
+
+
+@query(f"""SELECT count(*) AS used, {CUCKOO.buckets * CUCKOO.bucket_size * CUCKOO.shards} - count(*) AS free, {CUCKOO.buckets * CUCKOO.bucket_size * CUCKOO.shards}::BIGINT AS size,
+round(count(*) / {CUCKOO.buckets * CUCKOO.bucket_size * CUCKOO.shards}, 9) AS load, 0::BIGINT AS n_rejected, round(2 * {CUCKOO.bucket_size} / pow(2, {CUCKOO.fp_bits}), 9) AS rate FROM part WHERE p_size > 25""")
+def cuckoo_load(spark, d):
+    f = CuckooFilter.build(t(spark, d, "part").where("p_size > 25"), "p_partkey", "p_partkey", CUCKOO)
+    return f.load().withColumns({"load": F.round("load", 9), "rate": F.lit(round(f.rate(), 9)), "n_rejected": F.col("n_rejected").cast("long")})
+
+
+@query("SELECT b::INTEGER AS b, p, ceil(round(log2(1 / p) + log2(2 * b), 9))::INTEGER AS bits FROM (VALUES (1), (2), (4)) x(b), (VALUES (0.1::DOUBLE), (0.01), (0.000001)) y(p)")
+def cuckoo_fingerprint_bits(spark, d):
+    return spark.createDataFrame([(b, p, fingerprint_bits(b, p)) for b in (1, 2, 4) for p in (0.1, 0.01, 0.000001)], "b int, p double, bits int")
+
+
+@query("SELECT * FROM (VALUES ('length', 3), ('next_empty_slot', 1), ('has', 1), ('free', 1), ('removed', 1), ('equal', 1), ('kicked', 30)) v(what, value)")
+def bucket_slots(spark, d):
+    """A bucket of four slots: added 10 to 40, 20 removed, 30 swapped out for 50."""
+    b = Bucket(4)
+    for x in (10, 20, 30, 40):
+        b.add(x)
+    removed, kicked = b.remove(20), b.swap(2, 50)
+    rows = [("length", b.length), ("next_empty_slot", b.next_empty_slot()), ("has", int(b.has(50))), ("free", int(b.is_free())), ("removed", int(removed)), ("equal", int(b.equals(Bucket(4, [10, None, 50, 40])))), ("kicked", kicked)]
+    return spark.createDataFrame(rows, "what string, value int")
+
+
+_FEW = "(SELECT DISTINCT p_brand AS e FROM part)"
+
+
+@query(f"SELECT e AS value, true AS has, (SELECT count(*) FROM {_FEW} t) AS length, 0::BIGINT AS left_over FROM {_FEW} s")
+def iblt_entries(spark, d):
+    """All entries of a table listed and probed, their number, and what is left when all are removed."""
+    items = t(spark, d, "part").select(F.col("p_brand").alias("e")).distinct()
+    s = IBLT.build(items, "e", IBLTParams.fitting(200, items, alpha=3.0, hashes=4))
+    listed = s.list_entries()
+    return s.probe(listed, "value").select("value", "has", F.lit(s.length()).alias("length"), F.lit(s.remove(items, "e").length()).alias("left_over"))
+
+
+@query("""SELECT n, min(p) AS prime FROM (VALUES (2), (90), (200), (1000), (20000)) v(n), range(2, 20100) r(p)
+WHERE p >= n AND NOT EXISTS (SELECT 1 FROM range(2, 142) q(f) WHERE f < p AND p % f = 0) GROUP BY n""")
+def minhash_primes(spark, d):
+    return spark.createDataFrame([(n, next_prime(n)) for n in (2, 90, 200, 1000, 20_000)], "n int, prime long")
+
+
+# ------------------------------------------------------------------ streams
+
 @query(_registers("(SELECT *, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour FROM events)", "user_id", "hour"))
 def stream_hll_windows(spark, d):
     """Registers of each hour, kept up to date by a stream."""
