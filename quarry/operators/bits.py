@@ -119,16 +119,27 @@ def export(state: DataFrame, size: int) -> dict:
     return {"size": capacity(size), "content": base64.b64encode(to_bytes(state, size)).decode()}
 
 
-def load(spark: SparkSession, data: dict | list) -> DataFrame:
-    """The state from {size, content}, or from a list of 0 and 1 as older exports have it."""
+def exports(state: DataFrame, part: str, count: int, size: int) -> list[dict]:
+    """As export(), of parts 0 to count - 1 of a state (part, bit) at once."""
+    out = [bytearray(-(-size // 64) * 8) for _ in range(count)]
+    for r in gather(state.select(part, "bit"), (part,)).toLocalIterator():
+        out[r[part]][8 * r.w : 8 * r.w + 8] = (r.x % (1 << 64)).to_bytes(8, "little")
+    return [{"size": capacity(size), "content": base64.b64encode(bytes(x[: capacity(size) // 8])).decode()} for x in out]
+
+
+def set_positions(data: dict | list) -> list[int]:
+    """The positions in {size, content}, or in a list of 0 and 1 as older exports have it."""
     if isinstance(data, list):
-        on = [(i,) for i, x in enumerate(data) if x]
-    else:
-        if not isinstance(data.get("size"), int) or not isinstance(data.get("content"), str):
-            raise ValueError("a bit set needs a numeric size and a string content")
-        raw = base64.b64decode(data["content"])
-        on = [(8 * i + j,) for i, byte in enumerate(raw) for j in range(8) if byte >> j & 1]
-    return spark.createDataFrame(on, "bit long")
+        return [i for i, x in enumerate(data) if x]
+    if not isinstance(data.get("size"), int) or not isinstance(data.get("content"), str):
+        raise ValueError("a bit set needs a numeric size and a string content")
+    raw = base64.b64decode(data["content"])
+    return [8 * i + j for i, byte in enumerate(raw) for j in range(8) if byte >> j & 1]
+
+
+def load(spark: SparkSession, data: dict | list) -> DataFrame:
+    """The state of what set_positions() reads."""
+    return spark.createDataFrame([(i,) for i in set_positions(data)], "bit long")
 
 
 class BitSet:

@@ -278,21 +278,20 @@ class PartitionedBloomFilter(BloomFilter):
     def to_json(self) -> str:
         """Of an ungrouped filter."""
         bits.single(self.by)
-        m = self.params.slice_bits
-        rows = self.slices()
-        sets = [bits.export(rows.where(F.col("slice") == i).select(F.col("idx").alias("bit")), m) for i in range(self.params.slices)]
-        p = self.params
+        p, m = self.params, self.params.slice_bits
+        sets = bits.exports(self.slices().withColumnRenamed("idx", "bit"), "slice", p.slices, m)
         return json.dumps({"type": "PartitionedBloomFilter", "_bits": p.bits, "_k": p.slices, "_m": m, "_filter": sets, "_errorRate": p.rate, "_seed": seed_out(p.seed), "_hash": p.spec.name})
 
     @classmethod
     def from_json(cls, spark: SparkSession, text: str) -> PartitionedBloomFilter:
         x = json.loads(text)
         p = PartitionedParams(x["_bits"], x["_k"], x["_errorRate"], seed_in(x["_seed"]), SPECS[x.get("_hash", "xxh64")])
-        state = None
-        for i, s in enumerate(x["_filter"]):
-            part = bits.load(spark, s).withColumn("bit", F.col("bit") + i * p.slice_bits)
-            state = part if state is None else state.unionAll(part)
-        return cls(p, state)
+        return cls(p, spark.createDataFrame([(i,) for i in cls._read(x)], "bit long"))
+
+    @staticmethod
+    def _read(x: dict) -> list[int]:
+        """The set bits of an export."""
+        return [i * math.ceil(x["_bits"] / x["_k"]) + b for i, s in enumerate(x["_filter"]) for b in bits.set_positions(s)]
 
 
 @dataclass(frozen=True)
@@ -450,10 +449,8 @@ class ScalableBloomFilter(Filter):
     def from_json(cls, spark: SparkSession, text: str) -> ScalableBloomFilter:
         x = json.loads(text)
         p = ScalableParams(x["_initial_size"], x["_initial_error_rate"], x["_ratio"], seed_in(x["_seed"]), SPECS[x.get("_hash", "xxh64")])
-        state = None
-        for i, f in enumerate(x["_filters"]):
-            part = PartitionedBloomFilter.from_json(spark, json.dumps(f)).state.select(F.lit(i).alias("generation"), "bit")
-            state = part if state is None else state.unionAll(part)
+        rows = [(i, b) for i, f in enumerate(x["_filters"]) for b in PartitionedBloomFilter._read(f)]
+        state = spark.createDataFrame(rows, "generation int, bit long")
         return cls(p, state, len(x["_filters"]))
 
 
