@@ -111,47 +111,81 @@ def turn(fp: Column, spec: HashSpec) -> Column:
 
 
 class Table:
-    """One shard's buckets."""
+    """One shard's buckets. With overflow, a fingerprint that finds no place lengthens one of its two buckets, so none is rejected."""
 
-    def __init__(self, p: CuckooParams, shard: int):
+    def __init__(self, p: CuckooParams, shard: int, overflow: bool = False):
         self.p, self.buckets, self.rng = p, [Bucket(p.bucket_size) for _ in range(p.buckets)], random.Random(p.seed * 31 + shard)
+        self.overflow, self.full, self.turns = overflow, False, {}
 
     def other(self, i: int, fp: int) -> int:
-        return partner(i, fp, self.p.buckets, self.p.spec)
+        if fp not in self.turns:
+            self.turns[fp] = partner(0, fp, self.p.buckets, self.p.spec)
+        return i ^ self.turns[fp]
+
+    def put(self, b: int, slot: int, fp: int) -> None:
+        """A fingerprint of a stored state, into a slot that may lie past the bucket's size."""
+        slots = self.buckets[b].slots
+        slots.extend([None] * (slot + 1 - len(slots)))
+        slots[slot] = fp
+
+    def is_long(self, b: int) -> bool:
+        return len(self.buckets[b].slots) > self.p.bucket_size
 
     def rows(self, shard: int) -> list[tuple[int, int, int, int]]:
         return [(shard, b, s, x) for b, bucket in enumerate(self.buckets) for s, x in enumerate(bucket.slots) if x is not None]
 
     def add(self, fp: int, i: int, destructive: bool = False) -> bool:
         """Into one of its two buckets, moving others away if both are full. A failure undoes the moves unless destructive."""
-        for b in (i, self.other(i, fp)):
-            if self.buckets[b].add(fp):
+        both = i, self.other(i, fp)
+        for b in both:
+            if not self.is_long(b) and self.buckets[b].add(fp):
                 return True
-        b, undo = self.rng.choice((i, self.other(i, fp))), []
+        if self.full:  # moves failed before, and no slot came free since
+            return self._lengthen(both, fp)
+        new, b, undo = fp, self.rng.choice(both), []
         for _ in range(self.p.max_kicks):
             slot = self.rng.randrange(self.p.bucket_size)
             old = self.buckets[b].swap(slot, fp)
             undo.append((b, slot, old))
             fp, b = old, self.other(b, old)
-            if self.buckets[b].add(fp):
+            if not self.is_long(b) and self.buckets[b].add(fp):
                 return True
-        if not destructive:
+        if self.overflow or not destructive:
             for b, slot, old in reversed(undo):
                 self.buckets[b].set(slot, old)
-        return False
+        self.full = self.overflow
+        return self.overflow and self._lengthen(both, new)
+
+    def _lengthen(self, both: tuple[int, int], fp: int) -> bool:
+        min((self.buckets[b].slots for b in both), key=len).append(fp)
+        return True
 
     def remove(self, fp: int, i: int) -> bool:
-        return self.buckets[i].remove(fp) or self.buckets[self.other(i, fp)].remove(fp)
+        for b in (i, self.other(i, fp)):
+            if self.buckets[b].remove(fp):
+                if self.is_long(b):  # it has no empty slot but this one, which its last fingerprint takes
+                    slots = self.buckets[b].slots
+                    last = slots.pop()
+                    if last is not None:
+                        slots[slots.index(None)] = last
+                else:
+                    self.full = False
+                return True
+        return False
 
 
 _STATE = "shard int, bucket long, slot int, fp long"
 
 
 class CuckooFilter:
-    """State: (shard, bucket, slot, fp); slot -1 and the count in fp for elements that found no place."""
+    """State: (shard, bucket, slot, fp); slot -1 and the count in fp for elements that found no place.
 
-    def __init__(self, params: CuckooParams, state: DataFrame):
-        self.params, self.state = params, state
+    With overflow every element finds a place, whatever the load: slots past the bucket size are what its bucket was
+    lengthened by. Without it, all elements of a shard that rejected some may be in the filter.
+    """
+
+    def __init__(self, params: CuckooParams, state: DataFrame, overflow: bool = False):
+        self.params, self.state, self.overflow = params, state, overflow
 
     def locations(self, c: Column) -> tuple[Column, Column, Column, Column]:
         """Shard, fingerprint (never 0) and both buckets."""
@@ -163,15 +197,15 @@ class CuckooFilter:
         return p.spec.mod(p.spec.of(c, p.seed + 1), p.shards).cast("int"), fp, first, second
 
     @classmethod
-    def build(cls, df: DataFrame, column: str, order: str, params: CuckooParams, op: str | None = None, destructive: bool = False) -> CuckooFilter:
-        """Adds (and with op '-': removes) elements in the given order. Each shard is one task of some 2^17 elements."""
+    def build(cls, df: DataFrame, column: str, order: str, params: CuckooParams, op: str | None = None, destructive: bool = False, overflow: bool = False) -> CuckooFilter:
+        """Adds (and with op '-': removes) elements in the given order. Each shard is one task of some 2^17 elements, if the parameters fit their number."""
         rows = cls._log(df, column, order, params, op)
 
         def replay(pdf: pd.DataFrame) -> pd.DataFrame:
             shard = int(pdf["shard"].iloc[0])
-            return cls._replayed(Table(params, shard), shard, 0, pdf.sort_values("o", kind="stable"), destructive)
+            return cls._replayed(Table(params, shard, overflow), shard, 0, pdf.sort_values("o", kind="stable"), destructive)
 
-        return cls(params, rows.groupBy("shard").applyInPandas(replay, _STATE))
+        return cls(params, rows.groupBy("shard").applyInPandas(replay, _STATE), overflow)
 
     @classmethod
     def _log(cls, df: DataFrame, column: str, order: str, params: CuckooParams, op: str | None) -> DataFrame:
@@ -191,23 +225,23 @@ class CuckooFilter:
 
     def _then(self, log: DataFrame, destructive: bool = False) -> CuckooFilter:
         """The filter after a log (shard, fp, i, plus, o). Each shard's table and log meet in one task."""
-        params, replayed = self.params, self._replayed
+        params, replayed, overflow = self.params, self._replayed, self.overflow
 
         def go_on(held: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
             shard = int((held if len(held) else log).iloc[0, 0])
-            table, rejected = Table(params, shard), 0
+            table, rejected = Table(params, shard, overflow), 0
             for _, b, s, fp in held.itertuples(index=False, name=None):
                 if s < 0:
                     rejected += fp
                 else:
-                    table.buckets[b].set(s, fp)
+                    table.put(b, s, fp)
             log = pd.DataFrame(log.to_numpy(), columns=names) if len(log) else pd.DataFrame(columns=names)
             return replayed(table, shard, rejected, log.sort_values("o", kind="stable"), destructive)
 
         # other names: a filter can be merged with itself, and then both sides come from one state
         names = ["shard", "fp", "i", "plus", "o"]
         renamed = log.select(*names).toDF(*(f"log_{c}" for c in names))
-        return CuckooFilter(params, self.state.groupBy("shard").cogroup(renamed.groupBy("log_shard")).applyInPandas(go_on, _STATE))
+        return CuckooFilter(params, self.state.groupBy("shard").cogroup(renamed.groupBy("log_shard")).applyInPandas(go_on, _STATE), overflow)
 
     def add(self, df: DataFrame, column: str, order: str, op: str | None = None, destructive: bool = False) -> CuckooFilter:
         """With more elements in the given order; with op, '-' rows are removed. The number of shards stays."""
@@ -226,28 +260,31 @@ class CuckooFilter:
         lost = other.state.where("slot < 0")
         both = self._then(more)
         state = both.state.where("slot >= 0").unionAll(both.state.where("slot < 0").unionAll(lost).groupBy("shard", "bucket", "slot").agg(F.sum("fp").alias("fp")))
-        return CuckooFilter(self.params, state)
+        return CuckooFilter(self.params, state, self.overflow and other.overflow)
 
     @classmethod
-    def from_items(cls, df: DataFrame, column: str, order: str, rate: float, n: int | None = None, **more) -> CuckooFilter:
-        return cls.build(df, column, order, CuckooParams.create(max(1, n if n is not None else df.count()), rate, **more))
+    def from_items(cls, df: DataFrame, column: str, order: str, rate: float, n: int | None = None, overflow: bool = True, **more) -> CuckooFilter:
+        return cls.build(df, column, order, CuckooParams.create(max(1, n if n is not None else df.count()), rate, **more), overflow=overflow)
 
     def probe(self, df: DataFrame, column: str, out: str = "has") -> DataFrame:
+        """Perhaps in the filter, or certainly not: elements of a shard that rejected some may all be in it."""
         shard, fp, first, second = self.locations(element(column, dict(df.dtypes)[column]))
         c = element(column, dict(df.dtypes)[column])
         keys = df.where(F.col(column).isNotNull()).select(c.alias("__q_e"), shard.alias("shard"), fp.alias("fp"), F.explode(F.array(first, second)).alias("bucket"))
         hits = keys.distinct().join(self.state.where("slot >= 0"), ["shard", "bucket", "fp"], "left_semi").select("__q_e").distinct().withColumn(out, F.lit(True))
-        return df.drop(out).withColumn("__q_e", c).join(hits, "__q_e", "left").drop("__q_e").withColumn(out, F.coalesce(out, F.lit(False)))
+        found = df.drop(out).withColumn("__q_e", c).join(hits, "__q_e", "left").drop("__q_e").withColumn(out, F.coalesce(out, F.lit(False)))
+        if self.overflow:
+            return found
+        lossy = self.state.where("slot < 0 AND fp > 0").select(F.col("shard").alias("__q_shard"), F.lit(True).alias("__q_lossy")).distinct()
+        rows = found.withColumn("__q_shard", shard).join(F.broadcast(lossy), "__q_shard", "left")
+        return rows.withColumn(out, F.col(out) | (c.isNotNull() & F.coalesce("__q_lossy", F.lit(False)))).drop("__q_shard", "__q_lossy")
 
     def semi_join(self, df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-        """Exact: rows of a shard that rejected elements all go on to the join with the keys."""
-        shard = self.locations(element(column, dict(df.dtypes)[column]))[0]
-        lossy = self.state.where("slot < 0 AND fp > 0").select(F.col("shard").alias("__q_shard"), F.lit(True).alias("__q_lossy")).distinct()
-        rows = self.probe(df, column, "__q_has").withColumn("__q_shard", shard).join(F.broadcast(lossy), "__q_shard", "left")
-        return rows.where(F.col("__q_has") | F.coalesce("__q_lossy", F.lit(False))).drop("__q_has", "__q_shard", "__q_lossy").join(keys.select(F.col(key).alias(column)), column, "left_semi")
+        """Exact: what probe() lets through is joined with the keys."""
+        return self.probe(df, column, "__q_has").where("__q_has").drop("__q_has").join(keys.select(F.col(key).alias(column)), column, "left_semi")
 
     def load(self) -> DataFrame:
-        """(used, free, size, load, n_rejected)."""
+        """(used, free, size, load, n_rejected). With overflow more may be used than the size, and free is below 0 then."""
         size = self.params.buckets * self.params.bucket_size * self.params.shards
         used = F.count_if(F.col("slot") >= 0)
         return self.state.agg(used.alias("used"), (size - used).alias("free"), F.lit(size).cast("long").alias("size"), (used / size).alias("load"), F.coalesce(F.sum(F.when(F.col("slot") < 0, F.col("fp"))), F.lit(0)).alias("n_rejected"))
@@ -270,10 +307,13 @@ class CuckooFilter:
         p = self.params
         tables = [[[None] * p.bucket_size for _ in range(p.buckets)] for _ in range(p.shards)]
         for r in self.state.where("slot >= 0").toLocalIterator():
-            tables[r.shard][r.bucket][r.slot] = r.fp
+            bucket = tables[r.shard][r.bucket]
+            bucket.extend([None] * (r.slot + 1 - len(bucket)))
+            bucket[r.slot] = r.fp
         body = {"_size": p.buckets, "_fingerprintLength": p.fp_bits, "_bucketSize": p.bucket_size, "_maxKicks": p.max_kicks, "_shards": p.shards, "_length": self.length()}
         lost = [[r.shard, r.fp] for r in self.state.where("slot < 0 AND fp > 0").toLocalIterator()]
         body |= {"_rejected": lost} if lost else {}
+        body |= {"_overflow": True} if self.overflow else {}
         filters = [[{"_size": p.bucket_size, "_elements": b, "_length": sum(x is not None for x in b)} for b in t] for t in tables]
         return json.dumps({"type": "CuckooFilter", **body, "_filter": filters, "_seed": seed_out(p.seed), "_hash": p.spec.name})
 
@@ -283,7 +323,7 @@ class CuckooFilter:
         p = CuckooParams(x["_size"], x["_fingerprintLength"], x["_bucketSize"], x["_maxKicks"], x["_shards"], seed_in(x["_seed"]), SPECS[x.get("_hash", "xxh64")])
         rows = [(s, b, i, fp) for s, t in enumerate(x["_filter"]) for b, bucket in enumerate(t) for i, fp in enumerate(bucket["_elements"]) if fp is not None]
         rows += [(s, -1, -1, n) for s, n in x.get("_rejected", [])]
-        return cls(p, spark.createDataFrame(rows, "shard int, bucket long, slot int, fp long"))
+        return cls(p, spark.createDataFrame(rows, "shard int, bucket long, slot int, fp long"), x.get("_overflow", False))
 
 
 def hex_prefix_location(c: Column, size: int, length: int, seed: int = DEFAULT_SEED, spec: HashSpec = XXH64) -> tuple[Column, Column, Column]:

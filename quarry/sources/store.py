@@ -65,7 +65,7 @@ def save(sketch, path: str) -> None:
     head = {"type": kind, "sketched": type(sketch) is frequency.SketchedTopK, "by": list(getattr(sketch, "by", ()))}
     if (p := getattr(sketch, "params", None)) is not None:
         head |= {"params": type(p).__name__, "values": {f.name: _plain(getattr(p, f.name)) for f in fields(p)}}
-    head |= {k: getattr(sketch, k) for k in ("k", "family", "shards", "generations") if hasattr(sketch, k)}
+    head |= {k: getattr(sketch, k) for k in ("k", "family", "shards", "generations", "overflow") if hasattr(sketch, k)}
     sketch.state.write.mode("overwrite").parquet(f"{path}/state")
     spark = sketch.state.sparkSession
     spark.createDataFrame([(json.dumps(head),)], "head string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
@@ -88,6 +88,6 @@ def load(spark: SparkSession, path: str):
         return kind(p, state, head["generations"])
     if kind is xor_filter.XorFilter:
         return kind(p, head["shards"], state)
-    return kind(p, state) if kind is cuckoo.CuckooFilter else kind(p, state, by)
+    return kind(p, state, head.get("overflow", False)) if kind is cuckoo.CuckooFilter else kind(p, state, by)
 
 
