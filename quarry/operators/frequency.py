@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +18,7 @@ from quarry.functions.params import DEFAULT_SEED, check_rate
 from quarry.operators.bits import computed_once, positions, same_rows, single
 from quarry.operators.bloom import seed_in, seed_out
 
-#: Totals that an exact top-k exports as JSON at most; save() of sources/store.py has no such bound.
+#: Totals that an exact top-k exports as one JSON text at most; to_json_lines() and save() of sources/store.py have no such bound.
 EXPORTED = 1 << 20
 #: Cells up to which a sketch is packed into one value that all tasks get: two megabytes.
 PACKED_CELLS = 1 << 18
@@ -180,9 +182,38 @@ class TopK:
         single(self.by)
         rows = self.state.select("value", "frequency", F.col("last").cast("string").alias("last")).limit(EXPORTED + 1).collect()
         if len(rows) > EXPORTED:
-            raise ValueError(f"over {EXPORTED} totals; use save()")
+            raise ValueError(f"over {EXPORTED} totals; use to_json_lines() or save()")
         return json.dumps({"type": "TopK", "_k": self.k, "_lastType": dict(self.state.dtypes)["last"], "_totals": [list(r) for r in rows]})
 
+    def to_json_lines(self) -> DataFrame:
+        """(value): all totals as JSON texts, each what to_json() gives of some of them; the first may be of none. Nothing is collected, so any number goes."""
+        single(self.by)
+        head = {"type": "TopK", "_k": self.k, "_lastType": dict(self.state.dtypes)["last"]}
+
+        def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                last = (None if x is None or x != x else x for x in f["last"].tolist())
+                totals = [list(r) for r in zip(f["value"].tolist(), f["frequency"].tolist(), last, strict=True)]
+                yield pd.DataFrame({"value": [json.dumps(head | {"_totals": totals})]})
+
+        rows = self.state.select("value", "frequency", F.col("last").cast("string").alias("last"))
+        return self.state.sparkSession.createDataFrame([(json.dumps(head | {"_totals": []}),)], "value string").unionAll(rows.mapInPandas(lines, "value string"))
+
+    @classmethod
+    def from_json_lines(cls, texts: DataFrame) -> TopK:
+        """What to_json_lines() of one top-k wrote, in any order."""
+
+        def totals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for text in f["value"]:
+                    yield pd.DataFrame(json.loads(text)["_totals"], columns=["value", "frequency", "last"])
+
+        head = json.loads(texts.first()[0])
+        if head.get("type") != "TopK" or "_totals" not in head:
+            raise ValueError("these are no lines of an exact top-k")
+        held = texts.mapInPandas(totals, "value string, frequency long, last string")
+        return TopK(head["_k"], held.withColumn("last", F.col("last").cast(head["_lastType"])))
+
     @classmethod
     def from_json(cls, spark: SparkSession, text: str) -> TopK:
         """What to_json() of an exact or a sketched top-k wrote."""
