@@ -99,13 +99,13 @@ class XorFilter:
         return self.params.spec.mod(self.params.spec.of(c, self.params.seed + 1), self.shards).cast("int")
 
     @classmethod
-    def build(cls, df: DataFrame, column: str, params: XorParams = XorParams(), n: int | None = None) -> XorFilter:
-        """Of the distinct elements; nulls are passed over, an empty set raises."""
+    def build(cls, df: DataFrame, column: str, params: XorParams = XorParams(), n: int | None = None, shards: int | None = None) -> XorFilter:
+        """Of the distinct elements; nulls are passed over, an empty set raises. shards: their number, else as many as hold shard_keys each; a shard is built by one task."""
         keys = df.where(F.col(column).isNotNull()).select(element(column, dict(df.dtypes)[column]).alias("e")).distinct()
         n = keys.count() if n is None else n
         if n < 1:
             raise ValueError("an XOR filter needs one element at least")
-        made = cls(params, -(-n // params.shard_keys), keys)
+        made = cls(params, shards or -(-n // params.shard_keys), keys)
 
         width = params.width // 8  # bytes
 

@@ -1,10 +1,12 @@
-"""Exports beyond what one JSON text holds."""
+"""Exports beyond what one JSON text holds, and XOR filters of a given number of shards."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions.hashing import PORTABLE
 from quarry.operators import frequency
 from quarry.operators.frequency import TopK
+from quarry.operators.xor_filter import XorFilter, XorParams
 from quarry.plans import queries as plans
 
 
@@ -27,3 +29,15 @@ def test_topk_json_goes_on_beyond_one_text(spark, sf, monkeypatch):
     want = sorted(map(tuple, plans.QUERIES["topk_json_goes_on"](spark, sf).collect()))
     monkeypatch.setattr(frequency, "EXPORTED", 5)
     assert sorted(map(tuple, plans.QUERIES["topk_json_goes_on"](spark, sf).collect())) == want
+
+
+def test_xor_in_one_shard(spark):
+    keys = spark.range(2000).select(F.col("id").cast("string").alias("e"))
+    f = XorFilter.build(keys, "e", XorParams(16, shard_keys=500, spec=PORTABLE), shards=1)
+    assert f.shards == 1 and f.state.count() == 1 and f.probe(keys, "e").where("has").count() == 2000
+
+
+def test_xor_geometry_of_more_keys_than_a_shard_takes(spark, tmp_path):
+    spark.range(300_000).select(F.col("id").alias("p_partkey"), F.lit(30).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    slots = int(1.23 * 300_000 + 32) // 3 * 3
+    assert [tuple(r) for r in plans.QUERIES["xor_geometry"](spark, str(tmp_path)).collect()] == [(0, slots // 3, slots)]
