@@ -109,8 +109,8 @@ def _edges(*keys: np.ndarray) -> np.ndarray:
 PAIR, LONG = 0, 1
 
 
-def _short_runs(rows: DataFrame) -> DataFrame:
-    """(kind, u, v, n, at): the candidate pairs (u, v) of runs of up to ALL rows (x, node, n, at) of one x, and the rows (x, node) of longer ones."""
+def _short_runs(rows: DataFrame, most: int = ALL) -> DataFrame:
+    """(kind, u, v, n, at): the candidate pairs (u, v) of runs of up to `most` rows (x, node, n, at) of one x, and the rows (x, node) of longer ones."""
 
     def batch(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(c) for c in cols)], names=["kind", "u", "v", "n", "at"])
@@ -118,11 +118,11 @@ def _short_runs(rows: DataFrame) -> DataFrame:
     def pairs(x: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = _edges(x)
         length = np.repeat(np.diff(edge), np.diff(edge))
-        if (length > ALL).any():
-            k = length > ALL
+        if (length > most).any():
+            k = length > most
             yield batch(LONG, x[k], node[k], n[k], at[k])
             x, node, n, at = (c[~k] for c in (x, node, n, at))
-        for d in range(1, min(ALL, int(length.max(initial=0)))):
+        for d in range(1, min(most, int(length.max(initial=0)))):
             a = np.flatnonzero(x[d:] == x[:-d])
             a = a[_may(n[a], at[a], n[a + d], at[a + d])]
             if len(a):
@@ -146,7 +146,7 @@ def _short_runs(rows: DataFrame) -> DataFrame:
                 last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
                 yield from pairs(*(c[:last] for c in cols))
                 cols = [c[last:] for c in cols]
-                if len(cols[0]) > ALL:
+                if len(cols[0]) > most:
                     passing = cols[0][0]
                     yield batch(LONG, *cols)
                     cols = [c[:0] for c in cols]
