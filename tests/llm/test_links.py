@@ -3,10 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import links
 from quarry.llm.links import near_links
 from quarry.llm.shingles import shingle_hashes
+from quarry.operators.similarity import MinHash
+from quarry.plans import queries as plans
 
 
 def corpus():
@@ -46,3 +49,11 @@ def test_all_links(spark, monkeypatch, block):
     want = expected(rows)
     assert max(k for *_, k in want) > links.SHORT and sum(0 < k <= 2 for *_, k in want) > 20
     assert sorted(map(tuple, near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
+
+
+def test_no_link_depends_on_bands(spark, sf, monkeypatch):
+    """The query finds the same links when no MinHash signatures agree in a band."""
+    want = sorted(map(tuple, plans.QUERIES["doc_near_duplicates"](spark, sf).collect()))
+    none = lambda self, rows: self.state.select(*[F.col(self.by[0]).alias(c) for c in "ab"], F.lit(0).alias("matches")).limit(0)
+    monkeypatch.setattr(MinHash, "candidates", none)
+    assert any(k for *_, k in want) and sorted(map(tuple, plans.QUERIES["doc_near_duplicates"](spark, sf).collect())) == want
