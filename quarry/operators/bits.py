@@ -10,11 +10,14 @@ from __future__ import annotations
 import base64
 import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits up to which a filter is packed into one value that all tasks get: two megabytes.
 PACKED_BITS = 1 << 24
+#: Bits up to which the words of a scalable filter are handed to all tasks: 32 megabytes.
+HANDED_BITS = 1 << 28
 
 
 def capacity(size: int) -> int:
@@ -63,6 +66,14 @@ def words(packed: DataFrame) -> DataFrame:
     return packed.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("words"))
 
 
+def held_words(state: DataFrame, size: int) -> np.ndarray:
+    """The words of 64 bits of a state (bit) of HANDED_BITS at most, on the driver."""
+    got = gather(state).toArrow()
+    out = np.zeros(-(-size // 64), np.uint64)
+    out[got.column("w").to_numpy()] = got.column("x").to_numpy().view(np.uint64)
+    return out
+
+
 def all_set(packed: Column, positions: list[Column]) -> Column:
     """Whether all positions of a row are set in the packed words; asks no further than the first that isn't."""
     hit = F.lit(True)

@@ -9,13 +9,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import SPECS, XXH64, HashSpec, element, from_pair, hash_twice, pair
 from quarry.functions.params import DEFAULT_SEED, check_rate, generation_plan, optimal_hashes, optimal_size
+from quarry.llm.common import settle
 from quarry.operators import bits
-from quarry.operators.bits import PACKED_BITS
+from quarry.operators.bits import HANDED_BITS, PACKED_BITS
 
 
 #: Bit tests of a scalable probe that are put into one generated predicate.
@@ -346,8 +348,9 @@ class ScalableBloomFilter(Filter):
 
     def add(self, df: DataFrame, column: str) -> ScalableBloomFilter:
         """With more elements: those that the filter doesn't have go to the room left in the last generation and to as many new ones as they need."""
-        new = self.probe(self._keys(df, column), "e", "__q_has").where("not __q_has").select("e")
-        n, last = new.count(), self.current
+        held = ScalableBloomFilter(self.params, settle(self.state), self.generations)
+        new = settle(held.probe(self._keys(df, column), "e", "__q_has").where("not __q_has").select("e"))
+        n, last = new.count(), held.current
         left = max(0, last.params.capacity - last.n_elements())
         count = self.generations
         while left + sum(p.capacity for p in self.params.plan(count)[self.generations :]) < n:
@@ -355,7 +358,7 @@ class ScalableBloomFilter(Filter):
         plan = self.params.plan(count)
         room = [0] * (self.generations - 1) + [left] + [p.capacity for p in plan[self.generations :]]
         more = self._dealt(new, self.params, plan, room)
-        return ScalableBloomFilter(self.params, self.state.unionByName(more).distinct(), count)
+        return ScalableBloomFilter(self.params, settle(held.state.unionByName(more).distinct()), count)
 
     def merge(self, other: ScalableBloomFilter) -> ScalableBloomFilter:
         """The union, generation by generation. Generations may then be fuller than planned; rate() says how much that costs."""
@@ -410,24 +413,51 @@ class ScalableBloomFilter(Filter):
         """In one generation at least.
 
         Up to TERMS positions in all, the generations are packed into one value and the largest is
-        asked first; beyond, the distinct elements are joined with the set bits of all generations.
+        asked first. Else, up to HANDED_BITS, the words go to the tasks, which ask them for the
+        distinct elements; beyond, these are joined with the set bits of all generations.
         """
         filters = list(self.filters())
         starts = [sum(f.n_bits for f in filters[:i]) for i in range(len(filters) + 1)]
         got, c = df.drop(out), element(column, dict(df.dtypes)[column])
+        flat = self.state.select((F.col("bit") + F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("generation") + 1)).alias("bit"))
         if starts[-1] <= min(packed_bits, PACKED_BITS) and sum(f.params.slices for f in filters) <= TERMS:
-            flat = self.state.select((F.col("bit") + F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("generation") + 1)).alias("bit"))
             packed = bits.words(bits.gather(flat, (), starts[-1])).scalar()
             pairs = {f"__q_{n}{i}": x for i, f in enumerate(filters) for n, x in zip("ab", f.pair(c), strict=True)}
             hit = F.lit(False)
             for i, f in reversed(list(enumerate(filters))):
                 hit = hit | bits.all_set(packed, [e + starts[i] for e in f.spread(F.col(f"__q_a{i}"), F.col(f"__q_b{i}"))])
             return bits.computed_once(got, pairs).withColumn(out, c.isNotNull() & F.coalesce(hit, F.lit(False))).drop(*pairs)
+        if packed_bits and starts[-1] <= HANDED_BITS:
+            hits = self._held(got.where(c.isNotNull()).select(c.alias("e")).distinct(), filters, starts, bits.held_words(flat.select("bit"), starts[-1]))
+            hits = hits.select(F.col("e").alias("__q_e"), F.lit(True).alias(out))
+            return got.withColumn("__q_e", c).join(hits, "__q_e", "left").drop("__q_e").withColumn(out, F.coalesce(out, F.lit(False)))
         asked = got.where(c.isNotNull()).select(c.alias("e")).distinct().withColumn("generation", F.explode(F.sequence(F.lit(0), F.lit(self.generations - 1))))
         cells = self._positions(asked, self.params, [f.params for f in filters]).join(self.state, ["generation", "bit"], "left_semi")
         hits = cells.groupBy("e", "generation").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k")).where("n = k").select(F.col("e").alias("__q_e")).distinct().withColumn(out, F.lit(True))
         return got.withColumn("__q_e", c).join(hits, "__q_e", "left").drop("__q_e").withColumn(out, F.coalesce(out, F.lit(False)))
 
+    def _held(self, asked: DataFrame, filters: list[PartitionedBloomFilter], starts: list[int], words: np.ndarray) -> DataFrame:
+        """Those of the elements e that one of the generations has, the last being asked first. Each is asked for no more positions than it takes."""
+        u = np.uint64
+        sent = asked.sparkSession.sparkContext.broadcast(words)  # HANDED_BITS at most
+        plan = [(u(f.params.slice_bits), f.params.slices, u(at)) for f, at in zip(filters, starts, strict=False)][::-1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = sent.value
+            for batch in batches:
+                h1, h2 = (batch.column(i).to_numpy().view(u) for i in (1, 2))
+                found = np.zeros(len(h1), bool)
+                for m, k, start in plan:
+                    left = np.flatnonzero(~found)
+                    for i in range(k):
+                        bit = start + u(i) * m + (h1[left] % m + u(i) * (h2[left] % m) + u(i**3 - i // 6)) % m
+                        left = left[(words[bit >> u(6)] >> (bit & u(63))) & u(1) == 1]
+                    found[left] = True
+                yield batch.filter(pa.array(found)).select(["e"])
+
+        h1, h2 = hash_twice(F.col("e"), self.params.seed, self.params.spec)
+        return asked.select("e", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, f"e {dict(asked.dtypes)['e']}")
+
     @property
     def current(self) -> PartitionedBloomFilter:
         """The latest generation."""
