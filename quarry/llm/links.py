@@ -1,7 +1,8 @@
 """Classes of documents of equal shingle sets, and how many other classes each is alike: all pairs of similarity 0.8 or more.
 
 Candidates come from prefix filtering alone (see jaccard.py), which loses no pair: short runs of a
-shingle give all their pairs; what long runs connect is compared in full, in cells of two blocks.
+shingle give all their pairs, long ones are compared in cells of two blocks, and counts of shingles by
+hash leave what can be alike. What these pairs connect is decided by the texts, in such cells too.
 Only prefixes and the texts of candidates are dealt out, so no table of all shingles is made.
 """
 
@@ -22,6 +23,10 @@ from quarry.llm.shingles import U64, shingle_hashes
 
 #: Sets of a shingle that are paired at once; sets of a block; shingles that a cell takes as columns at once. They change the work, never the result.
 SHORT, BLOCK, COLUMNS = 8, 1024, 2048
+#: Sets of a block of a long run.
+RUN = 8192
+#: Counts of shingles by hash that a set has in its profile.
+COUNTS = 128
 #: What a text without words has for its one shingle.
 NO_WORDS = np.array([xxhash.xxh64_intdigest(b"", 42)], U64)
 
@@ -32,6 +37,18 @@ def set_of(texts: list[str], words: int) -> np.ndarray:
     return np.unique(np.concatenate([x if len(x) else NO_WORDS for x in found]))
 
 
+def profile(s: np.ndarray) -> bytes:
+    """How many of its shingles fall to each of COUNTS hash values, in as few bytes a count as hold them."""
+    c = np.bincount((s % U64(COUNTS)).astype(np.int64), minlength=COUNTS)
+    return c.astype("<u1" if c.max() < 1 << 8 else "<u4").tobytes()
+
+
+def most_shared(p: bytes, q: bytes) -> int:
+    """The most shingles that sets of two profiles can share."""
+    a, b = (np.frombuffer(x, f"<u{len(x) // COUNTS}") for x in (p, q))
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
 def whole_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, t), t being the texts of all rows of an id."""
     text = F.coalesce("text", F.lit(""))
@@ -44,7 +61,7 @@ def whole_texts(docs: DataFrame) -> DataFrame:
 
 
 def set_prefixes(docs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, name, n, first, often): 128 bits of hash that name the set, its size and prefix, and which of it many sets hold."""
+    """(doc_id, name, n, profile, first, often): 128 bits of hash that name the set, its size, profile and prefix, and which of it many sets hold."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, "text"))  # a bounded number of longs
 
     def one(t: list[str]) -> tuple:
@@ -55,16 +72,16 @@ def set_prefixes(docs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             at = np.minimum(np.searchsorted(common, s), len(common) - 1)
             known = np.where(common[at] == s, count[at], 0)
         first = np.argsort(known, kind="stable")[: prefix(len(s))]
-        return xxhash.xxh3_128_digest(s.tobytes()), len(s), s[first].view(np.int64), known[first] > OFTEN
+        return xxhash.xxh3_128_digest(s.tobytes()), len(s), profile(s), s[first].view(np.int64), known[first] > OFTEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [one(x.as_py()) for x in b.column(1)]
-            new = (pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["doc_id", "name", "n", "first", "often"])
+            new = (pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["doc_id", "name", "n", "profile", "first", "often"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(tidy(run), f"doc_id {kind}, name binary, n long, first array<long>, often array<boolean>")
+    return texts.mapInArrow(tidy(run), f"doc_id {kind}, name binary, n long, profile binary, first array<long>, often array<boolean>")
 
 
 def _linked(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
@@ -93,31 +110,53 @@ def _linked(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
     return alike(shared.astype(np.int64), sizes[0][:, None], sizes[1][None, :])
 
 
-def _links_of_pairs(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(node, k): links of each node among the pairs (u, v), decided by the whole texts (node, t)."""
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose sizes and profiles allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets: dict[int, np.ndarray] = {}
-            out = []
-            for u, v, *t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                for k, x in zip((u, v), t, strict=True):
-                    if k not in sets:
-                        sets[k] = set_of(x.as_py(), words)
-                if alike(len(np.intersect1d(sets[u], sets[v], assume_unique=True)), len(sets[u]), len(sets[v])):
-                    out += [u, v]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([1] * len(out), pa.int64())], names=["node", "k"])
+            n, m, p, q = (b.column(i).to_pylist() for i in range(2, 6))
+            ok = [alike(most_shared(p[i], q[i]), n[i], m[i]) for i in range(len(n))]
+            yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+
+    ends = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("profile").alias(f"p{c}")) for c in "uv"]
+    both = pairs.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v")
+    return both.select("u", "v", "nu", "nv", "pu", "pv").mapInArrow(tidy(run), "u long, v long")
+
 
-    first, second = texts.select(F.col("node").alias("u"), F.col("t").alias("tu")), texts.select(F.col("node").alias("v"), F.col("t").alias("tv"))
-    return pairs.join(first.hint("merge"), "u").join(second.hint("merge"), "v").select("u", "v", "tu", "tv").mapInArrow(tidy(run), "node long, k long")
+def _cells(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(node, key, b, i, j): the nodes of each key in blocks b of some `size`, and the cells (i, j) of two blocks that they belong to."""
+    sizes = settle(rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = rows.join(sizes, key).withColumns({"b": mine, "o": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    return placed.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("o", "blocks")
+
+
+def _possible_in_runs(runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): the pairs of nodes of one long run (x, node) whose sizes and profiles allow a link."""
+
+    def cell(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        i, j = (k.as_py() for k in key[1:])
+        node, n, b = (table.column(c).to_numpy() for c in ("node", "n", "b"))
+        m = np.stack([np.frombuffer(x, f"<u{len(x) // COUNTS}").astype(np.int32) for x in table.column("profile").to_pylist()])
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, end in enumerate(np.searchsorted(n, 5 * n // 4, "right").tolist()):  # larger sets can't be alike
+            q = np.arange(a + 1, end)
+            if i != j:
+                q = q[b[q] != b[a]]
+            q = q[alike(np.minimum(m[a], m[q]).sum(1), n[a], n[q])]
+            u.append(np.maximum(node[a], node[q]))
+            v.append(np.minimum(node[a], node[q]))
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    rows = runs.join(nodes.select("node", "n", "profile").hint("merge"), "node")
+    return _cells(rows, "x", RUN).groupBy("x", "i", "j").applyInArrow(cell, "u long, v long")
 
 
 def _links_of_labels(labels: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(node, k): links of each node (node, label) with the others of its label. A label is cut into blocks of some BLOCK sets; a task holds a cell of two."""
-    sizes = settle(labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = labels.join(sizes, "label").select("label", "node", mine.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    cells = placed.select("node", "label", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    cells = _cells(labels, "label", BLOCK)
 
     def cell(key: tuple, table: pa.Table) -> pa.Table:
         _, i, j = (k.as_py() for k in key)
@@ -146,18 +185,14 @@ def near_links(docs: DataFrame, words: int = 5) -> DataFrame:
     texts = whole_texts(docs.select("doc_id", "text"))
     prints = settle(set_prefixes(docs, texts, words))
     some = lambda c: F.first(c).alias(c)  # noqa: E731  (equal for equal names)
-    nodes = settle(prints.groupBy("name").agg(F.min("doc_id").alias("class_id"), some("n"), some("first"), some("often")).withColumn("node", F.col("class_id").cast("long")))
+    nodes = settle(prints.groupBy("name").agg(F.min("doc_id").alias("class_id"), some("n"), some("profile"), some("first"), some("often")).withColumn("node", F.col("class_id").cast("long")))
     rows = nodes.select("node", "n", F.posexplode(F.arrays_zip("first", "often")).alias("at", "e")).select(F.col("e.first").alias("x"), "node", "n", F.col("at").cast("long").alias("at"), F.col("e.often").alias("often"))
     found = settle(_short_runs(rows.where("not often").drop("often"), SHORT))
     long_runs = settle(rows.where("often").select("x", "node").unionAll(found.where(F.col("kind") == LONG).select(F.col("u").alias("x"), F.col("v").alias("node"))))
-    heads = settle(long_runs.groupBy("x").agg(F.min("node").alias("v")))
-    reach = settle(components(settle(long_runs.join(heads.hint("merge"), "x").where("node <> v").select(F.col("node").alias("u"), "v").distinct())))
-    labels = settle(long_runs.select("node").distinct().join(reach, "node", "left").select("node", F.coalesce("least", "node").alias("label")))
-    ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "uv"]
-    pairs = found.where(F.col("kind") == PAIR).select("u", "v").distinct().join(ends[0], "u", "left").join(ends[1], "v", "left")
-    pairs = settle(pairs.where("lu IS NULL OR lv IS NULL OR lu <> lv").select("u", "v"))  # the others meet in a cell
-    need = settle(pairs.select(F.explode(F.array("u", "v")).alias("node")).unionAll(labels.select("node")).distinct())
-    held = settle(texts.withColumn("node", F.col("doc_id").cast("long")).join(need, "node", "left_semi").select("node", "t"))
-    counts = settle(_links_of_pairs(pairs, held, words).unionAll(_links_of_labels(labels, held, words)).groupBy("node").agg(F.sum("k").alias("k")))
+    pairs = settle(_possible(settle(found.where(F.col("kind") == PAIR).select("u", "v").distinct()), nodes))
+    pairs = settle(pairs.unionAll(_possible_in_runs(long_runs, nodes)).distinct())
+    labels = settle(components(pairs).select("node", F.col("least").alias("label")))
+    held = settle(texts.withColumn("node", F.col("doc_id").cast("long")).join(labels.select("node"), "node", "left_semi").select("node", "t"))
+    counts = settle(_links_of_labels(labels, held, words).groupBy("node").agg(F.sum("k").alias("k")))
     members = prints.select("doc_id", "name").join(nodes.select("name", "class_id", "node"), "name").join(counts, "node", "left")
     return members.select("doc_id", "class_id", F.coalesce("k", F.lit(0)).cast("long").alias("n_links"))

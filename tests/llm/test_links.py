@@ -45,6 +45,7 @@ def expected(rows):
 def test_all_links(spark, monkeypatch, block):
     monkeypatch.setattr(links, "BLOCK", block)
     monkeypatch.setattr(links, "COLUMNS", 50)
+    monkeypatch.setattr(links, "RUN", block)
     rows = corpus()
     want = expected(rows)
     assert max(k for *_, k in want) > links.SHORT and sum(0 < k <= 2 for *_, k in want) > 20
