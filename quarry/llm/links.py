@@ -27,6 +27,10 @@ SHORT, BLOCK, COLUMNS = 8, 1024, 2048
 RUN = 8192
 #: Counts of shingles by hash that a set has in its profile.
 COUNTS = 128
+#: Counts that decide, in a cell, what COUNTS leave: long texts of one size are near equal in 128 counts.
+FINE = 1 << 13
+#: Cells of a matrix that are made in the time of one shingle compared pair by pair. It changes the work, never the result.
+STEP = 500
 #: What a text without words has for its one shingle.
 NO_WORDS = np.array([xxhash.xxh64_intdigest(b"", 42)], U64)
 
@@ -110,6 +114,38 @@ def _linked(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
     return alike(shared.astype(np.int64), sizes[0][:, None], sizes[1][None, :])
 
 
+def _may_link(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
+    """Which sets of p can be alike which of q by sizes and counts of shingles by hash, as a matrix."""
+    counts = lambda side, k: np.stack([np.bincount((s % U64(k)).astype(np.int64), minlength=k).astype(np.int32) for s in side])
+    n, m = (np.array([len(s) for s in side], np.int64) for side in (p, q))
+    a, b = (counts(side, COUNTS) for side in (p, q))
+    yes = np.stack([alike(np.minimum(x, b).sum(1, dtype=np.int64), k, m) for x, k in zip(a, n, strict=True)])
+    i, j = np.flatnonzero(yes.any(1)), np.flatnonzero(yes.any(0))
+    if len(i):
+        a, b = (counts([side[k] for k in some], FINE) for side, some in ((p, i), (q, j)))
+        for x, k in zip(a, i, strict=True):
+            at = np.flatnonzero(yes[k, j])
+            yes[k, j[at]] = alike(np.minimum(x, b[at]).sum(1, dtype=np.int64), n[k], m[j[at]])
+    return yes
+
+
+def links_between(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
+    """Which sets of p are alike which of q, as a matrix. What sizes and counts allow is decided pair by pair, or by a matrix where that is less work."""
+    yes = _may_link(p, q)
+    u, v = np.nonzero(yes)
+    if not len(u):
+        return yes
+    i, j = np.unique(u), np.unique(v)
+    some = [p[k] for k in i], [q[k] for k in j]
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (p, q)]
+    if STEP * int((sizes[0][u] + sizes[1][v]).sum()) < len(i) * len(j) * len(np.intersect1d(*map(np.concatenate, some))):
+        shared = np.array([len(np.intersect1d(p[k], q[o], assume_unique=True)) for k, o in zip(u, v, strict=True)], np.int64)
+        yes[u, v] = alike(shared, sizes[0][u], sizes[1][v])
+    else:
+        yes[np.ix_(i, j)] = _linked(*some)
+    return yes
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose sizes and profiles allow a link."""
 
@@ -165,7 +201,7 @@ def _links_of_labels(labels: DataFrame, texts: DataFrame, words: int) -> DataFra
         p, q = (np.flatnonzero(b == k) for k in (i, j))
         count = np.zeros(len(node), np.int64)
         if len(p) and len(q):
-            yes = _linked([sets[k] for k in p], [sets[k] for k in q])
+            yes = links_between([sets[k] for k in p], [sets[k] for k in q])
             if i == j:
                 np.fill_diagonal(yes, False)
                 count[p] = yes.sum(1)
@@ -173,7 +209,8 @@ def _links_of_labels(labels: DataFrame, texts: DataFrame, words: int) -> DataFra
                 count[p], count[q] = yes.sum(1), yes.sum(0)
         return pa.table({"node": node, "k": count})
 
-    return cells.join(texts.hint("merge"), "node").groupBy("label", "i", "j").applyInArrow(cell, "node long, k long")
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # Spark would join cells of few bytes, but much work, into few tasks
+    return cells.join(texts.hint("merge"), "node").repartition(parts, "label", "i", "j").groupBy("label", "i", "j").applyInArrow(cell, "node long, k long")
 
 
 def near_links(docs: DataFrame, words: int = 5) -> DataFrame:

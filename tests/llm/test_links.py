@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import links
-from quarry.llm.links import near_links
+from quarry.llm.links import links_between, near_links, set_of
 from quarry.llm.shingles import shingle_hashes
 from quarry.operators.similarity import MinHash
 from quarry.plans import queries as plans
@@ -58,3 +59,21 @@ def test_no_link_depends_on_bands(spark, sf, monkeypatch):
     none = lambda self, rows: self.state.select(*[F.col(self.by[0]).alias(c) for c in "ab"], F.lit(0).alias("matches")).limit(0)
     monkeypatch.setattr(MinHash, "candidates", none)
     assert any(k for *_, k in want) and sorted(map(tuple, plans.QUERIES["doc_near_duplicates"](spark, sf).collect())) == want
+
+
+@pytest.mark.parametrize("step", [0, 10**9])
+def test_pair_by_pair_and_matrix(monkeypatch, step):
+    """Both ways to decide give what brute force gives."""
+    monkeypatch.setattr(links, "STEP", step)
+    sets = [set_of([t], 5) for _, t in corpus()]
+    p, q = sets[:150], sets[90:]
+    want = [[9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)) for b in q] for a in p]
+    assert np.any(want) and links_between(p, q).tolist() == want
+
+
+def test_few_pairs_make_no_matrix(monkeypatch):
+    """Sets of a group that mostly can't be alike are decided pair by pair."""
+    monkeypatch.setattr(links, "_linked", lambda p, q: pytest.fail("a matrix of all sets"))
+    word = [[f"w{k} {i}" for i in range(2000)] for k in range(100)]
+    sets = [set_of([" ".join(w[:n])], 5) for w in word for n in (2000, 1900)]
+    assert np.array_equal(links_between(sets, sets), np.kron(np.eye(100), np.ones((2, 2))).astype(bool))
